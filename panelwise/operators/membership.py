@@ -34,9 +34,10 @@ def aggregate_membership(
 
     Rows are first summed by their pattern of memberships (one bit per group,
     so at most 2^groups patterns per key) and only these sums are expanded.
+    Rows in no group end in the pattern without bits, which expands to nothing.
     """
     bits = [F.when(test, 1 << i).otherwise(0) for i, test in enumerate(groups.values())]
-    coded = df.withColumn(PATTERN, reduce(Column.__add__, bits)).filter(F.col(PATTERN) > 0)
+    coded = df.withColumn(PATTERN, reduce(Column.__add__, bits))
     sums = partial(coded, [PATTERN, *keys], measures)
     held = {
         label: F.col(PATTERN).bitwiseAND(1 << i) > 0 for i, label in enumerate(groups)

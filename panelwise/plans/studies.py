@@ -1,8 +1,12 @@
-"""The seven studies. Each takes the survey tables and returns a report."""
+"""The seven studies. Each takes the survey tables and returns a report.
+
+`hot_keys` may name keys that hold many rows, for tables whose key was not
+checked on load; it changes how rows are spread, never the result.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,7 @@ from panelwise.operators.totals import stack_measures, with_overall
 from panelwise.plans.cohort import KEY, adults, answers_of, build_cohort
 
 Tables = Mapping[str, DataFrame]
+HotKeys = Sequence | None
 
 # Which columns of which table carry the answers.
 CONDITION_ANSWERS = {
@@ -146,9 +151,11 @@ def q1_overview(tables: Tables, n: int = 100) -> DataFrame:
     )
 
 
-def q2_prevalence(tables: Tables) -> DataFrame:
+def q2_prevalence(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     """Size of each condition, split by coverage, with its share of valid answers."""
-    cohort = build_cohort(tables, CONDITION_ANSWERS | COVERAGE_ANSWER)
+    cohort = build_cohort(
+        tables, CONDITION_ANSWERS | COVERAGE_ANSWER, hot_keys=hot_keys
+    )
     cohort = cohort.withColumn("insurance_status", insurance_status())
     insured = F.col("insurance_status") == INSURED
     uninsured = F.col("insurance_status") == UNINSURED
@@ -170,9 +177,11 @@ def q2_prevalence(tables: Tables) -> DataFrame:
     return stack_measures(cohort, rows, "condition", names).orderBy("rank").drop("rank")
 
 
-def q3_access_by_coverage(tables: Tables) -> DataFrame:
+def q3_access_by_coverage(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     """Access to care per condition and coverage."""
-    cohort = build_cohort(tables, CONDITION_ANSWERS | COVERAGE_ANSWER | CARE_ANSWERS)
+    cohort = build_cohort(
+        tables, CONDITION_ANSWERS | COVERAGE_ANSWER | CARE_ANSWERS, hot_keys=hot_keys
+    )
     cohort = cohort.withColumn("insurance_status", insurance_status())
     measures = [
         *care_measures(),
@@ -188,9 +197,9 @@ def q3_access_by_coverage(tables: Tables) -> DataFrame:
     )
 
 
-def q4_comorbidity(tables: Tables) -> DataFrame:
+def q4_comorbidity(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     """Access to care by number of conditions."""
-    cohort = build_cohort(tables, CONDITION_ANSWERS | CARE_ANSWERS)
+    cohort = build_cohort(tables, CONDITION_ANSWERS | CARE_ANSWERS, hot_keys=hot_keys)
     measures = [*care_measures(), health_score()]
     counted = cohort.filter(enough_answers()).withColumn("condition_count", condition_count())
     report = aggregate(counted, ["condition_count"], measures)
@@ -199,7 +208,7 @@ def q4_comorbidity(tables: Tables) -> DataFrame:
     )
 
 
-def q5_high_value_cohorts(tables: Tables) -> DataFrame:
+def q5_high_value_cohorts(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     """Willingness to use a remote diet service, by gender and age, and overall."""
     # Condition and coverage tables reach no output column and are not joined.
     cohort = build_cohort(
@@ -210,6 +219,7 @@ def q5_high_value_cohorts(tables: Tables) -> DataFrame:
             "dietary_total_day1": ["drqsdiet"],
         },
         columns=["riagendr", "ridageyr"],
+        hot_keys=hot_keys,
     ).select(
         "*",
         decode(F.col("riagendr"), GENDERS, OTHER_GENDER).alias("gender"),
@@ -229,12 +239,13 @@ def q5_high_value_cohorts(tables: Tables) -> DataFrame:
     return report.orderBy("rank", "gender", "age_group").drop("rank")
 
 
-def q6_medication_burden(tables: Tables) -> DataFrame:
+def q6_medication_burden(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     """Prescription burden per condition, among adults with a valid drug answer."""
     cohort = build_cohort(
         tables,
         DRUG_ANSWERS | CONDITION_ANSWERS,
         required={"medications": PRESCRIPTION.answered()},
+        hot_keys=hot_keys,
     )
     measures = [
         row_count("n"),
@@ -247,12 +258,13 @@ def q6_medication_burden(tables: Tables) -> DataFrame:
     return report.orderBy(label_rank("condition", list(groups)))
 
 
-def q7_rx_by_comorbidity(tables: Tables) -> DataFrame:
+def q7_rx_by_comorbidity(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     """Prescription burden by number of conditions."""
     cohort = build_cohort(
         tables,
         DRUG_ANSWERS | CONDITION_ANSWERS,
         required={"medications": PRESCRIPTION.answered()},
+        hot_keys=hot_keys,
     )
     measures = [
         row_count("n"),
@@ -268,7 +280,7 @@ def q7_rx_by_comorbidity(tables: Tables) -> DataFrame:
     )
 
 
-STUDIES: dict[str, Callable[[Tables], DataFrame]] = {
+STUDIES: dict[str, Callable[..., DataFrame]] = {
     "q1_overview": q1_overview,
     "q2_prevalence": q2_prevalence,
     "q3_access_by_coverage": q3_access_by_coverage,

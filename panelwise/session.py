@@ -22,9 +22,10 @@ SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings and make the transport source known to the session."""
+    """Make the transport source known, and apply the settings nobody has set."""
     for name, value in SETTINGS.items():
-        spark.conf.set(name, value)
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     # Workers get this package's code with the tasks, installed there or not.
     cloudpickle.register_pickle_by_value(panelwise)
     spark.dataSource.register(TransportSource)

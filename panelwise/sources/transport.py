@@ -29,6 +29,7 @@ NAMES_CARD = b"HEADER RECORD*******NAMESTR HEADER RECORD!!!!!!!"
 ROWS_CARD = b"HEADER RECORD*******OBS     HEADER RECORD!!!!!!!"
 HEADER_CARDS = 8
 MISSING_MARKS = b"._ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TRAILING_BLANKS = b" \t\n\r\x0b\x0c\x00"
 NUMERIC, TEXT = 1, 2
 
 DEFAULT_RANGE = 64 << 20
@@ -135,8 +136,16 @@ def decode_numbers(raw: np.ndarray) -> pa.Array:
 def decode_text(raw: np.ndarray) -> pa.Array:
     """UTF-8 text, one value per row of a byte matrix, without trailing blanks."""
     rows, width = raw.shape
-    packed = np.ascontiguousarray(raw).view(f"S{width}").reshape(rows)
-    return pa.array(np.char.decode(np.char.rstrip(packed), "utf-8"), type=pa.string())
+    solid = ~np.isin(raw, np.frombuffer(TRAILING_BLANKS, dtype=np.uint8))
+    kept = np.where(solid.any(axis=1), width - np.argmax(solid[:, ::-1], axis=1), 0)
+    offsets = np.zeros(rows + 1, dtype=np.int32)
+    np.cumsum(kept, out=offsets[1:])
+    text = raw[np.arange(width) < kept[:, None]]
+    values = pa.Array.from_buffers(
+        pa.string(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(text)]
+    )
+    values.validate(full=True)
+    return values
 
 
 def decode_records(chunk: bytes, layout: Layout) -> pa.RecordBatch:
@@ -247,5 +256,5 @@ class TransportReader(DataSourceReader):
             )
             try:
                 yield decode_records(chunk, layout)
-            except UnicodeDecodeError as e:
+            except pa.ArrowInvalid as e:
                 raise TransportFormatError(f"{uri}: text is not UTF-8") from e
