@@ -1,0 +1,82 @@
+"""Row-level expressions on nulls, refused codes and values between ranges."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelwise.functions.codes import (
+    AGE_BINS,
+    CONDITIONS,
+    DIABETES,
+    GENDERS,
+    HYPERTENSION,
+    OBESITY,
+    OTHER_AGE,
+    OTHER_GENDER,
+    OVERWEIGHT_RANGE,
+    answered_flag,
+    confirmed_flag,
+    present_flag,
+)
+from panelwise.functions.flags import bins, count_flags, decode, flag, two_way
+
+
+def values(df, column):
+    return [row[0] for row in df.select(column).collect()]
+
+
+def test_flag_is_never_null(frame):
+    df = frame("x double", [(1.0,), (2.0,), (None,)])
+    assert values(df, flag(F.col("x") == 1)) == [1, 0, 0]
+    assert df.select(flag(F.col("x") == 1).alias("f")).schema["f"].dataType.typeName() == "integer"
+
+
+def test_diabetes_counts_borderline_and_drops_refusals(frame):
+    df = frame("diq010 double", [(c,) for c in (1.0, 2.0, 3.0, 7.0, 9.0, None)])
+    assert values(df, present_flag(DIABETES)) == [1, 0, 1, 0, 0, 0]
+    assert values(df, answered_flag(DIABETES)) == [1, 1, 1, 0, 0, 0]
+    assert values(df, confirmed_flag(DIABETES)) == [1, 0, 1, 0, 0, 0]
+
+
+def test_yes_no_question(frame):
+    df = frame("bpq020 double", [(c,) for c in (1.0, 2.0, 7.0, 9.0, None)])
+    assert values(df, present_flag(HYPERTENSION)) == [1, 0, 0, 0, 0]
+    assert values(df, answered_flag(HYPERTENSION)) == [1, 1, 0, 0, 0]
+
+
+def test_a_value_may_be_neither_overweight_nor_obese(frame):
+    df = frame("bmxbmi double", [(v,) for v in (24.99, 25.0, 29.9, 29.95, 30.0, None)])
+    assert values(df, flag(F.col("bmxbmi").between(*OVERWEIGHT_RANGE))) == [0, 1, 1, 0, 0, 0]
+    assert values(df, present_flag(OBESITY)) == [0, 0, 0, 0, 1, 0]
+    assert values(df, answered_flag(OBESITY)) == [1, 1, 1, 1, 1, 0]
+
+
+def test_two_way_label_has_no_third_value(frame):
+    df = frame("hiq011 double", [(c,) for c in (1.0, 2.0, 7.0, 9.0, None)])
+    label = two_way(F.col("hiq011") == 1, "Insured", "Uninsured")
+    assert values(df, label) == ["Insured"] + ["Uninsured"] * 4
+
+
+def test_age_bins_fall_through(frame):
+    ages = [17.0, 18.0, 25.0, 25.5, 26.0, 80.0, 80.5, 81.0, None]
+    df = frame("age double", [(a,) for a in ages])
+    assert values(df, bins(F.col("age"), AGE_BINS, OTHER_AGE)) == [
+        "<18", "18-25", "18-25", "<18", "26-35", "76+", "<18", "<18", "<18",
+    ]
+
+
+def test_decode_fallback_is_text(frame):
+    df = frame("g double", [(1.0,), (2.0,), (3.0,), (None,)])
+    assert values(df, decode(F.col("g"), GENDERS, OTHER_GENDER)) == ["Male", "Female", "0", "0"]
+    assert values(df, decode(F.col("g"), GENDERS)) == ["Male", "Female", None, None]
+
+
+def test_condition_without_an_answer_adds_nothing(frame):
+    df = frame(
+        "bmxbmi double, diq010 double, bpq020 double, bpq080 double",
+        [(31.0, 3.0, 1.0, 1.0), (None, 9.0, 1.0, 7.0), (20.0, 2.0, 2.0, 2.0)],
+    )
+    answered = count_flags([answered_flag(c) for c in CONDITIONS.values()])
+    present = count_flags([confirmed_flag(c) for c in CONDITIONS.values()])
+    assert values(df, answered) == [4, 1, 4]
+    assert values(df, present) == [4, 1, 0]

@@ -1,0 +1,119 @@
+"""The star join: unmatched rows, pruning, key checks, hot and missing keys."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelwise.operators.joins import (
+    DuplicateKeyError,
+    assert_unique_key,
+    duplicate_keys,
+    first_by_key,
+    frequent_keys,
+    star_left_join,
+)
+
+
+@pytest.fixture
+def star(frame):
+    base = frame("id bigint, b string", [(1, "x"), (2, "y"), (3, "z"), (None, "w")])
+    left = frame("id bigint, l int", [(1, 10), (3, None), (9, 90)])
+    right = frame("id bigint, r int", [(2, 20), (3, 30)])
+    return base, {"left": left, "right": right}
+
+
+def rows(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def test_unmatched_base_rows_stay(star):
+    base, tables = star
+    assert rows(star_left_join(base, tables, "id")) == Counter(
+        [(1, "x", 10, None), (2, "y", None, 20), (3, "z", None, 30), (None, "w", None, None)]
+    )
+
+
+def test_required_table_drops_unmatched_rows(star):
+    base, tables = star
+    joined = star_left_join(base, tables, "id", required=["right"]).select("id", "b", "l", "r")
+    assert rows(joined) == Counter([(2, "y", None, 20), (3, "z", None, 30)])
+
+
+def test_table_without_columns_is_not_joined(star):
+    base, tables = star
+    pruned = star_left_join(base, {"left": tables["left"].select("id")}, "id")
+    assert rows(pruned) == rows(base)
+    assert "Join" not in pruned._jdf.queryExecution().analyzed().toString()
+
+
+def test_required_table_without_columns_still_filters(star):
+    base, tables = star
+    kept = star_left_join(base, {"left": tables["left"].select("id")}, "id", required=["left"])
+    assert rows(kept) == Counter([(1, "x"), (3, "z")])
+
+
+def test_duplicate_keys_are_named(frame):
+    df = frame("id bigint, v int", [(1, 1), (2, 2), (2, 3), (3, 4), (3, 5), (3, 6)])
+    assert rows(duplicate_keys(df, "id")) == Counter([(2, 2), (3, 3)])
+    with pytest.raises(DuplicateKeyError, match="id is not unique"):
+        assert_unique_key(df, "id")
+    unique = df.select((F.col("v") * 10).alias("id"))
+    assert assert_unique_key(unique, "id") is unique
+
+
+def test_hot_and_missing_keys_change_no_row(spark):
+    # A third of the base rows share one key, a tenth have none.
+    base = spark.range(0, 6000, numPartitions=6).select(
+        F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 10 = 1 THEN NULL ELSE id END").alias("k"),
+        F.col("id").alias("v"),
+    )
+    lookup = spark.range(0, 5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    other = spark.range(0, 6000, 7).select(F.col("id").alias("k"), (F.col("id") + 1).alias("u"))
+    tables = {"lookup": lookup, "other": other}
+    plain = rows(star_left_join(base, tables, "k"))
+    assert sum(plain.values()) == 6000
+    for hot in ([], [7], [7, 11, 999999]):
+        assert rows(star_left_join(base, tables, "k", hot_keys=hot)) == plain
+    needed = rows(star_left_join(base, tables, "k", required=["other"]))
+    assert rows(star_left_join(base, tables, "k", required=["other"], hot_keys=[7])) == needed
+
+
+def test_salting_spreads_the_hot_key(spark):
+    base = spark.range(0, 9000, numPartitions=3).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")
+    )
+    lookup = spark.range(0, 9000).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        def most(hot):
+            joined = star_left_join(base, {"lookup": lookup}, "k", hot_keys=hot)
+            sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+            return max(s["count"] for s in sizes)
+
+        assert most(None) > 3000
+        assert most([7]) < 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_frequent_keys_are_found(spark):
+    df = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k")
+    )
+    assert frequent_keys(df, "k", share=0.2, sample=0.1) == [-1]
+    assert frequent_keys(spark.range(5000).select(F.col("id").alias("k")), "k") == []
+
+
+def test_first_by_key_equals_cutting_the_whole_join(spark):
+    base = spark.range(0, 500).select((F.col("id") * 3).alias("k"), F.col("id").alias("b"))
+    tables = {
+        "x": spark.range(0, 900, 2).select(F.col("id").alias("k"), F.lit("x").alias("x")),
+        "y": spark.range(0, 900, 5).select(F.col("id").alias("k"), F.lit("y").alias("y")),
+    }
+    whole = star_left_join(base, tables, "k").orderBy("k").limit(40)
+    assert first_by_key(base, tables, "k", 40).collect() == whole.collect()

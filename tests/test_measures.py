@@ -1,0 +1,86 @@
+"""Measures: empty input, zero denominators, rounding, and summing in steps."""
+
+from __future__ import annotations
+
+import random
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelwise.functions.flags import flag
+from panelwise.functions.measures import (
+    aggregate,
+    count_where,
+    finish,
+    mean,
+    partial,
+    percent,
+    ratio,
+    row_count,
+    total,
+    total_where,
+)
+
+
+@pytest.fixture
+def measures(spark):
+    x = F.col("x")
+    return [
+        row_count("n"),
+        total("ones", flag(x == 1)),
+        total_where("big_ones", F.col("g") == "a", flag(x == 1)),
+        count_where("known", x.isNotNull()),
+        percent("pct", flag(x == 1)),
+        percent("pct_known", flag(x == 1), among=x.isNotNull()),
+        mean("avg", x),
+        mean("avg_big", x, where=x > 1),
+    ]
+
+
+def test_no_rows_at_all(frame, measures):
+    empty = frame("g string, x double", [])
+    row = aggregate(empty, [], measures).collect()
+    assert len(row) == 1
+    assert row[0].asDict() == {
+        "n": 0, "ones": None, "big_ones": None, "known": None,
+        "pct": None, "pct_known": None, "avg": None, "avg_big": None,
+    }
+    assert finish(partial(empty, ["g"], measures), [], measures).collect() == row
+    assert aggregate(empty, ["g"], measures).count() == 0
+
+
+def test_zero_denominator_is_null_not_an_error(frame, measures):
+    df = frame("g string, x double", [("a", None), ("a", None)])
+    row = aggregate(df, [], measures).first()
+    assert (row.n, row.ones, row.known, row.pct) == (2, 0, 0, 0.0)
+    assert row.pct_known is None and row.avg is None and row.avg_big is None
+
+
+def test_mean_skips_nulls_only(frame, measures):
+    df = frame("g string, x double", [("a", 1.0), ("a", 7.0), ("a", 9.0), ("a", None)])
+    row = aggregate(df, [], measures).first()
+    assert (row.avg, row.avg_big) == (5.67, 8.0)
+
+
+def test_ratio_is_double_and_rounds_half_away_from_zero(frame):
+    pairs = [(a, b) for b in (8, 16, 40, 200, 800) for a in range(1, b)]
+    df = frame("a bigint, b bigint", pairs).select(
+        "a", "b", ratio(F.col("a"), F.col("b")).alias("r")
+    )
+    assert dict(df.dtypes)["r"] == "double"
+    for a, b, r in df.collect():
+        exact = Decimal(repr(100.0 * a / b)).quantize(Decimal("0.1"), ROUND_HALF_UP)
+        assert r == float(exact)
+
+
+def test_steps_equal_one_aggregation(frame, measures):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([1.0, 2.0, 3.0, 9.0, None])) for _ in range(500)]
+    df = frame("g string, x double", rows).withColumn("h", F.pmod(F.hash("x"), F.lit(4)))
+    sums = partial(df, ["g", "h"], measures)
+    assert finish(sums, [], measures).collect() == aggregate(df, [], measures).collect()
+    key = lambda row: row.g
+    assert sorted(finish(sums, ["g"], measures).collect(), key=key) == sorted(
+        aggregate(df, ["g"], measures).collect(), key=key
+    )
