@@ -49,6 +49,7 @@ def landed_files(spark: SparkSession, *uris: str) -> DataFrame:
     """Path, size and error-page mark of landed files.
 
     Only the listing and the head of each file are read, never its content.
+    Files without a single byte are not listed.
     """
     listed = spark.read.format("binaryFile").load(list(uris)).select("path", "length")
     return listed.withColumn("is_error_page", is_error_page(file_head("path")))

@@ -1,0 +1,215 @@
+"""The transport source against pandas and against hand-made byte strings."""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from panelwise.fixtures.transport_files import (
+    OutField,
+    encode_batch,
+    encode_numbers,
+    encode_text,
+    header,
+    write_transport,
+)
+from panelwise.sources.transport import (
+    MISSING_MARKS,
+    NUMERIC,
+    TEXT,
+    TransportFormatError,
+    TransportReader,
+    decode_numbers,
+    decode_text,
+    list_transport_files,
+    read_layout,
+)
+
+FIELDS = [OutField("seqn", NUMERIC, 8), OutField("part", NUMERIC, 5), OutField("word", TEXT, 6)]
+WORDS = ["", "a", "né", "two b", "sixsix"]
+
+
+def batch(rows: int) -> pa.RecordBatch:
+    return pa.record_batch({
+        "seqn": pa.array([float(i) for i in range(rows)]),
+        "part": pa.array([None if i % 4 == 3 else -i / 8 for i in range(rows)], pa.float64()),
+        "word": pa.array([WORDS[(i + 3) % 5] for i in range(rows)]),
+    })
+
+
+def write_file(path, data: pa.RecordBatch, fields=FIELDS) -> str:
+    body = encode_batch(data, fields)
+    path.write_bytes(header(fields) + body + b" " * (-len(body) % 80))
+    return str(path)
+
+
+def read_all(path: str, share: int) -> list[tuple]:
+    with open(path, "rb") as f:
+        schema = read_layout(pa.PythonFile(f), path).schema()
+    reader = TransportReader([path], schema, share)
+    return [
+        tuple(row.values())
+        for part in reader.partitions()
+        for piece in reader.read(part)
+        for row in piece.to_pylist()
+    ]
+
+
+def test_source_equals_pandas(spark, tmp_path):
+    # Of 1003 rows pandas would lose the last: its text is blank and runs into the fill.
+    path = write_file(tmp_path / "t.xpt", batch(1001))
+    want = pd.read_sas(path, format="xport", encoding="utf-8")
+    df = spark.read.format("xport").option("rangeBytes", 1500).load(path)
+    assert df.dtypes == [("SEQN", "double"), ("PART", "double"), ("WORD", "string")]
+    assert df.rdd.getNumPartitions() > 5
+    got = df.toPandas().sort_values("SEQN").reset_index(drop=True)
+    # pandas turns an all-zero number into the smallest one of the format.
+    want.loc[np.abs(want["SEQN"]) < 1e-70, "SEQN"] = 0.0
+    want.loc[np.abs(want["PART"]) < 1e-70, "PART"] = 0.0
+    pd.testing.assert_frame_equal(got, want)
+
+
+@pytest.mark.parametrize("share", [1, 7, 19, 80, 1000, 10**9])
+@pytest.mark.parametrize("rows", [0, 1, 4, 5, 50])
+def test_every_record_is_in_one_range(share, rows, tmp_path):
+    path = write_file(tmp_path / "t.xpt", batch(rows))
+    assert read_all(path, share) == [tuple(r.values()) for r in batch(rows).to_pylist()]
+
+
+def test_small_files_share_a_task_and_large_ones_are_cut(tmp_path):
+    for i in range(6):
+        write_file(tmp_path / f"part-{i}.xpt", batch(10))
+    (tmp_path / "_attempt-9-part-0.xpt").write_bytes(b"left over")
+    (tmp_path / "notes.txt").write_text("no data")
+    size = (tmp_path / "part-0.xpt").stat().st_size
+    files = list_transport_files([str(tmp_path)])
+    assert [s for _, s in files] == [size] * 6
+    packed = TransportReader([str(tmp_path)], None, 2 * size).partitions()
+    assert [len(p.ranges) for p in packed] == [2, 2, 2]
+    cut = TransportReader([str(tmp_path)], None, size // 2 + 1).partitions()
+    assert sum(end - start for p in cut for _, start, end in p.ranges) == 6 * size
+    assert len(cut) > 6
+
+
+def test_several_paths_and_a_directory(spark, tmp_path):
+    one = write_file(tmp_path / "one.xpt", batch(10))
+    two = write_file(tmp_path / "two.XPT", batch(20))
+    assert spark.read.format("xport").load([one, two]).count() == 30
+    assert spark.read.format("xport").load(str(tmp_path)).count() == 30
+    assert spark.read.format("xport").load(f"file:{one}").count() == 10
+
+
+@pytest.mark.parametrize("width", range(2, 9))
+@given(values=st.lists(st.floats(-1e60, 1e60).filter(lambda v: v == 0 or abs(v) > 1e-60)))
+@settings(max_examples=60, deadline=None)
+def test_numbers_survive_as_far_as_their_width_reaches(width, values):
+    raw = encode_numbers(pa.array(values, pa.float64()), width)
+    back = decode_numbers(raw).to_pylist()
+    # The leading hexadecimal digit may hold a single bit.
+    error = 0.0 if width == 8 else 2.0 ** -(8 * (width - 1) - 4)
+    for value, got in zip(values, back, strict=True):
+        assert abs(got - value) <= error * abs(value)
+
+
+def test_numbers_equal_pandas_bit_by_bit(tmp_path):
+    rng = np.random.default_rng(5)
+    mantissa = rng.integers(1 << 52, 1 << 56, 4000, dtype=np.uint64)
+    exponent = rng.integers(30, 100, 4000).astype(np.uint64) << np.uint64(56)
+    sign = rng.integers(0, 2, 4000).astype(np.uint64) << np.uint64(63)
+    raw = (mantissa | exponent | sign).astype(">u8")
+    fields = [OutField("x", NUMERIC, 8)]
+    path = tmp_path / "n.xpt"
+    body = raw.tobytes()
+    path.write_bytes(header(fields) + body + b" " * (-len(body) % 80))
+    want = pd.read_sas(path, format="xport")["X"].to_numpy()
+    got = decode_numbers(raw.view(np.uint8).reshape(-1, 8)).to_numpy()
+    assert (got == want).all()
+
+
+def test_known_numbers():
+    raw = {1.0: "4110000000000000", -118.625: "C276A00000000000", 0.0: "0000000000000000"}
+    matrix = np.array([list(bytes.fromhex(h)) for h in raw.values()], dtype=np.uint8)
+    assert decode_numbers(matrix).to_pylist() == list(raw)
+
+
+def test_every_missing_mark_is_null_and_nothing_else_is():
+    marks = np.zeros((len(MISSING_MARKS), 8), dtype=np.uint8)
+    marks[:, 0] = list(MISSING_MARKS)
+    assert decode_numbers(marks).null_count == len(MISSING_MARKS)
+    marks[:, 7] = 1
+    assert decode_numbers(marks).null_count == 0
+
+
+def test_text_loses_trailing_blanks_only():
+    raw = encode_text(pa.array([" a b ", "", None, "ééé", "\t x\t"]), 8)
+    assert decode_text(raw).to_pylist() == [" a b", "", "", "ééé", "\t x"]
+    with pytest.raises(ValueError, match="longer than 2 bytes"):
+        encode_text(pa.array(["abc"]), 2)
+
+
+def test_blank_rows_are_data_except_in_the_fill(tmp_path):
+    fields = [OutField("w", TEXT, 8)]
+    data = pa.record_batch({"w": pa.array(["a", "", "b", "", "c"])})
+    assert read_all(write_file(tmp_path / "t.xpt", data, fields), 100) == [
+        ("a",), ("",), ("b",), ("",), ("c",)
+    ]
+    # More blank rows than one card can be filled with must have been written as rows.
+    data = pa.record_batch({"w": pa.array(["a"] + [""] * 29)})
+    assert len(read_all(write_file(tmp_path / "u.xpt", data, fields), 100)) == 21
+
+
+@pytest.mark.parametrize("content", [
+    b"", b"<!DOCTYPE html><title>Page Not Found</title>", header(FIELDS)[:500],
+    header(FIELDS)[:640], header([]),
+    header(FIELDS).replace(b"NAMESTR HEADER RECORD!!!!!!!0000000003", b"NAMESTR HEADER "
+                           b"RECORD!!!!!!!000000000x"),
+])
+def test_damaged_files_are_refused(content, tmp_path):
+    path = tmp_path / "bad.xpt"
+    path.write_bytes(content)
+    with pytest.raises(TransportFormatError):
+        read_all(str(path), 100)
+
+
+def test_column_descriptor_is_checked(tmp_path):
+    whole = header([OutField("x", NUMERIC, 8)])
+    at = 8 * 80
+    path = tmp_path / "bad.xpt"
+    for kind, width, start in [(3, 8, 0), (1, 9, 0), (1, 1, 0), (1, 8, 4)]:
+        raw = bytearray(whole)
+        raw[at:at + 6] = struct.pack(">hhh", kind, 0, width)
+        raw[at + 84:at + 88] = struct.pack(">i", start)
+        path.write_bytes(bytes(raw))
+        with pytest.raises(TransportFormatError):
+            read_all(str(path), 100)
+
+
+def test_text_that_is_not_utf8_is_refused(tmp_path):
+    path = tmp_path / "bad.xpt"
+    path.write_bytes(header([OutField("w", TEXT, 4)]) + b"ab\xff ".ljust(80))
+    with pytest.raises(TransportFormatError, match="not UTF-8"):
+        read_all(str(path), 100)
+
+
+def test_files_with_other_columns_are_refused(spark, tmp_path):
+    write_file(tmp_path / "a.xpt", batch(3))
+    write_file(tmp_path / "b.xpt", batch(3).select(["seqn", "part"]), FIELDS[:2])
+    with pytest.raises(Exception, match="columns differ"):
+        spark.read.format("xport").load(str(tmp_path)).collect()
+
+
+def test_written_fixture_reads_back(spark, tmp_path):
+    df = spark.range(0, 5000, numPartitions=4).selectExpr(
+        "CAST(id AS DOUBLE) AS k", "CASE WHEN id % 3 = 0 THEN NULL ELSE id / 7 END AS v",
+        "concat('w', id) AS t",
+    )
+    write_transport(df, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.xpt"))) == 4
+    back = spark.read.format("xport").option("rangeBytes", 9000).load(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
