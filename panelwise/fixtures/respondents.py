@@ -71,9 +71,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 
 def respondent_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The survey tables as the loader would leave them: integer key, coded doubles."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
-        "o_orderkey AS k", "o_custkey AS c"
-    )
+    # A given schema saves the job that would infer it.
+    known = spark.read.schema("o_orderkey bigint, o_custkey bigint")
+    orders = known.parquet(f"{sf_dir}/orders.parquet").toDF("k", "c")
     return {
         name: orders.filter(kept).selectExpr(
             "CAST(CAST(k AS DOUBLE) AS BIGINT) AS seqn",

@@ -67,20 +67,22 @@ def star_left_join(
     With `hot_keys` given (an empty list is fine) base rows of those keys, and
     base rows without a key, are spread over `spread` salts instead of landing
     in one task; the few matching rows on the other side are repeated per salt.
+    Salting goes by row position, which is the same in every run of a task
+    that reads files; write a base that comes out of a shuffle to a table first.
     """
     names = [n for n in tables if n in required]
     names += [n for n in tables if n not in required and tables[n].columns != [key]]
     frames = {n: tables[n] for n in names}
-    on = [key]
     if hot_keys is not None:
         base = base.withColumn(SALT, _base_salt(F.col(key), hot_keys, spread))
         frames = {n: _repeat_hot(df, key, hot_keys, spread) for n, df in frames.items()}
-        on = [key, SALT]
+    on = [key] if hot_keys is None else [key, SALT]
 
     def attach(left: DataFrame, name: str) -> DataFrame:
         return left.join(frames[name], on, "inner" if name in required else "left")
 
-    return reduce(attach, names, base).drop(SALT)
+    joined = reduce(attach, names, base)
+    return joined if hot_keys is None else joined.drop(SALT)
 
 
 def _is_hot(key: Column, hot_keys: Sequence) -> Column:
@@ -88,8 +90,6 @@ def _is_hot(key: Column, hot_keys: Sequence) -> Column:
 
 
 def _base_salt(key: Column, hot_keys: Sequence, spread: int) -> Column:
-    # Row ids follow partition and position, so a task that is run again after
-    # a lost executor salts its rows the same way.
     scattered = F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int")
     return F.when(key.isNull() | _is_hot(key, hot_keys), scattered).otherwise(0)
 

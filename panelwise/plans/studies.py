@@ -43,7 +43,7 @@ from panelwise.operators.joins import first_by_key
 from panelwise.operators.membership import aggregate_membership
 from panelwise.operators.ordering import label_rank, order_by_hidden, pinned_first
 from panelwise.operators.totals import stack_measures, with_overall
-from panelwise.plans.cohort import KEY, adults, answers_of, build_cohort
+from panelwise.plans.cohort import BASE, KEY, adults, answers_of, build_cohort
 
 Tables = Mapping[str, DataFrame]
 HotKeys = Sequence | None
@@ -57,6 +57,15 @@ CONDITION_ANSWERS = {
 COVERAGE_ANSWER = {"insurance": ["hiq011"]}
 CARE_ANSWERS = {"healthcare_util": ["huq010", "huq030", "huq042", "huq055", "huq090"]}
 DRUG_ANSWERS = {"medications": ["rxq033", "rxq050"]}
+DIET_ANSWERS = {
+    "healthcare_util": ["huq055"],
+    "weight_history": ["whq070"],
+    "dietary_total_day1": ["drqsdiet"],
+}
+SOURCES = [
+    BASE,
+    *(CONDITION_ANSWERS | COVERAGE_ANSWER | CARE_ANSWERS | DRUG_ANSWERS | DIET_ANSWERS),
+]
 
 INSURED, UNINSURED = "Insured", "Uninsured"
 ALL_ADULTS = "All Adults (overall)"
@@ -213,11 +222,7 @@ def q5_high_value_cohorts(tables: Tables, hot_keys: HotKeys = None) -> DataFrame
     # Condition and coverage tables reach no output column and are not joined.
     cohort = build_cohort(
         tables,
-        {
-            "healthcare_util": ["huq055"],
-            "weight_history": ["whq070"],
-            "dietary_total_day1": ["drqsdiet"],
-        },
+        DIET_ANSWERS,
         columns=["riagendr", "ridageyr"],
         hot_keys=hot_keys,
     ).select(

@@ -11,27 +11,46 @@ from pyspark.sql import SparkSession
 import panelwise
 from panelwise.sources.transport import TransportSource
 
-# Runtime re-planning splits a join partition that holds a hot key, also where
-# that costs one more shuffle further up a chain of joins.
+# Runtime re-planning merges small shuffle partitions, and splits a join
+# partition that holds a hot key, also where that costs one more shuffle
+# further up a chain of joins.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+PREPARED = "panelwise.prepared"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the transport source known, and apply the settings nobody has set."""
-    for name, value in SETTINGS.items():
-        if spark.conf.get(name, None) is None:
-            spark.conf.set(name, value)
-    # Workers get this package's code with the tasks, installed there or not.
-    cloudpickle.register_pickle_by_value(panelwise)
-    spark.dataSource.register(TransportSource)
+    if spark.conf.get(PREPARED, None) is None:
+        wanted = {**SETTINGS, "spark.sql.shuffle.partitions": str(shuffle_partitions(spark))}
+        for name, value in wanted.items():
+            if spark.conf.get(name, None) is None:
+                spark.conf.set(name, value)
+        # Workers get this package's code with the tasks, installed there or not.
+        cloudpickle.register_pickle_by_value(panelwise)
+        spark.dataSource.register(TransportSource)
+        spark.conf.set(PREPARED, "true")
     return spark
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """How many partitions a shuffle starts with; unneeded ones are merged at run time.
+
+    The number must be high from the start on a cluster: it can shrink but not
+    grow, and the cores known now may be a fraction of those used later.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return cores if is_local(spark) else max(4000, 4 * cores)
+
+
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new directory for written tables, in the folder the cluster shares.
 
@@ -41,6 +60,6 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix=f"{purpose}-")

@@ -33,6 +33,7 @@ TRAILING_BLANKS = b" \t\n\r\x0b\x0c\x00"
 NUMERIC, TEXT = 1, 2
 
 DEFAULT_RANGE = 64 << 20
+MAX_RANGES = 100_000
 BATCH_BYTES = 8 << 20
 
 
@@ -221,15 +222,21 @@ class TransportReader(DataSourceReader):
         self.share = share
 
     def partitions(self) -> list[ByteRanges]:
-        """Cut large files, pack small ones, by listed sizes alone."""
+        """Cut large files, pack small ones, by listed sizes alone.
+
+        Tasks read batch by batch, so a share may exceed memory; it grows where
+        the driver would otherwise have to keep track of too many of them.
+        """
+        files = list_transport_files(self.uris)
+        share = max(self.share, sum(size for _, size in files) // MAX_RANGES)
         packed: list[ByteRanges] = []
         room = 0
-        for uri, size in list_transport_files(self.uris):
-            for start in range(0, size, self.share):
-                end = min(size, start + self.share)
+        for uri, size in files:
+            for start in range(0, size, share):
+                end = min(size, start + share)
                 if end - start > room:
                     packed.append(ByteRanges([]))
-                    room = self.share
+                    room = share
                 packed[-1].ranges.append((uri, start, end))
                 room -= end - start
         return packed

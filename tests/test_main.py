@@ -1,0 +1,45 @@
+"""The command line: load, then report."""
+
+from __future__ import annotations
+
+import sys
+
+import pytest
+
+from panelwise.__main__ import main
+from panelwise.sources.registry import SURVEY
+from tests import survey as plain
+from tests.test_ingest import land
+
+
+@pytest.fixture
+def run(spark, monkeypatch, capsys):
+    def call(*arguments) -> str:
+        monkeypatch.setattr(sys, "argv", ["panelwise", *map(str, arguments)])
+        main()
+        return capsys.readouterr().out
+
+    return call
+
+
+def test_load_then_report(run, spark, tmp_path):
+    survey = plain.random_survey(31, 80)
+    files = {e.table: e.file for e in SURVEY}
+    for table, rows in survey.items():
+        names = ["SEQN", *[c.upper() for c in plain.COLUMNS[table]]]
+        values = zip(*rows, strict=True)
+        land(tmp_path / files[table], {
+            n: [None if v is None else float(v) for v in column]
+            for n, column in zip(names, values, strict=True)
+        })
+    shown = run("load", tmp_path, tmp_path / "tables")
+    assert shown.count("|loaded") == 9 and shown.count("|failed") == 18
+    assert "- No conditions" in run("report", "q4_comorbidity", tmp_path / "tables")
+    run("report", "q7_rx_by_comorbidity", tmp_path / "tables", "--out", tmp_path / "q7")
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "q7")).collect()))
+    assert got == plain.prescriptions(plain.adults(survey))
+
+
+def test_unknown_study_is_refused(run, tmp_path):
+    with pytest.raises(SystemExit):
+        run("report", "q8", tmp_path)
