@@ -13,12 +13,15 @@ from panelwise.sources.transport import TransportSource
 
 # Runtime re-planning merges small shuffle partitions, and splits a join
 # partition that holds a hot key, also where that costs one more shuffle
-# further up a chain of joins.
+# further up a chain of joins. The last setting lets joins of bucketed tables
+# rely on the order inside a bucket, which is one sorted file, instead of
+# sorting it again.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 PREPARED = "panelwise.prepared"
 

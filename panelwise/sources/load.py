@@ -38,33 +38,46 @@ def normalised(df: DataFrame, key: str | None = None) -> DataFrame:
     return df if key is None else df.withColumn(key, integer_key(key))
 
 
-def replace_table(df: DataFrame, path: str) -> int:
-    """Write `df` over whatever is at `path`; returns the rows written.
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """`df`, and the row count that its next write will leave behind.
 
     The count is taken while writing, not by reading the table again.
     """
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def replace_table(df: DataFrame, path: str) -> int:
+    """Write `df` over whatever is at `path`; returns the rows written."""
+    df, seen = counted(df)
+    df.write.mode("overwrite").parquet(path)
     return seen.get["rows"]
 
 
-def replace_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Write `df` over a catalog table bucketed by its unique key.
+def replace_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> int:
+    """Write `df` over a catalog table bucketed by its unique key; returns the rows written.
 
     Tables with the same number of buckets join on the key without a shuffle.
     Rows are brought together per bucket first, so each bucket is one file.
     """
+    df, seen = counted(df)
     (
         df.repartition(buckets, key).write.mode("overwrite")
         .bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
     )
+    return seen.get["rows"]
 
 
 def open_tables(spark: SparkSession, target: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Loaded tables by name."""
+    """Tables loaded as files, by name."""
     return {name: spark.read.parquet(f"{target}/{name}") for name in names}
 
 
+def open_bucketed(spark: SparkSession, database: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Tables loaded into buckets, by name."""
+    return {name: spark.table(f"{database}.{name}") for name in names}
+
+
 def register_tables(tables: Mapping[str, DataFrame]) -> None:
     """Make the tables known to `spark.sql` under their names."""
     for name, df in tables.items():
@@ -79,10 +92,15 @@ def load_registry(
     source: str = "xport",
     key: str | None = "seqn",
     check_key: bool = True,
+    buckets: int | None = None,
     at_once: int = 4,
 ) -> DataFrame:
     """Load every entry's file into its table; returns one status row per entry.
 
+    `target` is a directory of Parquet tables or, with `buckets`, a database
+    whose tables get that many buckets by the key. Choose buckets so that the
+    largest table has a few hundred megabytes in each.
+
     A file that is absent, is an error page, or cannot be parsed is reported
     and the others go on. A failing sink stops the load, and so does a key that
     is not unique unless `check_key` is off. The driver only submits jobs, a
@@ -92,20 +110,23 @@ def load_registry(
     kinds = {e: _kind(uri) for e, uri in uris.items()}
     files = [uris[e] for e, kind in kinds.items() if kind == fs.FileType.File]
     pages = _error_pages(spark, files)
+    opened = open_tables if buckets is None else open_bucketed
 
     def load(entry: Entry) -> tuple:
         if kinds[entry] == fs.FileType.NotFound or entry.file in pages:
             return (entry.file, entry.table, FAILED, DOWNLOAD_FAILED, None)
-        path = f"{target.rstrip('/')}/{entry.table}"
         try:
             df = normalised(spark.read.format(source).load(uris[entry]), key)
-            rows = replace_table(df, path)
+            if buckets is None:
+                rows = replace_table(df, f"{target}/{entry.table}")
+            else:
+                rows = replace_bucketed(df, f"{target}.{entry.table}", key, buckets)
         except PySparkException as e:
             if not _is_parse_failure(e):
                 raise
             return (entry.file, entry.table, FAILED, PARSE_FAILED, None)
         if key is not None and check_key:
-            assert_unique_key(spark.read.parquet(path), key)
+            assert_unique_key(opened(spark, target, [entry.table])[entry.table], key)
         return (entry.file, entry.table, LOADED, None, rows)
 
     with ThreadPoolExecutor(at_once) as pool:

@@ -16,6 +16,7 @@ from panelwise.sources.load import (
     load_registry,
     lowercase_columns,
     normalised,
+    open_bucketed,
     open_tables,
     register_tables,
     replace_bucketed,
@@ -168,11 +169,27 @@ def test_from_transport_files_to_studies(spark, tmp_path):
     assert n == len(people)
 
 
+def test_load_into_buckets(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS loaded")
+    ids = [float(i) for i in range(300)]
+    land(tmp_path / "A.xpt", {"SEQN": ids, "X": ids})
+    land(tmp_path / "B.xpt", {"SEQN": [1.0, 1.0]})
+    entries = [Entry("A.xpt", "a", "")]
+    status = load_registry(spark, str(tmp_path), "loaded", entries, buckets=3)
+    assert status.first().rows == 300
+    table = open_bucketed(spark, "loaded", ["a"])["a"]
+    assert table.dtypes == [("seqn", "bigint"), ("x", "double")]
+    assert sorted(r.seqn for r in table.collect()) == list(range(300))
+    assert len(table.inputFiles()) == 3
+    with pytest.raises(DuplicateKeyError):
+        load_registry(spark, str(tmp_path), "loaded", [Entry("B.xpt", "b", "")], buckets=3)
+
+
 def test_bucketed_tables_hold_one_file_per_bucket(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS buckets")
     df = spark.range(1000).toDF("seqn")
-    replace_bucketed(df, "buckets.t", "seqn", 4)
-    replace_bucketed(df.filter("seqn < 500"), "buckets.t", "seqn", 4)
+    assert replace_bucketed(df, "buckets.t", "seqn", 4) == 1000
+    assert replace_bucketed(df.filter("seqn < 500"), "buckets.t", "seqn", 4) == 500
     stored = spark.table("buckets.t")
     assert stored.count() == 500
     assert len(stored.inputFiles()) == 4

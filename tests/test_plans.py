@@ -63,9 +63,10 @@ def test_each_input_is_shuffled_once(name, stored, no_broadcast):
 
 
 @pytest.mark.parametrize("name", JOINS)
-def test_bucketed_inputs_are_not_shuffled(name, stored, no_broadcast):
+def test_bucketed_inputs_are_neither_shuffled_nor_sorted(name, stored, no_broadcast):
     plan = executed(STUDIES[name](stored[1]))
     assert "Exchange hashpartitioning(seqn" not in plan
+    assert "Sort [seqn" not in plan
     assert STUDIES[name](stored[1]).collect() == STUDIES[name](stored[0]).collect()
 
 
