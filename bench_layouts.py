@@ -41,6 +41,7 @@ from panelwise.sources.load import open_tables, replace_bucketed, replace_table
 
 
 COPIES = int(os.environ.get("BENCH_COPIES", "1"))
+PARTITIONS = os.environ.get("BENCH_PARTITIONS", CPUS)
 
 
 def multiplied(spark, home: str) -> str:
@@ -76,7 +77,7 @@ def main() -> None:
     home = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark = prepare(
         SparkSession.builder.master(f"local[{CPUS}]")
-        .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_PARTITIONS", CPUS))
+        .config("spark.sql.shuffle.partitions", PARTITIONS)
         .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.warehouse.dir", f"{home}/warehouse")
         .config("spark.ui.enabled", "false")
@@ -88,7 +89,7 @@ def main() -> None:
     views = respondent_views(spark, SF_DIR if COPIES == 1 else multiplied(spark, home))
     for name, df in views.items():
         replace_table(df, f"{home}/{name}")
-        replace_bucketed(df, name, "seqn", int(CPUS))
+        replace_bucketed(df, name, "seqn", int(PARTITIONS))
     plain = open_tables(spark, home, list(views))
     bucketed = {name: spark.table(name) for name in views}
 

@@ -41,7 +41,8 @@ def normalised(df: DataFrame, key: str | None = None) -> DataFrame:
 def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     """`df`, and the row count that its next write will leave behind.
 
-    The count is taken while writing, not by reading the table again.
+    The count is taken in the tasks that write, so it neither reads the table
+    again nor counts twice when an earlier stage has to be repeated.
     """
     seen = Observation()
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
@@ -60,10 +61,10 @@ def replace_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> int:
     Tables with the same number of buckets join on the key without a shuffle.
     Rows are brought together per bucket first, so each bucket is one file.
     """
-    df, seen = counted(df)
+    df, seen = counted(df.repartition(buckets, key))
     (
-        df.repartition(buckets, key).write.mode("overwrite")
-        .bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        .format("parquet").saveAsTable(table)
     )
     return seen.get["rows"]
 

@@ -23,7 +23,7 @@ from panelwise.sources.load import (
     replace_table,
 )
 from panelwise.sources.registry import SURVEY, Entry, registry
-from panelwise.sources.transport import NUMERIC
+from panelwise.sources.transport import NUMERIC, TEXT
 from tests import survey as plain
 
 ERROR_PAGE = b"<!DOCTYPE html>\n<html><title>Page Not Found</title></html>"
@@ -105,6 +105,8 @@ def test_load_reports_each_file_and_goes_on(spark, tmp_path):
     (tmp_path / "B.xpt").write_bytes(ERROR_PAGE)
     (tmp_path / "C.xpt").write_bytes(b"neither a page nor a table")
     land(tmp_path / "E.xpt", {"SEQN": []})
+    latin = header([OutField("W", TEXT, 4)]) + b"ab\xff ".ljust(80)
+    (tmp_path / "F.xpt").write_bytes(latin)
     entries = [Entry(f"{c}.xpt", f"t_{c.lower()}", "") for c in "ABCDE"]
     target = str(tmp_path / "out")
     got = status_of(load_registry(spark, str(tmp_path), target, entries))
@@ -115,6 +117,9 @@ def test_load_reports_each_file_and_goes_on(spark, tmp_path):
         "D.xpt": ("t_d", "failed", "download failed", None),
         "E.xpt": ("t_e", "loaded", None, 0),
     }
+    keyless = [Entry("F.xpt", "t_f", "")]
+    got = status_of(load_registry(spark, str(tmp_path), target, keyless, key=None))
+    assert got["F.xpt"] == ("t_f", "failed", "parse failed", None)
     table = open_tables(spark, target, ["t_a"])["t_a"]
     assert table.dtypes == [("seqn", "bigint"), ("bmxbmi", "double")]
     assert sorted(map(tuple, table.collect())) == [(1, 20.0), (2, None), (3, 31.5)]
