@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT = "__salt"
+# Keys are a few bytes each, so this many stay well below an executor's memory.
+BROADCAST_ROWS = 1_000_000
 
 
 class DuplicateKeyError(ValueError):
@@ -107,9 +109,12 @@ def first_by_key(
 
     Left joins keep every base row, so the first `n` base rows decide which
     keys can appear. The other tables are cut to those keys by a semi join
-    whose broadcast side is `n` rows at most: no large table is shuffled.
+    whose small side is `n` rows at most, and broadcast while that is few: no
+    large table is shuffled.
     """
     top = base.orderBy(key).limit(n)
-    wanted = F.broadcast(top.select(key))
+    wanted = top.select(key)
+    if n <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     cut = {name: df.join(wanted, key, "left_semi") for name, df in tables.items()}
     return star_left_join(top, cut, key).orderBy(key).limit(n)

@@ -28,9 +28,11 @@ MEMBER_CARD = b"HEADER RECORD*******MEMBER  HEADER RECORD!!!!!!!"
 NAMES_CARD = b"HEADER RECORD*******NAMESTR HEADER RECORD!!!!!!!"
 ROWS_CARD = b"HEADER RECORD*******OBS     HEADER RECORD!!!!!!!"
 HEADER_CARDS = 8
+DESCRIPTOR_SIZES = (b"140", b"136")
 MISSING_MARKS = b"._ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TRAILING_BLANKS = b" \t\n\r\x0b\x0c\x00"
 NUMERIC, TEXT = 1, 2
+WIDTHS = {NUMERIC: range(2, 9), TEXT: range(1, 1 << 15)}
 
 DEFAULT_RANGE = 64 << 20
 MAX_RANGES = 100_000
@@ -72,11 +74,10 @@ def read_layout(handle, name: str) -> Layout:
         and names_card.startswith(NAMES_CARD)
     ):
         raise TransportFormatError(f"{name}: not a transport file")
-    try:
-        count = int(names_card[54:58])
-        size = int(head[3 * CARD + 75:3 * CARD + 78])
-    except ValueError as e:
-        raise TransportFormatError(f"{name}: damaged header") from e
+    counted, sized = names_card[54:58], head[3 * CARD + 75:3 * CARD + 78]
+    if not counted.isdigit() or sized not in DESCRIPTOR_SIZES:
+        raise TransportFormatError(f"{name}: damaged header")
+    count, size = int(counted), int(sized)
     block = -(-count * size // CARD) * CARD
     described = read_range(handle, HEADER_CARDS * CARD, block + CARD)
     if not described[block:].startswith(ROWS_CARD):
@@ -91,8 +92,8 @@ def read_layout(handle, name: str) -> Layout:
 def _field(raw: bytes, name: str) -> Field:
     kind, _, width = struct.unpack_from(">hhh", raw, 0)
     (start,) = struct.unpack_from(">i", raw, 84)
-    column = raw[8:16].decode("ascii").rstrip()
-    if kind not in (NUMERIC, TEXT) or (kind == NUMERIC and not 2 <= width <= 8) or width < 1:
+    column = raw[8:16].decode("ascii", "replace").rstrip()
+    if width not in WIDTHS.get(kind, ()) or not column.isascii():
         raise TransportFormatError(f"{name}: column {column} has type {kind}, width {width}")
     return Field(column, kind, width, start)
 

@@ -178,7 +178,8 @@ def test_blank_rows_are_data_except_in_the_fill(tmp_path):
 
 @pytest.mark.parametrize("content", [
     b"", b"<!DOCTYPE html><title>Page Not Found</title>", header(FIELDS)[:500],
-    header(FIELDS)[:640], header([]),
+    header(FIELDS)[:640], header([]), header(FIELDS).replace(b"0140", b"0080"),
+    header(FIELDS).replace(b"SEQN", b"S\xc3QN"),
     header(FIELDS).replace(b"NAMESTR HEADER RECORD!!!!!!!0000000003", b"NAMESTR HEADER "
                            b"RECORD!!!!!!!000000000x"),
 ])
