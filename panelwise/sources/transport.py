@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -30,7 +31,7 @@ ROWS_CARD = b"HEADER RECORD*******OBS     HEADER RECORD!!!!!!!"
 HEADER_CARDS = 8
 DESCRIPTOR_SIZES = (b"140", b"136")
 MISSING_MARKS = b"._ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-TRAILING_BLANKS = b" \t\n\r\x0b\x0c\x00"
+TRAILING_BLANKS = " \t\n\r\x0b\x0c\x00"
 NUMERIC, TEXT = 1, 2
 WIDTHS = {NUMERIC: range(2, 9), TEXT: range(1, 1 << 15)}
 
@@ -116,38 +117,39 @@ def record_count(handle, layout: Layout, size: int) -> int:
     return count
 
 
+IS_MISSING_MARK = np.isin(np.arange(256), list(MISSING_MARKS))
+# The first byte of a number is its sign and its exponent of 16, which together
+# are one factor for the 56-bit fraction. All factors are exact doubles.
+FACTOR = np.array([
+    (-1.0 if byte & 0x80 else 1.0) * 2.0 ** (4 * ((byte & 0x7F) - 64) - 56)
+    for byte in range(256)
+])
+FRACTION_BITS = np.uint64((1 << 56) - 1)
+
+
 def decode_numbers(raw: np.ndarray) -> pa.Array:
     """IBM hexadecimal floats, one per row of a byte matrix; missing marks give null."""
     rows, width = raw.shape
     full = np.zeros((rows, 8), dtype=np.uint8)
     full[:, :width] = raw
-    bits = full.view(">u8").reshape(rows).astype(np.uint64)
-    fraction = bits & np.uint64((1 << 56) - 1)
+    fraction = full.view(">u8").reshape(rows).astype(np.uint64) & FRACTION_BITS
+    missing = IS_MISSING_MARK[full[:, 0]] & (fraction == 0)
     # A double keeps 53 bits of the 56; longer fractions are cut, not rounded.
-    for drop in (1, 2, 3):
-        wide = fraction >= np.uint64(1 << (52 + drop))
-        fraction[wide] &= ~np.uint64((1 << drop) - 1)
-    exponent = ((bits >> np.uint64(56)) & np.uint64(0x7F)).astype(np.int32)
-    values = np.ldexp(fraction.astype(np.float64), 4 * (exponent - 64) - 56)
-    values[(bits >> np.uint64(63)) == 1] *= -1.0
-    marked = np.isin(full[:, 0], np.frombuffer(MISSING_MARKS, dtype=np.uint8))
-    missing = marked & ~full[:, 1:].any(axis=1)
-    return pa.array(values, mask=missing)
+    excess = np.zeros(rows, dtype=np.uint64)
+    for bits in (53, 54, 55):
+        excess += fraction >= np.uint64(1 << bits)
+    fraction = fraction >> excess << excess
+    return pa.array(fraction.astype(np.float64) * FACTOR[full[:, 0]], mask=missing)
 
 
 def decode_text(raw: np.ndarray) -> pa.Array:
     """UTF-8 text, one value per row of a byte matrix, without trailing blanks."""
     rows, width = raw.shape
-    solid = ~np.isin(raw, np.frombuffer(TRAILING_BLANKS, dtype=np.uint8))
-    kept = np.where(solid.any(axis=1), width - np.argmax(solid[:, ::-1], axis=1), 0)
-    offsets = np.zeros(rows + 1, dtype=np.int32)
-    np.cumsum(kept, out=offsets[1:])
-    text = raw[np.arange(width) < kept[:, None]]
-    values = pa.Array.from_buffers(
-        pa.string(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(text)]
+    packed = pa.Array.from_buffers(
+        pa.binary(width), rows, [None, pa.py_buffer(np.ascontiguousarray(raw))]
     )
-    values.validate(full=True)
-    return values
+    text = packed.cast(pa.binary()).cast(pa.string())
+    return pc.ascii_rtrim(text, characters=TRAILING_BLANKS)
 
 
 def decode_records(chunk: bytes, layout: Layout) -> pa.RecordBatch:

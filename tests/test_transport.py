@@ -161,6 +161,9 @@ def test_every_missing_mark_is_null_and_nothing_else_is():
 def test_text_loses_trailing_blanks_only():
     raw = encode_text(pa.array([" a b ", "", None, "ééé", "\t x\t"]), 8)
     assert decode_text(raw).to_pylist() == [" a b", "", "", "ééé", "\t x"]
+    zeros = np.frombuffer(b"x\x00y \x00", dtype=np.uint8).reshape(1, 5)
+    assert decode_text(zeros).to_pylist() == ["x\x00y"]
+    assert decode_text(raw[:, 2:5][:0]).to_pylist() == []
     with pytest.raises(ValueError, match="longer than 2 bytes"):
         encode_text(pa.array(["abc"]), 2)
 
