@@ -44,19 +44,29 @@ class PieceCache:
         if len(self.known) + len(self.after_blank) > self.limit:
             self.known.clear()
             self.after_blank.clear()
-        split = [t.split(" ") for t in texts]
-        firsts = {s[0] for s in split}
-        unseen = set().union(*split) - self.after_blank.keys()
-        whole = [p for p in unseen if p and not p[-1].isspace()]
-        self.after_blank.update(zip(whole, self.encode([" " + p for p in whole]), strict=True))
-        self._learn({p for p in firsts if p and not p[-1].isspace()})
-        get, out = self.after_blank.__getitem__, []
-        for text, parts in zip(texts, split, strict=True):
+        out = []
+        for text in texts:
+            first, *parts = text.split(" ")
             try:
-                head = self.known[parts[0]]
-                out.append(head + b"".join(map(get, parts[1:])))
-            except KeyError:  # white space before a blank
+                out.append(self._first(first) + b"".join(map(self.after_blank.__getitem__, parts)))
+                continue
+            except KeyError:
+                pass
+            unseen = {p for p in parts if p not in self.after_blank}
+            # A piece that is empty or ends in white space goes on after the blank.
+            if first and all(p and not p[-1].isspace() for p in [first[-1], *unseen]):
+                new = list(unseen)
+                self.after_blank.update(zip(new, self.encode([" " + p for p in new]), strict=True))
+                out.append(self._first(first) + b"".join(map(self.after_blank.__getitem__, parts)))
+            else:
                 own = pieces(text)
                 self._learn(set(own))
                 out.append(b"".join(map(self.known.__getitem__, own)))
         return out
+
+    def _first(self, piece: str) -> bytes:
+        if not piece or piece[-1].isspace():
+            raise KeyError(piece)
+        if piece not in self.known:
+            self._learn({piece})
+        return self.known[piece]

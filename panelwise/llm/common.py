@@ -29,6 +29,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed by a key: joins on it do not move them again."""
+    spark = df.sparkSession
+    name = f"{purpose}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(spark, purpose))
+    writer.bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,18 +6,21 @@ anchor; equal windows have equal anchors at equal offsets. So it is enough to
 sort the suffixes that start at anchors (about one position in 16), together
 with the bytes before them that their windows reach:
 
-1. Documents are packed into blocks, stored once.
+1. Documents are packed into blocks, stored once and bucketed, so that joining
+   them with what they are told moves no text.
 2. Blocks send the hashes of their anchors, four bytes each, to the hash's
    bucket and learn which occur in another block, and which in very many.
-3. Every other anchor's suffix and left context is sorted inside its block,
-   equal ones once with their smallest document id. The sorted runs are
-   front-coded (common prefix length and the rest) and sent to buckets by the
-   hash of their first k bytes, so that all equal windows meet.
-4. A bucket merges the runs with a loser tree. Each contender knows its common
+3. The bytes around every other anchor, its context, are digested; blocks send
+   96 bits and the smallest document id per distinct context. Of the blocks
+   that hold a context one is elected, so copies are sent once.
+4. Elected blocks sort the suffixes (with the bytes before them) and send the
+   sorted runs front-coded (common prefix length and the rest) to buckets by
+   the hash of their first k bytes, so that all equal windows meet.
+5. A bucket merges the runs with a loser tree. Each contender knows its common
    prefix with the last winner, so no known prefix is compared again. In one
    group of suffixes with the same k-gram the smallest id of each window is
-   found and returned where it is smaller than the block knew.
-5. Blocks mark and cut the windows.
+   found, and told to all blocks that hold the context.
+6. Blocks mark and cut the windows.
 
 An anchor found in very many blocks would make a large group. Its windows are
 sent one by one instead, dealt by the hash of all their bytes, and each is its
@@ -27,6 +30,7 @@ own group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -37,9 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm.common import (
+    bucketed,
     buckets_of,
     pack_arrays,
     pack_batch,
+    per_worker,
     slices,
     spread,
     stored,
@@ -53,8 +59,8 @@ GRAM = 20
 NO_ID = np.iinfo(np.int64).max
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-STEP = 1 << 20  # windows looked at together; their place must fit into 21 bits
-PLACE = np.uint64((1 << 21) - 1)
+STEP = 1 << 16  # windows looked at together; their place must fit into 17 bits
+PLACE = np.uint64((1 << 17) - 1)
 
 KEYED = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("packed", pa.binary())])
 KEYED_SQL = "block string, bucket int, packed binary"
@@ -68,23 +74,34 @@ def keyed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The powers of a number modulo 2**64, from 0 on; short rows are kept."""
 
+    def make(count: int) -> np.ndarray:
+        out = np.full(count, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
 
-def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed 64-bit hash of the `gram` bytes from each position."""
+    usual = STEP + 256
+    return make(n) if n > usual else per_worker(f"powers-{base}", lambda: make(usual))[:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def gram_hashes(raw: np.ndarray, *lengths: int) -> list[np.ndarray] | np.ndarray:
+    """For each length a mixed 64-bit hash of so many bytes from each position; alone if one is asked."""
     n = len(raw)
-    if n < gram:
-        return np.zeros(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
-    h = (sums[gram:] - sums[: n - gram + 1]) * powers(INVERSE, n - gram + 1)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    return h
+    inverse = powers(INVERSE, n)
+    out = [
+        mixed((sums[size:] - sums[: n - size + 1]) * inverse[: n - size + 1]) if n >= size else np.zeros(0, np.uint64)
+        for size in lengths
+    ]
+    return out[0] if len(lengths) == 1 else out
 
 
 class Anchors:
@@ -100,7 +117,7 @@ class Anchors:
         parts = []
         for at in range(0, max(0, len(self.raw) - length + 1), STEP):
             to = min(at + STEP, len(self.raw) - length + 1)
-            hashes = gram_hashes(self.raw[at : to + length - 1], gram)
+            hashes, whole = gram_hashes(self.raw[at : to + length - 1], gram, length)
             ranked = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
             span = 1
             while span < reach:  # the least of ever longer ranges; ties go to the first place
@@ -108,22 +125,29 @@ class Anchors:
                 ranked = np.minimum(ranked[: len(ranked) - step], ranked[step:])
                 span += step
             place = (ranked & PLACE).astype(np.int64)
-            windows = np.arange(at, to)
-            doc = np.searchsorted(self.ends, windows, "right")
-            inside = windows + length <= self.ends[doc]
-            windows, place, doc = windows[inside], place[inside], doc[inside]
+            # Windows that would cross the end of a document.
+            near = self.ends[np.searchsorted(self.ends, at, "right") : np.searchsorted(self.ends, to + length)]
+            crossing = np.zeros(to - at + 1, np.int32)
+            np.add.at(crossing, np.clip(near - length + 1 - at, 0, to - at), 1)
+            np.add.at(crossing, np.clip(near - at, 0, to - at), -1)
+            windows = np.flatnonzero(np.cumsum(crossing[:-1]) == 0)
             if len(windows):
+                place = place[windows]
                 new = np.ones(len(windows), bool)
                 new[1:] = (np.diff(place) != 0) | (np.diff(windows) != 1)
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(windows)) - 1
-                parts.append((place[first] + at, windows[first], windows[last], doc[first], hashes[place[first]]))
-        columns = list(zip(*parts, strict=True)) if parts else [[np.zeros(0, np.int64)]] * 4 + [[np.zeros(0, np.uint64)]]
-        self.at, self.low, self.high, self.doc, self.hash = (np.concatenate(c) for c in columns)
+                low, high = windows[first], windows[last]
+                parts.append((place[first] + at, low + at, high + at, hashes[place[first]], whole[low], whole[high]))
+        kinds = [np.int64] * 3 + [np.uint64] * 3
+        columns = list(zip(*parts, strict=True)) if parts else [[np.zeros(0, k)] for k in kinds]
+        self.at, self.low, self.high, self.hash, self.first, self.last = (np.concatenate(c) for c in columns)
+        self.doc = np.searchsorted(self.ends, self.low, "right")
 
     def choose(self, which: np.ndarray) -> None:
         self.at, self.low, self.high = self.at[which], self.low[which], self.high[which]
         self.doc, self.hash = self.doc[which], self.hash[which]
+        self.first, self.last = self.first[which], self.last[which]
 
 
 def in_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,11 +178,14 @@ def group_of(key: bytes, gram: int) -> bytes:
 
 
 class Contexts:
-    """Distinct (bytes around an anchor, reach of its windows), with the smallest id of each."""
+    """Distinct (bytes around an anchor, reach of its windows), with the smallest id of each.
+
+    They are in the order of bucket, 64 and 32 bits of their digest.
+    """
 
-    def __init__(self, anchors: Anchors, ids: np.ndarray, hot: np.ndarray, gram: int, buckets: int):
-        raw = anchors.raw.tobytes()
-        length = anchors.length
+    def __init__(self, anchors: Anchors, ids: np.ndarray, hot: np.ndarray, buckets: int):
+        length = self.length = anchors.length
+        self.raw = anchors.raw.tobytes()
         at, low, high, doc = anchors.at, anchors.low, anchors.high, anchors.doc
         # The windows of a hot anchor stand alone: each starts at its own "anchor".
         n = (high - low + 1)[hot]
@@ -167,37 +194,40 @@ class Contexts:
         self.low = np.concatenate([low[~hot], alone])
         self.high = np.concatenate([high[~hot], alone])
         self.id = ids[np.concatenate([doc[~hot], np.repeat(doc[hot], n)])]
-        known: dict[bytes, int] = {}
-        left, right = self.at - self.low, self.at - self.high
-        single = len(at[~hot])
-        member = []
-        for i, (p, a, z, b) in enumerate(
-            zip(self.at.tolist(), self.low.tolist(), self.high.tolist(), right.tolist(), strict=True)
-        ):
-            key = make_key(i >= single, raw[p : z + length], raw[a:p], b)
-            member.append(known.setdefault(key, len(known)))
-        self.member = np.array(member, np.int64)
-        self.keys = list(known)
-        self.least = np.full(len(known), NO_ID)
+        self.alone = np.arange(len(self.at)) >= len(at) - int(hot.sum())
+        # The first and the last window overlap and together are all the bytes.
+        own = np.array([xxhash.xxh3_64_intdigest(self.raw[a : a + length]) for a in alone.tolist()], np.uint64)
+        first, last = np.concatenate([anchors.first[~hot], own]), np.concatenate([anchors.last[~hot], own])
+        reach = ((self.at - self.low) * 256 + (self.at - self.high)).astype(np.uint64) * np.uint64(2)
+        reach += self.alone.astype(np.uint64)
+        digest = mixed(mixed(first + reach) + last * np.uint64(0x94D049BB133111EB))
+        check = mixed(first * np.uint64(0xD6E8FEB86659FD93) + mixed(last + reach)) >> np.uint64(32)
+        deal = np.concatenate([anchors.hash[~hot], own])
+        bucket = ((deal >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((check, digest, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for column in (bucket, digest, check):
+            new[1:] |= column[order][1:] != column[order][:-1]
+        group = np.cumsum(new) - 1
+        self.member = np.empty(len(order), np.int64)
+        self.member[order] = group
+        self.example = order[new]
+        self.digest, self.check = digest[self.example], check[self.example].astype(np.uint32)
+        self.least = np.full(len(self.example), NO_ID)
         np.minimum.at(self.least, self.member, self.id)
-        self.gram, self.buckets = gram, buckets
-
-    def runs(self) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-        """Per bucket the numbers of its contexts, in the order of their bytes."""
-        place = np.array(
-            [xxhash.xxh3_64_intdigest(group_of(k, self.gram)) % self.buckets for k in self.keys],
-            np.int64,
-        )
-        order = sorted(range(len(self.keys)), key=self.keys.__getitem__)
-        order = np.array(order, np.int64)[np.argsort(place[order], kind="stable")] if order else np.zeros(0, np.int64)
-        cuts = np.searchsorted(place[order], np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[b] : cuts[b + 1]]
-            yield b, own, [self.keys[i] for i in own]
+        self.cuts = np.searchsorted(bucket[self.example], np.arange(buckets + 1))
+
+    def key(self, context: int) -> bytes:
+        i = self.example[context]
+        p, a, z = int(self.at[i]), int(self.low[i]), int(self.high[i])
+        return make_key(bool(self.alone[i]), self.raw[p : z + self.length], self.raw[a:p], p - z)
 
 
 def common_prefix(x: bytes, y: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which `known` bytes need no look."""
+    if x == y:
+        return len(x)
     end = min(len(x), len(y))
     while end - known > 8:  # halve the unknown part
         middle = (known + end) // 2
@@ -309,45 +339,37 @@ def smallest_ids(group: list[tuple[bytes, int]], length: int) -> list[list[int]]
     return out
 
 
-def resolve(runs: list[tuple[str, np.ndarray, list[np.ndarray]]], gram: int, length: int) -> list[list[list[int]]]:
-    """Per run the verdicts (place in the run, from, to, smaller id), windows by reach to the left."""
+def resolve(runs: list[tuple[np.ndarray, list[np.ndarray]]], gram: int, length: int) -> list[list[list[int]]]:
+    """Per run of (smallest ids, front-coded keys) the verdicts (place in the run, from, to, smaller id).
+
+    from and to say how far windows reach to the left. Every key occurs once.
+    """
     verdicts: list[list[list[int]]] = [[] for _ in runs]
     counts = [0] * len(runs)
-    leasts = [r[1].tolist() for r in runs]
-
-    def settle(group: list[tuple[bytes, list[tuple[int, int, int]]]]) -> None:
-        holders = [(key, min(h[2] for h in held)) for key, held in group]
-        if len(group) == 1:
-            key, least = holders[0]
-            found = [[least] * (key[-2] - key[-1] + 1)]
-        else:
-            found = smallest_ids(holders, length)
-        for (key, held), ids in zip(group, found, strict=True):
-            for run, place, own in held:
-                if min(ids) >= own:
-                    continue
-                o = key[-1]
-                for value, same in groupby(ids):
-                    n = len(list(same))
-                    if value < own:
-                        verdicts[run].append([place, o, o + n - 1, value])
-                    o += n
-
-    group, last, start = [], None, None
-    for key, run in merge_runs([front_decode(*r[2]) for r in runs]):
-        holder = (run, counts[run], leasts[run][counts[run]])
-        counts[run] += 1
-        if key == last:
-            group[-1][1].append(holder)
-            continue
+    leasts = [r[0].tolist() for r in runs]
+
+    def settle(group: list[tuple[bytes, int]], holders: list[tuple[int, int]]) -> None:
+        for (key, own), (run, place), ids in zip(group, holders, smallest_ids(group, length), strict=True):
+            o = key[-1]
+            for value, same in groupby(ids):
+                n = len(list(same))
+                if value < own:
+                    verdicts[run].append([place, o, o + n - 1, value])
+                o += n
+
+    group, holders, start = [], [], None
+    for key, run in merge_runs([front_decode(*r[1]) for r in runs]):
+        place = counts[run]
+        counts[run] = place + 1
         begins = group_of(key, gram)
-        if begins != start and group:
-            settle(group)
-            group = []
-        group.append((key, [holder]))
-        last, start = key, begins
-    if group:
-        settle(group)
+        if begins != start:
+            if len(group) > 1:  # alone, a context has nothing to learn
+                settle(group, holders)
+            group, holders, start = [], [], begins
+        group.append((key, leasts[run][place]))
+        holders.append((run, place))
+    if len(group) > 1:
+        settle(group, holders)
     return verdicts
 
 
@@ -438,61 +460,124 @@ def repeated_passages(
         which = (elsewhere | (first < last))[place]
         is_hot = hot[place][which]
         anchors.choose(which)
-        return table, anchors, Contexts(anchors, ids, is_hot, gram, buckets)
+        return table, anchors, Contexts(anchors, ids, is_hot, buckets)
 
-    def send(blocks: pa.Table, told: pa.Table) -> pa.Table:
+    def told_by(rows_: pa.Table, kind: int) -> list[dict]:
+        return [r for r in rows_.to_pylist() if r["kind"] == kind]
+
+    def digest(blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for block in blocks.to_pylist():
             found = contexts(block, told.to_pylist())[2]
-            for b, own, keys in found.runs():
-                out.append((block["block"], b, pack_arrays(found.least[own], *front_code(keys))))
+            for b in np.flatnonzero(np.diff(found.cuts)).tolist():
+                own = slice(found.cuts[b], found.cuts[b + 1])
+                out.append((block["block"], b, pack_arrays(found.digest[own], found.check[own], found.least[own])))
+        return pa.Table.from_batches([keyed(out)])
+
+    def same_contexts(rows_: list[dict]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Where each block's contexts start, their ids, the number of each one's digest, and each digest's elected."""
+        asked = [unpack_arrays(r["packed"], "u8", "u4", "i8") for r in rows_]
+        digests, checks, least = (np.concatenate(c) for c in zip(*asked, strict=True))
+        order = np.lexsort((least, checks, digests))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(digests[order]) != 0) | (checks[order][1:] != checks[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        starts = np.cumsum([0, *(len(a[0]) for a in asked)]).tolist()
+        return starts, least, number, order[new]
+
+    def elect(table: pa.Table) -> pa.Table:
+        rows_ = sorted(table.to_pylist(), key=lambda r: r["block"])
+        starts, least, _, elected = same_contexts(rows_)
+        chosen = np.zeros(len(least), bool)
+        chosen[elected] = True
+        out = [(r["block"], r["bucket"], pack_arrays(np.packbits(chosen[a:z]))) for r, a, z in zip(rows_, starts, starts[1:], strict=False)]
+        return pa.Table.from_batches([keyed(out)])
+
+    def send(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        for block in blocks.to_pylist():
+            found = contexts(block, told_by(told, 0))[2]
+            for row in told_by(told, 1):
+                a, z = int(found.cuts[row["bucket"]]), int(found.cuts[row["bucket"] + 1])
+                mine = a + np.flatnonzero(np.unpackbits(unpack_arrays(row["packed"], "u1")[0], count=z - a))
+                run = sorted((found.key(c), c) for c in mine.tolist())
+                if run:
+                    order = np.array([c for _, c in run], np.int64)
+                    packed = pack_arrays((order - a).astype(np.uint32), found.least[order], *front_code([k for k, _ in run]))
+                    out.append((block["block"], row["bucket"], packed))
         return pa.Table.from_batches([keyed(out)])
 
     def merge(table: pa.Table) -> pa.Table:
-        runs = []
-        for row in table.to_pylist():
-            least, shared, lengths, rests = unpack_arrays(row["packed"], "i8", "u1", "u1", "u1")
-            runs.append((row["block"], least, [shared, lengths, rests]))
-        bucket = table.column("bucket")[0].as_py()
+        rows_, runs, places = table.to_pylist(), [], []
+        for row in rows_:
+            place, least, shared, lengths, rests = unpack_arrays(row["packed"], "u4", "i8", "u1", "u1", "u1")
+            places.append(place)
+            runs.append((least, [shared, lengths, rests]))
         out = []
-        for run, found in zip(runs, resolve(runs, gram, length), strict=True):
+        for row, place, found in zip(rows_, places, resolve(runs, gram, length), strict=True):
             if found:
-                out.append((run[0], bucket, pack_arrays(np.array(found, np.int64).reshape(-1))))
+                cells = np.array(found, np.int64)
+                cells[:, 0] = place[cells[:, 0]]
+                out.append((row["block"], row["bucket"], pack_arrays(cells.reshape(-1))))
+        return pa.Table.from_batches([keyed(out)])
+
+    def tell(digests_: pa.Table, verdicts_: pa.Table) -> pa.Table:
+        """What each block must know: the smallest id of each of its contexts, and of some of their windows."""
+        rows_ = sorted(digests_.to_pylist(), key=lambda r: r["block"])
+        if not rows_:
+            return pa.Table.from_batches([keyed([])])
+        starts, least, number, elected = same_contexts(rows_)
+        smallest = least[elected]
+        place_of = {r["block"]: a for r, a in zip(rows_, starts, strict=False)}
+        cells = []
+        for row in verdicts_.to_pylist():
+            own = unpack_arrays(row["packed"], "i8")[0].reshape(-1, 4).copy()
+            own[:, 0] = number[own[:, 0] + place_of[row["block"]]]
+            cells.append(own)
+        cells = np.concatenate(cells) if cells else np.zeros((0, 4), np.int64)
+        cells = cells[np.argsort(cells[:, 0], kind="stable")]
+        where = np.searchsorted(cells[:, 0], np.arange(len(elected) + 1))
+        out = []
+        for r, a, z in zip(rows_, starts, starts[1:], strict=False):
+            mine = number[a:z]
+            n = where[mine + 1] - where[mine]
+            own = cells[spread(where[mine], n)]
+            packed = pack_arrays(smallest[mine], np.repeat(np.arange(z - a), n), own[:, 1], own[:, 2], own[:, 3])
+            out.append((r["block"], r["bucket"], packed))
         return pa.Table.from_batches([keyed(out)])
 
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     schema = ", ".join([*fields, "n_bytes long, spans array<struct<start: long, end: long>>, kept binary"])
 
-    def cut(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+    def cut(blocks: pa.Table, told: pa.Table) -> pa.Table:
         batches = []
         for block in blocks.to_pylist():
-            replied = replies.to_pylist()
-            told = [r for r in replied if r["kind"] == 0]
-            table, anchors, found = contexts(block, told)
-            verdicts = {r["bucket"]: unpack_arrays(r["packed"], "i8")[0].reshape(-1, 4) for r in replied if r["kind"]}
-            batches.append(cut_block(table, anchors, found, verdicts))
+            batches.append(cut_block(*contexts(block, told_by(told, 0)), told_by(told, 2)))
         return pa.Table.from_batches(batches)
 
-    def cut_block(table, anchors: Anchors, found: Contexts, verdicts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    def cut_block(table: pa.Table, anchors: Anchors, found: Contexts, told: list[dict]) -> pa.RecordBatch:
         change = np.zeros(len(anchors.raw) + 1, np.int32)
 
         def mark(low: np.ndarray, high: np.ndarray) -> None:
             np.add.at(change, low, 1)
             np.add.at(change, high + length, -1)
 
-        mine = found.id > found.least[found.member]
-        mark(found.low[mine], found.high[mine])
         by_context = np.argsort(found.member, kind="stable")
-        where = np.searchsorted(found.member[by_context], np.arange(len(found.keys) + 1))
-        for b, own, _ in found.runs() if verdicts else ():
-            if b in verdicts:
-                place, from_, to, least = verdicts[b].T
-                context = own[place]
-                n = where[context + 1] - where[context]
-                member = by_context[spread(where[context], n)]
-                smaller = found.id[member] > np.repeat(least, n)
-                member = member[smaller]
-                mark(found.at[member] - np.repeat(to, n)[smaller], found.at[member] - np.repeat(from_, n)[smaller])
+        where = np.searchsorted(found.member[by_context], np.arange(len(found.example) + 1))
+        least = found.least.copy()
+        for row in told:
+            a, z = int(found.cuts[row["bucket"]]), int(found.cuts[row["bucket"] + 1])
+            smallest, context, from_, to, value = unpack_arrays(row["packed"], *["i8"] * 5)
+            least[a:z] = smallest
+            context = context + a
+            n = where[context + 1] - where[context]
+            member = by_context[spread(where[context], n)]
+            smaller = found.id[member] > np.repeat(value, n)
+            member = member[smaller]
+            mark(found.at[member] - np.repeat(to, n)[smaller], found.at[member] - np.repeat(from_, n)[smaller])
+        mine = found.id > least[found.member]
+        mark(found.low[mine], found.high[mine])
         gone = np.cumsum(change[:-1]) > 0
         spans, kept = [], []
         for a, z in zip(anchors.starts.tolist(), anchors.ends.tolist(), strict=True):
@@ -509,12 +594,19 @@ def repeated_passages(
         columns = [*own, pa.array(anchors.lengths), pa.array(spans, kind), pa.array(kept, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, [*(f"c{i}" for i in range(len(keep))), "n_bytes", "spans", "kept"])
 
-    blocks = stored(rows.mapInArrow(pack, KEYED_SQL), "passage-blocks")
+    def told_to(blocks_: DataFrame, run, schema_: str, *tables: DataFrame) -> DataFrame:
+        """Each block with the rows told to it; a table's rows carry its number as `kind`."""
+        told = reduce(DataFrame.union, [t.withColumn("kind", F.lit(i)) for i, t in enumerate(tables) if t is not None])
+        return blocks_.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema_)
+
+    blocks = bucketed(rows.mapInArrow(pack, KEYED_SQL), "block", "passage-blocks")
     flags = stored(blocks.mapInArrow(ask, KEYED_SQL).groupBy("bucket").applyInArrow(answer, KEYED_SQL), "passage-flags")
-    sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send, KEYED_SQL)
-    verdicts = stored(sent.groupBy("bucket").applyInArrow(merge, KEYED_SQL), "passage-verdicts")
-    replies = flags.withColumn("kind", F.lit(0)).union(verdicts.withColumn("kind", F.lit(1)))
-    out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, schema)
+    digests = stored(told_to(blocks, digest, KEYED_SQL, flags), "passage-digests")
+    elected = stored(digests.groupBy("bucket").applyInArrow(elect, KEYED_SQL), "passage-elected")
+    runs = told_to(blocks, send, KEYED_SQL, flags, elected)
+    verdicts = stored(runs.groupBy("bucket").applyInArrow(merge, KEYED_SQL), "passage-verdicts")
+    answers = digests.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(tell, KEYED_SQL)
+    out = told_to(blocks, cut, schema, flags, None, stored(answers, "passage-answers"))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept")
 
 

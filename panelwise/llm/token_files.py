@@ -17,7 +17,9 @@ with whole-array operations.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -132,19 +134,66 @@ class TokenFileReader:
         return np.concatenate(found)[start - first * self.block : end - first * self.block]
 
 
+# Fixed value: how byte-level BPE of this kind cuts pieces into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte to the letter that stands for it in a byte-level vocabulary.
+
+    Printable Latin-1 bytes stand for themselves, the others are numbered from 256 on.
+    """
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def make_encoder(tokenizer_json: bytes) -> PieceCache:
-    """Encodes distinct pieces of texts with the tokenizers library, as little-endian uint32."""
+    """Encodes distinct pieces of texts with the tokenizers library, as little-endian uint32.
+
+    A byte-level BPE is asked for each distinct word of the pieces once, other
+    tokenizers, and pieces that hold one of their special tokens, for whole
+    pieces.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json.decode())
+    parts = json.loads(tokenizer_json)
+    before = parts.get("pre_tokenizer") or {}
+    special = [t["content"] for t in parts.get("added_tokens", [])]
+    by_word = (
+        before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        and not parts.get("normalizer") and parts["model"]["type"] == "BPE"
+    )
+    find, letters, model = regex.compile(PATTERN).findall, byte_letters(), tokenizer.model
+    holds_special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
+    as_bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    class Words(dict):
+        """Ids of words, worked out when first asked for."""
+
+        def __missing__(self, word: str) -> bytes:
+            tokens = model.tokenize(word.encode().decode("latin-1").translate(letters))
+            found = self[word] = b"".join([as_bytes[t.id] for t in tokens])
+            return found
+
+    words = Words()
 
     def encode(texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 20_000):
-            for e in tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-
-    return PieceCache(encode)
+        if len(words) > 500_000:
+            words.clear()
+        for text in texts:
+            if not by_word or holds_special(text):
+                ids = tokenizer.encode(text, add_special_tokens=False).ids
+                yield b"".join([as_bytes[i] for i in ids])
+            elif text.isalpha() or (text[0] == " " and text[1:].isalpha()):
+                yield words[text]
+            else:
+                yield b"".join(map(words.__getitem__, find(text)))
+
+    return PieceCache(encode, 900_000)
 
 
 def write_token_files(
