@@ -54,6 +54,14 @@ def rank_encoder(tiktoken_file: bytes, pattern: str):
     )
 
 
+class Codes(dict):
+    """Words to their codes, as four bytes, in the order in which words are first asked for."""
+
+    def __missing__(self, word: str) -> bytes:
+        code = self[word] = len(self).to_bytes(4, "little")
+        return code
+
+
 class Block:
     """Pre-tokens of a run of documents: distinct words, and their codes by position."""
 
@@ -61,19 +69,19 @@ class Block:
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.cache = PieceCache(self._codes, 1 << 62)
         self.batches: list[pa.RecordBatch] = []
         self.sequences: list[bytes] = []
         self.size = 0
 
     def _codes(self, texts: list[str]) -> Iterator[bytes]:
-        code = self.code
+        of, find = self.code.__getitem__, self.find
         for text in texts:
-            words = self.find(text)
-            for w in words:
-                code.setdefault(w, len(code))
-            yield np.array([code[w] for w in words], "<u4").tobytes()
+            if text.isalpha() or (text[0] == " " and text[1:].isalpha()):  # letters are one match
+                yield of(text)
+            else:
+                yield b"".join(map(of, find(text)))
 
     def add(self, batch: pa.RecordBatch, texts: list[str]) -> None:
         self.sequences += self.cache.encode_texts(texts)
@@ -144,7 +152,8 @@ def encode(
     """The columns `keep` (by default doc_id) and `ids`, an array of token ids, per row.
 
     Each match of `pattern` is encoded on its own, without special tokens. A
-    null or empty text has no ids. Equal rows give equal rows; no row, no row.
+    null or empty text has no ids. The pattern must keep a run of letters, with
+    the blank before it, together and have white space only at a token's start. Equal rows give equal rows; no row, no row.
     Columns not kept are not read; a kept column called `ids` gives way. The
     rows must come in the same order when read again (as from files): a block
     whose words changed finds no answer and the job fails.
