@@ -20,8 +20,7 @@ def pieces(text: str) -> list[str]:
         else:
             out.append(held)
             held = " " + part
-    out.append(held)
-    return out
+    return [*out, held] if held else out
 
 
 class PieceCache:

@@ -39,7 +39,7 @@ MAGIC = b"PWBITS01"
 FOOTER = "<IIQQQ8s"
 BLOCK = 65_536
 MANIFEST = "task int, part int, file string, n_docs long, n_ids long"
-READ = "task int, part int, doc_id long, local_start long, n_tokens long, ids binary"
+READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def width(vocabulary: int) -> int:
@@ -275,31 +275,22 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
                     raw = reader.ids(int(firsts[at]), int(firsts[to])).astype("<u4")
                     cuts = (firsts[at : to + 1] - firsts[at]).tolist()
                     ids = [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                    n = to - at
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["task"]] * n, pa.int32()),
-                            pa.array([row["part"]] * n, pa.int32()),
                             pa.array(reader.doc_ids[at:to], pa.int64(), mask=reader.missing[at:to]),
-                            pa.array(firsts[at:to], pa.int64()),
+                            pa.array(firsts[at:to] + row["file_start"], pa.int64()),
                             pa.array(np.diff(firsts[at : to + 1]), pa.int64()),
                             pa.array(ids, pa.binary()),
                         ],
-                        ["task", "part", "doc_id", "local_start", "n_tokens", "ids"],
+                        ["doc_id", "start", "n_tokens", "ids"],
                     )
                     at = to
 
-    # One row per file: small enough to order in one task.
+    # One row per file: small enough to order in one task. The starts travel with the files.
     before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select(
-        "task", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("file_start")
-    )
-    spread = manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
-    return (
-        spread.mapInArrow(read, READ)
-        .join(starts, ["task", "part"])
-        .select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
-    )
+    files = manifest.withColumn("file_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    dealt = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    return dealt.mapInArrow(read, READ)
 
 
 def token_files(docs: DataFrame, tokenizer_json: bytes, **options) -> DataFrame:
