@@ -147,7 +147,7 @@ def encode(
     text_col: str = "text",
     keep: list[str] | None = None,
     buckets: int | None = None,
-    block_chars: int = 16_000_000,
+    block_chars: int = 8_000_000,
 ) -> DataFrame:
     """The columns `keep` (by default doc_id) and `ids`, an array of token ids, per row.
 

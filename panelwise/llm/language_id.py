@@ -306,7 +306,7 @@ def train(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in slices(batch, 1, 4_000_000):
+            for own in slices(batch, 1, 400_000):
                 langs = own.column(0).to_pylist()
                 entropy, n = models_of().cross_entropy(own.column(1).to_pylist())
                 names = models_of().languages
@@ -339,7 +339,7 @@ def predict(docs: DataFrame, models: LanguageModels, *, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in slices(batch, n, 2_000_000):
+            for own in slices(batch, n, 400_000):
                 texts = [t or "" for t in own.column(n).to_pylist()]
                 names, score, entropy, rejected = models_of().predict(texts)
                 yield pa.RecordBatch.from_arrays(
