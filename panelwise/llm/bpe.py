@@ -33,6 +33,7 @@ from panelwise.llm.common import (
     slices,
     spread,
     text_column,
+    trim,
     unpack_arrays,
     unpack_batch,
 )
@@ -106,8 +107,11 @@ def cut(batches, pattern: str, text_at: int, block_chars: int) -> Iterator[tuple
             if block.size >= block_chars:
                 yield block.key(number), block
                 number, block = number + 1, Block(pattern)
+                trim()
     if block.batches:
         yield block.key(number), block
+    del block
+    trim()
 
 
 def pack_words(words: list[str]) -> bytes:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -64,6 +66,15 @@ def per_worker(name: str, make: Callable):
     return home.__dict__[name]
 
 
+def trim() -> None:
+    """Give memory that a large block used back to the system, so that idle workers hold little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back is not None:
+        give_back(0)
+
+
 def share(spark: SparkSession, value) -> Callable:
     """A function that gives tasks a value of this package's classes, unpacked once per worker."""
     held, name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), f"shared-{uuid.uuid4().hex}"

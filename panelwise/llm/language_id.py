@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import per_worker, share, slices, stored
+from panelwise.llm.common import per_worker, share, slices, stored, trim
 
 UNKNOWN = "und"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -346,6 +346,7 @@ def predict(docs: DataFrame, models: LanguageModels, *, text_col: str = "text",
                     [*own.columns[:n], pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)],
                     [*(f"c{i}" for i in range(n)), "lang_pred", "score", "cross_entropy", "rejected"],
                 )
+        trim()
 
     given = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text_col].cast("string").alias("text"))
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]

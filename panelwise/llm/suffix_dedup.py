@@ -51,6 +51,7 @@ from panelwise.llm.common import (
     stored,
     text_bytes,
     text_column,
+    trim,
     unpack_arrays,
     unpack_batch,
 )
@@ -414,6 +415,7 @@ def repeated_passages(
                     whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                     yield keyed([(f"{task}-{number}", -1, pack_batch(whole))])
                     held, size, number = [], 0, number + 1
+                    trim()
         if held:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             yield keyed([(f"{task}-{number}", -1, pack_batch(whole))])
@@ -431,6 +433,8 @@ def repeated_passages(
                 low = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 for b in np.flatnonzero(np.diff(starts)).tolist():
                     yield keyed([(row["block"], b, low[starts[b] : starts[b + 1]].tobytes())])
+                del anchors, distinct, low
+                trim()
 
     def answer(table: pa.Table) -> pa.Table:
         rows_ = table.to_pylist()
@@ -445,6 +449,7 @@ def repeated_passages(
 
     def contexts(block: dict, told: list[dict]) -> tuple[pa.Table, Anchors, Contexts]:
         """The block's documents, anchors that may repeat, and their contexts."""
+        trim()
         table, texts, ids = load(block["packed"])
         anchors = Anchors(texts, length, gram)
         distinct, starts, place = in_buckets(anchors.hash, buckets)
