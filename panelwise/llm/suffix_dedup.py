@@ -383,7 +383,7 @@ def repeated_passages(
     length: int = 50,
     gram: int = GRAM,
     buckets: int | None = None,
-    block_bytes: int = 8_000_000,
+    block_bytes: int = 4_000_000,
     hot_blocks: int = 1024,
 ) -> DataFrame:
     """Per row the columns `keep`, n_bytes, the removed byte spans and the kept bytes.
