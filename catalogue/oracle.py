@@ -186,8 +186,9 @@ ORACLE["op_project_alias"] = """
 SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS price,
     'order' AS kind FROM orders"""
 ORACLE["op_lowercase_columns"] = ORACLE["op_replace_sink"] = """
+SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, o_totalprice, o_orderpriority FROM orders"""
+ORACLE["op_xport_roundtrip"] = """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"""
-ORACLE["op_xport_roundtrip"] = ORACLE["op_replace_sink"]
 
 
 def _counts(extra: str = "") -> str:

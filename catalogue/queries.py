@@ -121,7 +121,7 @@ def op_project_alias(spark, sf_dir):
 
 @over_tables
 def op_lowercase_columns(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").drop("o_orderdate")
+    orders = table(spark, sf_dir, "orders")
     return lowercase_columns(orders.toDF(*[c.upper() for c in orders.columns]))
 
 
@@ -129,7 +129,7 @@ def op_lowercase_columns(spark, sf_dir):
 def op_replace_sink(spark, sf_dir):
     path = f"{scratch_dir(prepare(spark), 'replace')}/orders"
     replace_table(table(spark, sf_dir, "region"), path)
-    replace_table(table(spark, sf_dir, "orders").drop("o_orderdate"), path)
+    replace_table(table(spark, sf_dir, "orders"), path)
     return spark.read.parquet(path)
 
 

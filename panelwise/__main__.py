@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from panelwise.plans.studies import SOURCES, STUDIES
 from panelwise.session import prepare
@@ -29,6 +29,11 @@ def arguments() -> argparse.Namespace:
     return parser.parse_args()
 
 
+def show_all(report: DataFrame) -> None:
+    """Print every row; there is one per registered file or report label."""
+    report.show(max(1, report.count()), truncate=False)
+
+
 def main() -> None:
     args = arguments()
     spark = prepare(SparkSession.builder.appName("panelwise").getOrCreate())
@@ -36,13 +41,13 @@ def main() -> None:
         status = load_registry(
             spark, args.landing, args.target, check_key=not args.allow_repeated_key
         )
-        status.orderBy("status", "table").show(100, truncate=False)
+        show_all(status.orderBy("status", "table"))
         return
     report = STUDIES[args.study](open_tables(spark, args.target, SOURCES))
     if args.out:
         report.write.mode("overwrite").parquet(args.out)
     else:
-        report.show(100, truncate=False)
+        show_all(report)
 
 
 if __name__ == "__main__":

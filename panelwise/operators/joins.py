@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT = "__salt"
-# Keys are a few bytes each, so this many stay well below an executor's memory.
-BROADCAST_ROWS = 1_000_000
 
 
 class DuplicateKeyError(ValueError):
@@ -18,13 +16,13 @@ class DuplicateKeyError(ValueError):
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that occur more than once, with how often.
+    """Keys that occur more than once, with how often. Null keys join nothing and do not count.
 
     The count is combined before the shuffle, so one key that holds most of
     the table costs no more than any other. A table bucketed by the key is
     counted without a shuffle.
     """
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 
 
 def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
@@ -109,12 +107,10 @@ def first_by_key(
 
     Left joins keep every base row, so the first `n` base rows decide which
     keys can appear. The other tables are cut to those keys by a semi join
-    whose small side is `n` rows at most, and broadcast while that is few: no
-    large table is shuffled.
+    whose small side is `n` rows at most; Spark broadcasts it while that is few,
+    so that no large table is shuffled.
     """
     top = base.orderBy(key).limit(n)
     wanted = top.select(key)
-    if n <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     cut = {name: df.join(wanted, key, "left_semi") for name, df in tables.items()}
     return star_left_join(top, cut, key).orderBy(key).limit(n)

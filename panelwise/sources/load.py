@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyarrow import fs
@@ -48,24 +49,51 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def replace_table(df: DataFrame, path: str) -> int:
-    """Write `df` over whatever is at `path`; returns the rows written."""
+def replace_table(df: DataFrame, path: str, check: Callable[[DataFrame], object] | None = None) -> int:
+    """Write `df` in place of whatever is at `path`; returns the rows written.
+
+    The rows are written beside the old table and, if asked, checked there. The
+    old table goes only once the new one is complete; a failure leaves it as it was.
+    """
+    spark, staging = df.sparkSession, f"{path.rstrip('/')}.loading-{uuid.uuid4().hex}"
+    system, place = resolve(path)
+    _, staged = resolve(staging)
     df, seen = counted(df)
-    df.write.mode("overwrite").parquet(path)
+    try:
+        df.write.parquet(staging)
+        if check is not None:
+            check(spark.read.parquet(staging))
+        if system.get_file_info(place).type == fs.FileType.Directory:
+            system.delete_dir(place)
+        system.move(staged, place)
+    except BaseException:
+        if system.get_file_info(staged).type == fs.FileType.Directory:
+            system.delete_dir(staged)
+        raise
+    spark.catalog.refreshByPath(path)
     return seen.get["rows"]
 
 
-def replace_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> int:
+def replace_bucketed(
+    df: DataFrame, table: str, key: str, buckets: int, check: Callable[[DataFrame], object] | None = None
+) -> int:
     """Write `df` over a catalog table bucketed by its unique key; returns the rows written.
 
     Tables with the same number of buckets join on the key without a shuffle.
-    Rows are brought together per bucket first, so each bucket is one file.
+    Rows are brought together per bucket first, so each bucket is one file. As
+    in `replace_table` a failure leaves the old table as it was.
     """
+    spark, staging = df.sparkSession, f"{table}_loading_{uuid.uuid4().hex}"
     df, seen = counted(df.repartition(buckets, key))
-    (
-        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-        .format("parquet").saveAsTable(table)
-    )
+    try:
+        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(staging)
+        if check is not None:
+            check(spark.table(staging))
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        raise
     return seen.get["rows"]
 
 
@@ -111,7 +139,9 @@ def load_registry(
     kinds = {e: _kind(uri) for e, uri in uris.items()}
     files = [uris[e] for e, kind in kinds.items() if kind == fs.FileType.File]
     pages = _error_pages(spark, files)
-    opened = open_tables if buckets is None else open_bucketed
+    if buckets is not None and key is None:
+        raise ValueError("bucketed tables need a key")
+    check = None if key is None or not check_key else lambda df: assert_unique_key(df, key)
 
     def load(entry: Entry) -> tuple:
         if kinds[entry] == fs.FileType.NotFound or entry.file in pages:
@@ -119,15 +149,13 @@ def load_registry(
         try:
             df = normalised(spark.read.format(source).load(uris[entry]), key)
             if buckets is None:
-                rows = replace_table(df, f"{target}/{entry.table}")
+                rows = replace_table(df, f"{target}/{entry.table}", check)
             else:
-                rows = replace_bucketed(df, f"{target}.{entry.table}", key, buckets)
+                rows = replace_bucketed(df, f"{target}.{entry.table}", key, buckets, check)
         except PySparkException as e:
             if not _is_parse_failure(e):
                 raise
             return (entry.file, entry.table, FAILED, PARSE_FAILED, None)
-        if key is not None and check_key:
-            assert_unique_key(opened(spark, target, [entry.table])[entry.table], key)
         return (entry.file, entry.table, LOADED, None, rows)
 
     with ThreadPoolExecutor(at_once) as pool:

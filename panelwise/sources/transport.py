@@ -36,7 +36,6 @@ NUMERIC, TEXT = 1, 2
 WIDTHS = {NUMERIC: range(2, 9), TEXT: range(1, 1 << 15)}
 
 DEFAULT_RANGE = 64 << 20
-MAX_RANGES = 100_000
 BATCH_BYTES = 8 << 20
 
 
@@ -172,7 +171,7 @@ class ByteRanges(InputPartition):
 
 
 def list_transport_files(uris: list[str]) -> list[tuple[str, int]]:
-    """(uri, size) of every file named, and of every *.xpt file in a named directory."""
+    """(uri, size) of every file named, and of every *.xpt file in or below a named directory."""
     found = []
     for uri in uris:
         system, path = resolve(uri)
@@ -180,10 +179,11 @@ def list_transport_files(uris: list[str]) -> list[tuple[str, int]]:
         if info.type == fs.FileType.File:
             found.append((uri, info.size))
         elif info.type == fs.FileType.Directory:
-            for entry in system.get_file_info(fs.FileSelector(path)):
-                hidden = entry.base_name.startswith(("_", "."))
+            for entry in system.get_file_info(fs.FileSelector(path, recursive=True)):
+                below = entry.path[len(path.rstrip("/")) :].strip("/")
+                hidden = any(part.startswith(("_", ".")) for part in below.split("/"))
                 if entry.is_file and not hidden and entry.extension.lower() == "xpt":
-                    found.append((f"{uri.rstrip('/')}/{entry.base_name}", entry.size))
+                    found.append((f"{uri.rstrip('/')}/{below}", entry.size))
         else:
             raise FileNotFoundError(f"no such file or directory: {uri}")
     return sorted(found)
@@ -227,11 +227,11 @@ class TransportReader(DataSourceReader):
     def partitions(self) -> list[ByteRanges]:
         """Cut large files, pack small ones, by listed sizes alone.
 
-        Tasks read batch by batch, so a share may exceed memory; it grows where
-        the driver would otherwise have to keep track of too many of them.
+        Tasks read batch by batch, so a share may exceed memory. It is always
+        `rangeBytes`; raise it where the driver would have too many to track.
         """
         files = list_transport_files(self.uris)
-        share = max(self.share, sum(size for _, size in files) // MAX_RANGES)
+        share = self.share
         packed: list[ByteRanges] = []
         room = 0
         for uri, size in files:

@@ -204,3 +204,29 @@ def test_scratch_dir_is_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     one, two = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert one.startswith(f"{shared}/x-") and one != two
+
+
+def test_a_failed_load_leaves_the_old_table(spark, frame, tmp_path):
+    from panelwise.operators.joins import DuplicateKeyError, assert_unique_key
+    from panelwise.sources.load import replace_bucketed, replace_table
+
+    good, repeated = frame("k long", [(1,), (2,), (None,), (None,)]), frame("k long", [(7,), (7,)])
+    broken = frame("k long", [(1,)]).selectExpr("CAST(raise_error('bad text') AS bigint) AS k")
+    path = str(tmp_path / "t")
+
+    def check(df):
+        return assert_unique_key(df, "k")
+
+    assert replace_table(good, path, check) == 4
+    for bad, error in ((repeated, DuplicateKeyError), (broken, Exception)):
+        with pytest.raises(error):
+            replace_table(bad, path, check)
+        assert spark.read.parquet(path).count() == 4
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert replace_bucketed(good, "safe_load", "k", 2, check) == 4
+    for bad, error in ((repeated, DuplicateKeyError), (broken, Exception)):
+        with pytest.raises(error):
+            replace_bucketed(bad, "safe_load", "k", 2, check)
+        assert spark.table("safe_load").count() == 4
+    assert replace_bucketed(frame("k long", [(5,)]), "safe_load", "k", 2, check) == 1
+    spark.sql("DROP TABLE safe_load")

@@ -97,16 +97,13 @@ def test_small_files_share_a_task_and_large_ones_are_cut(tmp_path):
     assert len(cut) > 6
 
 
-def test_shares_grow_when_there_would_be_too_many(tmp_path, monkeypatch):
-    for i in range(5):
-        write_file(tmp_path / f"part-{i}.xpt", batch(100))
-    reader = TransportReader([str(tmp_path)], None, 100)
-    assert len(reader.partitions()) > 50
-    monkeypatch.setattr("panelwise.sources.transport.MAX_RANGES", 10)
-    parts = reader.partitions()
-    assert 10 <= len(parts) <= 15
-    total = sum(size for _, size in list_transport_files([str(tmp_path)]))
-    assert sum(end - start for p in parts for _, start, end in p.ranges) == total
+def test_files_in_subfolders_are_read(spark, tmp_path):
+    (tmp_path / "sub" / "deep").mkdir(parents=True)
+    (tmp_path / "_hidden").mkdir()
+    write_file(tmp_path / "one.xpt", batch(10))
+    write_file(tmp_path / "sub" / "deep" / "two.xpt", batch(20))
+    write_file(tmp_path / "_hidden" / "three.xpt", batch(40))
+    assert spark.read.format("xport").load(str(tmp_path)).count() == 30
 
 
 def test_several_paths_and_a_directory(spark, tmp_path):
