@@ -188,7 +188,7 @@ SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS price,
 ORACLE["op_lowercase_columns"] = ORACLE["op_replace_sink"] = """
 SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, o_totalprice, o_orderpriority FROM orders"""
 ORACLE["op_xport_roundtrip"] = """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"""
 
 
 def _counts(extra: str = "") -> str:

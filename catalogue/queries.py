@@ -35,7 +35,7 @@ from panelwise.functions.measures import (
     total,
     total_where,
 )
-from panelwise.operators.joins import duplicate_keys, star_left_join
+from panelwise.operators.joins import duplicate_keys, mark_unique, star_left_join
 from panelwise.operators.membership import aggregate_membership, expand_membership
 from panelwise.operators.ordering import label_rank, order_by_hidden, pinned_first
 from panelwise.operators.totals import stack_measures, with_overall
@@ -60,6 +60,7 @@ from panelwise.plans.studies import (
 )
 from panelwise.session import prepare, scratch_dir
 from panelwise.sources.guard import is_error_page, text_head
+from panelwise.sources.files import discard
 from panelwise.sources.load import load_registry, lowercase_columns, replace_table
 from panelwise.sources.registry import Entry, registry
 
@@ -137,6 +138,7 @@ def op_replace_sink(spark, sf_dir):
 def op_load_counts(spark, sf_dir):
     target = scratch_dir(prepare(spark), "load")
     status = load_registry(spark, sf_dir, target, SAMPLE_REGISTRY, source="parquet", key=None)
+    discard(target)
     return status.select("table", "rows")
 
 
@@ -144,13 +146,14 @@ def op_load_counts(spark, sf_dir):
 def op_load_status(spark, sf_dir):
     target = scratch_dir(prepare(spark), "load")
     entries = (*SAMPLE_REGISTRY, Entry("absent.parquet", "absent", "never landed"))
-    return load_registry(spark, sf_dir, target, entries, source="parquet", key=None)
+    status = load_registry(spark, sf_dir, target, entries, source="parquet", key=None)
+    discard(target)
+    return status
 
 
 @over_tables
 def op_registry_join(spark, sf_dir):
-    target = scratch_dir(prepare(spark), "load")
-    status = load_registry(spark, sf_dir, target, SAMPLE_REGISTRY, source="parquet", key=None)
+    status = load_registry(prepare(spark), sf_dir, None, SAMPLE_REGISTRY, source="parquet", key=None)
     described = registry(spark, SAMPLE_REGISTRY)
     return described.join(status.select("table", "status", "rows"), "table", "left")
 
@@ -166,7 +169,9 @@ def op_error_page_guard(spark, sf_dir):
 
 @over_tables
 def op_xport_roundtrip(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
+    given = table(spark, sf_dir, "orders")
+    orders = given.select(
+        F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("odate"),
         F.col("o_orderkey").cast("double").alias("okey"),
         F.col("o_custkey").cast("double").alias("ckey"),
         F.col("o_totalprice").alias("price"),
@@ -180,6 +185,7 @@ def op_xport_roundtrip(spark, sf_dir):
         F.col("okey").cast("bigint").alias("o_orderkey"),
         F.col("ckey").cast("bigint").alias("o_custkey"),
         F.col("price").alias("o_totalprice"),
+        F.timestamp_micros(F.col("odate").cast("bigint")).cast(given.schema["o_orderdate"].dataType).alias("o_orderdate"),
         F.col("status").alias("o_orderstatus"),
         F.col("priority").alias("o_orderpriority"),
     )
@@ -327,7 +333,7 @@ def op_left_join(spark, sf_dir):
     per_order = aggregate(
         lines, ["o_orderkey"], [row_count("n_lines"), total("sum_qty", F.col("l_quantity"))]
     )
-    return star_left_join(orders, {"lines": per_order}, "o_orderkey")
+    return star_left_join(orders, {"lines": mark_unique(per_order, "o_orderkey")}, "o_orderkey")
 
 
 @over_respondents

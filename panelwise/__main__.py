@@ -1,7 +1,9 @@
 """Load landed files into tables, and run studies over them.
 
-    python -m panelwise load LANDING TARGET
-    python -m panelwise report q4_comorbidity TARGET [--out DIRECTORY]
+    python -m panelwise load LANDING TARGET [--buckets N]
+    python -m panelwise report q4_comorbidity TARGET [--database] [--out DIRECTORY]
+
+TARGET is a directory of tables, or a database with --buckets and --database.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwise.plans.studies import SOURCES, STUDIES
 from panelwise.session import prepare
-from panelwise.sources.load import load_registry, open_tables
+from panelwise.sources.load import load_registry, open_bucketed, open_tables
 
 
 def arguments() -> argparse.Namespace:
@@ -21,10 +23,12 @@ def arguments() -> argparse.Namespace:
     load = commands.add_parser("load", help="load every registered file")
     load.add_argument("landing")
     load.add_argument("target")
+    load.add_argument("--buckets", type=int, help="load into a database, in N buckets by the key")
     load.add_argument("--allow-repeated-key", action="store_true")
     report = commands.add_parser("report", help="run one study")
     report.add_argument("study", choices=STUDIES)
     report.add_argument("target")
+    report.add_argument("--database", action="store_true", help="TARGET is a database of bucketed tables")
     report.add_argument("--out", help="write the report as Parquet instead of showing it")
     return parser.parse_args()
 
@@ -36,14 +40,20 @@ def show_all(report: DataFrame) -> None:
 
 def main() -> None:
     args = arguments()
-    spark = prepare(SparkSession.builder.appName("panelwise").getOrCreate())
-    if args.command == "load":
+    builder = SparkSession.builder.appName("panelwise")
+    load = args.command == "load"
+    if args.buckets is not None if load else args.database:
+        builder = builder.enableHiveSupport()  # databases must outlive the session
+    spark = prepare(builder.getOrCreate())
+    if load:
+        if args.buckets is not None:
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {args.target}")
         status = load_registry(
-            spark, args.landing, args.target, check_key=not args.allow_repeated_key
+            spark, args.landing, args.target, check_key=not args.allow_repeated_key, buckets=args.buckets
         )
         show_all(status.orderBy("status", "table"))
         return
-    report = STUDIES[args.study](open_tables(spark, args.target, SOURCES))
+    report = STUDIES[args.study]((open_bucketed if args.database else open_tables)(spark, args.target, SOURCES))
     if args.out:
         report.write.mode("overwrite").parquet(args.out)
     else:

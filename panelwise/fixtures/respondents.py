@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwise.operators.joins import mark_unique
+
 # View -> (rows kept, column -> expression over k and c).
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "demographics": ("k >= 0", {
@@ -75,9 +77,12 @@ def respondent_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     known = spark.read.schema("o_orderkey bigint, o_custkey bigint")
     orders = known.parquet(f"{sf_dir}/orders.parquet").toDF("k", "c")
     return {
-        name: orders.filter(kept).selectExpr(
-            "CAST(CAST(k AS DOUBLE) AS BIGINT) AS seqn",
-            *[f"{expression} AS {column}" for column, expression in columns.items()],
+        name: mark_unique(
+            orders.filter(kept).selectExpr(
+                "CAST(CAST(k AS DOUBLE) AS BIGINT) AS seqn",
+                *[f"{expression} AS {column}" for column, expression in columns.items()],
+            ),
+            "seqn",
         )
         for name, (kept, columns) in VIEWS.items()
     }

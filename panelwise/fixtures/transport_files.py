@@ -6,6 +6,7 @@ Only tests and the round-trip query use this; loads never write the format.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -156,10 +157,13 @@ class FixtureWriter(DataSourceArrowWriter):
         return Written(staged, f"{self.uri}/{name}")
 
     def commit(self, messages: list[Written]) -> None:
-        for message in messages:
+        def publish(message: Written) -> None:
             system, staged = resolve(message.staged)
             system.move(staged, resolve(message.final)[1])
 
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(publish, messages))
+
     def abort(self, messages: list[Written]) -> None:
         for message in messages:
             if message is not None:

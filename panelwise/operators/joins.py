@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALT = "__salt"
+UNIQUE = "unique_key"
+MATCH = "__match"
 
 
 class DuplicateKeyError(ValueError):
@@ -34,70 +35,58 @@ def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def frequent_keys(df: DataFrame, key: str, share: float = 0.01, sample: float = 0.01) -> list:
-    """Keys that hold at least about `share` of the rows.
+def mark_unique(df: DataFrame, key: str) -> DataFrame:
+    """`df` with a note in its key column that each key occurs once.
 
-    The list only steers how rows are spread; a missed or a superfluous key
-    changes no result, so a sample is enough. At most 1/share keys can
-    qualify, which bounds what reaches the driver.
+    The note is column metadata, so stored tables keep it. The load sets it on
+    tables whose key it checks.
     """
-    drawn = df.select(key).filter(F.col(key).isNotNull()).sample(sample, seed=7)
-    floor = max(2, drawn.count() * share)
-    counts = drawn.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return [row[0] for row in counts.filter(F.col("n") >= floor).select(key).collect()]
+    return df.withMetadata(key, {**df.schema[key].metadata, UNIQUE: True})
+
+
+def known_unique(df: DataFrame, key: str) -> bool:
+    return bool(df.schema[key].metadata.get(UNIQUE))
 
 
 def star_left_join(
-    base: DataFrame,
-    tables: Mapping[str, DataFrame],
-    key: str,
-    required: Sequence[str] = (),
-    hot_keys: Sequence | None = None,
-    spread: int = 32,
+    base: DataFrame, tables: Mapping[str, DataFrame], key: str, required: Sequence[str] = ()
 ) -> DataFrame:
     """Join every table onto `base`, keeping base rows without a match.
 
     Tables named in `required` are joined first and inner, for studies whose
     filter would drop the unmatched rows anyway. A table that brings nothing
-    but the key is left out unless it is required: with unique keys it cannot
-    change the rows. All joins share one key, so each input is shuffled at
-    most once and the running result is never shuffled again; inputs bucketed
-    by the key are not shuffled at all.
-
-    With `hot_keys` given (an empty list is fine) base rows of those keys, and
-    base rows without a key, are spread over `spread` salts instead of landing
-    in one task; the few matching rows on the other side are repeated per salt.
-    Salting goes by row position, which is the same in every run of a task
-    that reads files; write a base that comes out of a shuffle to a table first.
+    but a key known to be unique is left out unless it is required, as it
+    cannot change the rows. All joins share one key, so each input is shuffled
+    at most once and the running result is never shuffled again; inputs
+    bucketed by the key are not shuffled at all.
+
+    A table not known to be unique may hold a hot key, and Spark cannot split
+    the right side of a left join. Such a table is completed by the base keys
+    it lacks and joined inner, where either side of a hot partition is split.
     """
     names = [n for n in tables if n in required]
-    names += [n for n in tables if n not in required and tables[n].columns != [key]]
-    frames = {n: tables[n] for n in names}
-    if hot_keys is not None:
-        base = base.withColumn(SALT, _base_salt(F.col(key), hot_keys, spread))
-        frames = {n: _repeat_hot(df, key, hot_keys, spread) for n, df in frames.items()}
-    on = [key] if hot_keys is None else [key, SALT]
+    names += [n for n in tables if n not in required and not _adds_nothing(tables[n], key)]
 
     def attach(left: DataFrame, name: str) -> DataFrame:
-        return left.join(frames[name], on, "inner" if name in required else "left")
-
-    joined = reduce(attach, names, base)
-    return joined if hot_keys is None else joined.drop(SALT)
-
+        if name in required:
+            return left.join(tables[name], key)
+        if known_unique(tables[name], key):
+            return left.join(tables[name], key, "left")
+        right = _completed(tables[name], base, key).withColumnRenamed(key, MATCH)
+        return left.join(right, F.col(key).eqNullSafe(F.col(MATCH))).drop(MATCH)
 
-def _is_hot(key: Column, hot_keys: Sequence) -> Column:
-    return key.isin(*hot_keys) if hot_keys else F.lit(False)
+    return reduce(attach, names, base)
 
 
-def _base_salt(key: Column, hot_keys: Sequence, spread: int) -> Column:
-    scattered = F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int")
-    return F.when(key.isNull() | _is_hot(key, hot_keys), scattered).otherwise(0)
+def _adds_nothing(df: DataFrame, key: str) -> bool:
+    return df.columns == [key] and known_unique(df, key)
 
 
-def _repeat_hot(df: DataFrame, key: str, hot_keys: Sequence, spread: int) -> DataFrame:
-    every = F.sequence(F.lit(0), F.lit(spread - 1))
-    salts = F.when(_is_hot(F.col(key), hot_keys), every).otherwise(F.array(F.lit(0)))
-    return df.withColumn(SALT, F.explode(salts))
+def _completed(df: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` with a key, and an empty row for each key of `base`, null too, that it lacks."""
+    given = df.where(F.col(key).isNotNull())
+    lacking = base.select(key).distinct().join(given.select(key).distinct(), key, "left_anti")
+    return given.unionByName(lacking, allowMissingColumns=True)
 
 
 def first_by_key(

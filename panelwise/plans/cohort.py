@@ -31,18 +31,14 @@ def build_cohort(
     answers: Mapping[str, Sequence[str]],
     columns: Sequence[str] = (),
     required: Mapping[str, Column] | None = None,
-    hot_keys: Sequence | None = None,
 ) -> DataFrame:
     """One row per adult with the answers of every table in `answers`.
 
     `required` maps a table to a test on its rows; adults without a row that
-    passes are dropped. `hot_keys` is for tables whose key was not checked on
-    load, see `star_left_join`.
+    passes are dropped.
     """
     frames = answers_of(tables, answers)
     required = required or {}
     for name, test in required.items():
         frames[name] = frames[name].filter(test)
-    return star_left_join(
-        adults(tables, columns), frames, KEY, required=list(required), hot_keys=hot_keys
-    )
+    return star_left_join(adults(tables, columns), frames, KEY, required=list(required))

@@ -1,12 +1,8 @@
-"""The seven studies. Each takes the survey tables and returns a report.
-
-`hot_keys` may name keys that hold many rows, for tables whose key was not
-checked on load; it changes how rows are spread, never the result.
-"""
+"""The seven studies. Each takes the survey tables and returns a report."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +42,6 @@ from panelwise.operators.totals import stack_measures, with_overall
 from panelwise.plans.cohort import BASE, KEY, adults, answers_of, build_cohort
 
 Tables = Mapping[str, DataFrame]
-HotKeys = Sequence | None
 
 # Which columns of which table carry the answers.
 CONDITION_ANSWERS = {
@@ -67,6 +62,7 @@ SOURCES = [
     *(CONDITION_ANSWERS | COVERAGE_ANSWER | CARE_ANSWERS | DRUG_ANSWERS | DIET_ANSWERS),
 ]
 
+# Labels of the reports.
 INSURED, UNINSURED = "Insured", "Uninsured"
 ALL_ADULTS = "All Adults (overall)"
 ALL_RESPONDENTS = "Overall Respondents"
@@ -160,10 +156,10 @@ def q1_overview(tables: Tables, n: int = 100) -> DataFrame:
     )
 
 
-def q2_prevalence(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
+def q2_prevalence(tables: Tables) -> DataFrame:
     """Size of each condition, split by coverage, with its share of valid answers."""
     cohort = build_cohort(
-        tables, CONDITION_ANSWERS | COVERAGE_ANSWER, hot_keys=hot_keys
+        tables, CONDITION_ANSWERS | COVERAGE_ANSWER
     )
     cohort = cohort.withColumn("insurance_status", insurance_status())
     insured = F.col("insurance_status") == INSURED
@@ -186,10 +182,10 @@ def q2_prevalence(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     return stack_measures(cohort, rows, "condition", names).orderBy("rank").drop("rank")
 
 
-def q3_access_by_coverage(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
+def q3_access_by_coverage(tables: Tables) -> DataFrame:
     """Access to care per condition and coverage."""
     cohort = build_cohort(
-        tables, CONDITION_ANSWERS | COVERAGE_ANSWER | CARE_ANSWERS, hot_keys=hot_keys
+        tables, CONDITION_ANSWERS | COVERAGE_ANSWER | CARE_ANSWERS
     )
     cohort = cohort.withColumn("insurance_status", insurance_status())
     measures = [
@@ -206,9 +202,9 @@ def q3_access_by_coverage(tables: Tables, hot_keys: HotKeys = None) -> DataFrame
     )
 
 
-def q4_comorbidity(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
+def q4_comorbidity(tables: Tables) -> DataFrame:
     """Access to care by number of conditions."""
-    cohort = build_cohort(tables, CONDITION_ANSWERS | CARE_ANSWERS, hot_keys=hot_keys)
+    cohort = build_cohort(tables, CONDITION_ANSWERS | CARE_ANSWERS)
     measures = [*care_measures(), health_score()]
     counted = cohort.filter(enough_answers()).withColumn("condition_count", condition_count())
     report = aggregate(counted, ["condition_count"], measures)
@@ -217,14 +213,14 @@ def q4_comorbidity(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     )
 
 
-def q5_high_value_cohorts(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
+def q5_high_value_cohorts(tables: Tables) -> DataFrame:
     """Willingness to use a remote diet service, by gender and age, and overall."""
-    # Condition and coverage tables reach no output column and are not joined.
+    # Condition and coverage tables reach no output column; they only count where keys repeat.
+    unread = {name: [] for name in CONDITION_ANSWERS | COVERAGE_ANSWER}
     cohort = build_cohort(
         tables,
-        DIET_ANSWERS,
+        DIET_ANSWERS | unread,
         columns=["riagendr", "ridageyr"],
-        hot_keys=hot_keys,
     ).select(
         "*",
         decode(F.col("riagendr"), GENDERS, OTHER_GENDER).alias("gender"),
@@ -244,13 +240,12 @@ def q5_high_value_cohorts(tables: Tables, hot_keys: HotKeys = None) -> DataFrame
     return report.orderBy("rank", "gender", "age_group").drop("rank")
 
 
-def q6_medication_burden(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
+def q6_medication_burden(tables: Tables) -> DataFrame:
     """Prescription burden per condition, among adults with a valid drug answer."""
     cohort = build_cohort(
         tables,
         DRUG_ANSWERS | CONDITION_ANSWERS,
         required={"medications": PRESCRIPTION.answered()},
-        hot_keys=hot_keys,
     )
     measures = [
         row_count("n"),
@@ -263,13 +258,12 @@ def q6_medication_burden(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
     return report.orderBy(label_rank("condition", list(groups)))
 
 
-def q7_rx_by_comorbidity(tables: Tables, hot_keys: HotKeys = None) -> DataFrame:
+def q7_rx_by_comorbidity(tables: Tables) -> DataFrame:
     """Prescription burden by number of conditions."""
     cohort = build_cohort(
         tables,
-        DRUG_ANSWERS | CONDITION_ANSWERS,
+        DRUG_ANSWERS | CONDITION_ANSWERS | {"insurance": []},
         required={"medications": PRESCRIPTION.answered()},
-        hot_keys=hot_keys,
     )
     measures = [
         row_count("n"),

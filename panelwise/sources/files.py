@@ -13,6 +13,13 @@ def resolve(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def discard(uri: str) -> None:
+    """Delete a directory of scratch tables."""
+    system, path = resolve(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
 def read_range(handle, start: int, size: int) -> bytes:
     """Up to `size` bytes from `start`; fewer only at the end of the file."""
     handle.seek(start)

@@ -8,18 +8,18 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyarrow import fs
 from pyspark import inheritable_thread_target
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.operators.joins import assert_unique_key
+from panelwise.operators.joins import DuplicateKeyError, assert_unique_key, mark_unique
 from panelwise.sources.files import resolve
 from panelwise.sources.guard import landed_files
 from panelwise.sources.registry import SURVEY, Entry
+from panelwise.sources.transport import list_files
 
 STATUS = "file string, table string, status string, reason string, rows bigint"
 LOADED, FAILED = "loaded", "failed"
-DOWNLOAD_FAILED, PARSE_FAILED = "download failed", "parse failed"
+DOWNLOAD_FAILED, PARSE_FAILED, LOAD_FAILED = "download failed", "parse failed", "load failed"
 
 
 def lowercase_columns(df: DataFrame) -> DataFrame:
@@ -49,6 +49,15 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def count_rows(df: DataFrame, check: Callable[[DataFrame], object] | None = None) -> int:
+    """Rows of `df`, all of them decoded and, if asked, checked; nothing is written."""
+    df, seen = counted(df)
+    df.write.format("noop").mode("overwrite").save()
+    if check is not None:
+        check(df)
+    return seen.get["rows"]
+
+
 def replace_table(df: DataFrame, path: str, check: Callable[[DataFrame], object] | None = None) -> int:
     """Write `df` in place of whatever is at `path`; returns the rows written.
 
@@ -116,7 +125,7 @@ def register_tables(tables: Mapping[str, DataFrame]) -> None:
 def load_registry(
     spark: SparkSession,
     landing: str,
-    target: str,
+    target: str | None,
     entries: Sequence[Entry] = SURVEY,
     source: str = "xport",
     key: str | None = "seqn",
@@ -128,39 +137,60 @@ def load_registry(
 
     `target` is a directory of Parquet tables or, with `buckets`, a database
     whose tables get that many buckets by the key. Choose buckets so that the
-    largest table has a few hundred megabytes in each.
-
-    A file that is absent, is an error page, or cannot be parsed is reported
-    and the others go on. A failing sink stops the load, and so does a key that
-    is not unique unless `check_key` is off. The driver only submits jobs, a
-    few tables at a time.
+    largest table has a few hundred megabytes in each. Without a target the
+    files are decoded, counted and checked, and nothing is written.
+
+    An entry may be a file or a folder of files. A file that is absent, is an
+    error page, or cannot be parsed is reported with the reason and the others
+    go on; so do the good files of a folder. A failing sink is raised once all
+    entries are done, and so is a key that is not unique unless `check_key` is
+    off; the error's `statuses` holds the status rows. The driver only submits
+    jobs, a few tables at a time.
     """
-    uris = {e: f"{landing.rstrip('/')}/{e.file}" for e in entries}
-    kinds = {e: _kind(uri) for e, uri in uris.items()}
-    files = [uris[e] for e, kind in kinds.items() if kind == fs.FileType.File]
-    pages = _error_pages(spark, files)
     if buckets is not None and key is None:
         raise ValueError("bucketed tables need a key")
-    check = None if key is None or not check_key else lambda df: assert_unique_key(df, key)
-
-    def load(entry: Entry) -> tuple:
-        if kinds[entry] == fs.FileType.NotFound or entry.file in pages:
-            return (entry.file, entry.table, FAILED, DOWNLOAD_FAILED, None)
+    uris = {e: f"{landing.rstrip('/')}/{e.file}" for e in entries}
+    kinds = {e: _kind(uri) for e, uri in uris.items()}
+    pages = _error_pages(spark, [uris[e] for e, kind in kinds.items() if kind != fs.FileType.NotFound])
+    checked = key is not None and check_key
+    check = (lambda df: assert_unique_key(df, key)) if checked else None
+
+    def store(df: DataFrame, table: str) -> int:
+        if target is None:
+            return count_rows(df, check)
+        if buckets is None:
+            return replace_table(df, f"{target}/{table}", check)
+        return replace_bucketed(df, f"{target}.{table}", key, buckets, check)
+
+    def load(entry: Entry) -> tuple[tuple, Exception | None]:
+        def status(outcome: str, reason: str | None, rows: int | None = None) -> tuple:
+            return (entry.file, entry.table, outcome, reason, rows)
+
+        if kinds[entry] == fs.FileType.NotFound:
+            return status(FAILED, DOWNLOAD_FAILED), None
+        df = None
         try:
-            df = normalised(spark.read.format(source).load(uris[entry]), key)
-            if buckets is None:
-                rows = replace_table(df, f"{target}/{entry.table}", check)
-            else:
-                rows = replace_bucketed(df, f"{target}.{entry.table}", key, buckets, check)
-        except PySparkException as e:
-            if not _is_parse_failure(e):
-                raise
-            return (entry.file, entry.table, FAILED, PARSE_FAILED, None)
-        return (entry.file, entry.table, LOADED, None, rows)
+            good, bad = _usable(uris[entry], pages, None if source != "xport" else "xpt")
+            if not good:
+                return status(FAILED, DOWNLOAD_FAILED), None
+            read = normalised(spark.read.format(source).load(good if len(good) > 1 else good[0]), key)
+            df = mark_unique(read, key) if checked else read
+            rows = store(df, entry.table)
+        except Exception as e:  # noqa: BLE001 - one entry must not hide the status of the others
+            unread = _read_error(df, e)
+            if unread is not None:
+                return status(FAILED, f"{PARSE_FAILED}: {_summary(unread)}"), None
+            return status(FAILED, f"{LOAD_FAILED}: {_summary(e)}"), e
+        return status(LOADED, f"{DOWNLOAD_FAILED}: {', '.join(bad)}" if bad else None, rows), None
 
     with ThreadPoolExecutor(at_once) as pool:
         results = list(pool.map(inheritable_thread_target(spark)(load), entries))
-    return spark.createDataFrame(results, STATUS)
+    statuses = [row for row, _ in results]
+    for _, error in results:
+        if error is not None:
+            error.statuses = statuses
+            raise error
+    return spark.createDataFrame(statuses, STATUS)
 
 
 def _kind(uri: str) -> fs.FileType:
@@ -168,13 +198,38 @@ def _kind(uri: str) -> fs.FileType:
     return system.get_file_info(path).type
 
 
-def _error_pages(spark: SparkSession, files: Sequence[str]) -> set[str]:
-    """Names of the registered files that are error pages; at most one per entry."""
-    if not files:
+def _error_pages(spark: SparkSession, uris: Sequence[str]) -> set[str]:
+    """Paths of the error pages among the files named and those in folders named."""
+    if not uris:
         return set()
-    bad = landed_files(spark, *files).filter("is_error_page").select("path").collect()
-    return {row.path.rsplit("/", 1)[-1] for row in bad}
+    bad = landed_files(spark, *uris).filter("is_error_page").select("path").collect()
+    return {resolve(row.path)[1] for row in bad}
+
+
+def _usable(uri: str, pages: set[str], extension: str | None) -> tuple[list[str], list[str]]:
+    """What to read of an entry, the entry itself if it holds no error page; and the pages' paths in it."""
+    place = resolve(uri)[1].rstrip("/")
+    bad = sorted(p for p in pages if p == place or p.startswith(f"{place}/"))
+    if not bad:
+        return [uri], []
+    good = [f for f, _ in list_files([uri], extension) if resolve(f)[1] not in pages]
+    return good, [p.removeprefix(f"{place}/") for p in bad]
+
+
+def _read_error(df: DataFrame | None, error: Exception) -> Exception | None:
+    """The error if reading is what failed: the file is read again without a sink to tell."""
+    if df is None:
+        return error
+    if isinstance(error, DuplicateKeyError):
+        return None
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except Exception as again:  # noqa: BLE001
+        return again
+    return None
 
 
-def _is_parse_failure(error: PySparkException) -> bool:
-    return "TransportFormatError" in str(error)
+def _summary(error: Exception) -> str:
+    """The line of a message that says most."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()] or [type(error).__name__]
+    return next((line for line in lines if "TransportFormatError" in line), lines[0])

@@ -98,6 +98,14 @@ def _field(raw: bytes, name: str) -> Field:
     return Field(column, kind, width, start)
 
 
+def holds_card(chunk: bytes, start: int, card: bytes) -> bool:
+    """Whether a card, which begins at a multiple of its size, begins in bytes that lie at `start` of the records."""
+    at = chunk.find(card)
+    while at >= 0 and (start + at) % CARD:
+        at = chunk.find(card, at + 1)
+    return at >= 0
+
+
 def record_count(handle, layout: Layout, size: int) -> int:
     """Records in the file, not counting the blank fill of the last card.
 
@@ -170,8 +178,8 @@ class ByteRanges(InputPartition):
     ranges: list[tuple[str, int, int]]
 
 
-def list_transport_files(uris: list[str]) -> list[tuple[str, int]]:
-    """(uri, size) of every file named, and of every *.xpt file in or below a named directory."""
+def list_files(uris: list[str], extension: str | None) -> list[tuple[str, int]]:
+    """(uri, size) of every file named, and of every file with the extension in or below a named directory."""
     found = []
     for uri in uris:
         system, path = resolve(uri)
@@ -182,7 +190,7 @@ def list_transport_files(uris: list[str]) -> list[tuple[str, int]]:
             for entry in system.get_file_info(fs.FileSelector(path, recursive=True)):
                 below = entry.path[len(path.rstrip("/")) :].strip("/")
                 hidden = any(part.startswith(("_", ".")) for part in below.split("/"))
-                if entry.is_file and not hidden and entry.extension.lower() == "xpt":
+                if entry.is_file and not hidden and extension in (None, entry.extension.lower()):
                     found.append((f"{uri.rstrip('/')}/{below}", entry.size))
         else:
             raise FileNotFoundError(f"no such file or directory: {uri}")
@@ -205,7 +213,7 @@ class TransportSource(DataSource):
 
     def schema(self) -> StructType:
         # Only the header of the first file is read here, on the driver.
-        files = list_transport_files(self._uris())
+        files = list_files(self._uris(), "xpt")
         if not files:
             raise FileNotFoundError(f"no transport files in {self._uris()}")
         uri = files[0][0]
@@ -230,7 +238,7 @@ class TransportReader(DataSourceReader):
         Tasks read batch by batch, so a share may exceed memory. It is always
         `rangeBytes`; raise it where the driver would have too many to track.
         """
-        files = list_transport_files(self.uris)
+        files = list_files(self.uris, "xpt")
         share = self.share
         packed: list[ByteRanges] = []
         room = 0
@@ -261,9 +269,11 @@ class TransportReader(DataSourceReader):
         step = max(1, BATCH_BYTES // layout.width)
         for at in range(first, last, step):
             rows = min(step, last - at)
-            chunk = read_range(
-                handle, layout.data_start + at * layout.width, rows * layout.width
-            )
+            start, size = at * layout.width, rows * layout.width
+            chunk = read_range(handle, layout.data_start + start, size + len(MEMBER_CARD) - 1)
+            if holds_card(chunk, start, MEMBER_CARD):
+                raise TransportFormatError(f"{uri}: more than one member")
+            chunk = chunk[:size]
             try:
                 yield decode_records(chunk, layout)
             except pa.ArrowInvalid as e:

@@ -11,7 +11,7 @@ from panelwise.fixtures.transport_files import OutField, encode_batch, header
 from panelwise.operators.joins import DuplicateKeyError
 from panelwise.plans.studies import STUDIES
 from panelwise.session import scratch_dir
-from panelwise.sources.guard import is_error_page, landed_files, split_error_pages, text_head
+from panelwise.sources.guard import is_error_page, landed_files, text_head
 from panelwise.sources.load import (
     load_registry,
     lowercase_columns,
@@ -37,7 +37,10 @@ def land(path, columns: dict[str, list]) -> None:
 
 
 def status_of(df):
-    return {row.file: (row.table, row.status, row.reason, row.rows) for row in df.collect()}
+    return {
+        row.file: (row.table, row.status, row.reason and row.reason.split(":")[0], row.rows)
+        for row in df.collect()
+    }
 
 
 def test_registry_lists_27_components(spark):
@@ -73,11 +76,12 @@ def test_text_head_counts_bytes(frame):
     assert [len(r[0]) for r in df.select(text_head(F.col("t"))).collect()] == [1024, 1015]
 
 
-def test_quarantine_splits_the_landing_folder(spark, tmp_path):
+def test_bad_files_are_told_in_the_landing_folder(spark, tmp_path):
     land(tmp_path / "good.xpt", {"SEQN": [1.0]})
     (tmp_path / "bad.xpt").write_bytes(ERROR_PAGE)
-    good, bad = split_error_pages(landed_files(spark, str(tmp_path)))
-    assert [r.path.rsplit("/", 1)[1] for r in good.collect()] == ["good.xpt"]
+    files = landed_files(spark, str(tmp_path))
+    bad = files.filter("is_error_page")
+    assert files.count() == 2
     assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["bad.xpt"]
 
 
@@ -136,8 +140,14 @@ def test_loading_again_replaces(spark, tmp_path):
 def test_repeated_key_stops_the_load_unless_allowed(spark, tmp_path):
     land(tmp_path / "A.xpt", {"SEQN": [1.0, 1.0]})
     entry = [Entry("A.xpt", "a", "")]
-    with pytest.raises(DuplicateKeyError):
-        load_registry(spark, str(tmp_path), str(tmp_path / "out"), entry)
+    land(tmp_path / "B.xpt", {"SEQN": [1.5]})
+    land(tmp_path / "C.xpt", {"SEQN": [1.0]})
+    others = [Entry("B.xpt", "b", ""), Entry("C.xpt", "c", "")]
+    for target in (str(tmp_path / "out"), None):
+        with pytest.raises(DuplicateKeyError) as raised:
+            load_registry(spark, str(tmp_path), target, [*entry, *others])
+        got = [(s[2], s[3] and s[3].split(":")[0], s[4]) for s in raised.value.statuses]
+        assert got == [("failed", "load failed", None), ("failed", "parse failed", None), ("loaded", None, 1)]
     loose = load_registry(spark, str(tmp_path), str(tmp_path / "out"), entry, check_key=False)
     assert loose.first().rows == 2
 
@@ -230,3 +240,29 @@ def test_a_failed_load_leaves_the_old_table(spark, frame, tmp_path):
         assert spark.table("safe_load").count() == 4
     assert replace_bucketed(frame("k long", [(5,)]), "safe_load", "k", 2, check) == 1
     spark.sql("DROP TABLE safe_load")
+
+
+def test_every_file_of_an_entry_is_guarded(spark, tmp_path):
+    for folder in ("mixed", "mixed/deep", "pages", "sub"):
+        (tmp_path / folder).mkdir()
+    land(tmp_path / "mixed/A.xpt", {"SEQN": [1.0, 2.0]})
+    land(tmp_path / "mixed/deep/B.xpt", {"SEQN": [3.0]})
+    for page in ("mixed/P.xpt", "pages/P.xpt", "sub/P.xpt"):
+        (tmp_path / page).write_bytes(ERROR_PAGE)
+    land(tmp_path / "P.xpt", {"SEQN": [9.0]})
+    entries = [Entry("mixed", "m", ""), Entry("pages", "p", ""), Entry("sub/P.xpt", "s", ""), Entry("P.xpt", "t", "")]
+    for target in (str(tmp_path / "out"), None):
+        assert status_of(load_registry(spark, str(tmp_path), target, entries)) == {
+            "mixed": ("m", "loaded", "download failed", 3),
+            "pages": ("p", "failed", "download failed", None),
+            "sub/P.xpt": ("s", "failed", "download failed", None),
+            "P.xpt": ("t", "loaded", None, 1),
+        }
+
+
+def test_second_member_is_refused(spark, tmp_path):
+    land(tmp_path / "A.xpt", {"SEQN": [1.0] * 40})
+    whole = (tmp_path / "A.xpt").read_bytes()
+    (tmp_path / "A.xpt").write_bytes(whole + whole[240:])
+    status = load_registry(spark, str(tmp_path), None, [Entry("A.xpt", "a", "")], check_key=False)
+    assert "more than one member" in status.first().reason

@@ -1,4 +1,4 @@
-"""The star join: unmatched rows, pruning, key checks, hot and missing keys."""
+"""The star join: unmatched rows, pruning, key checks, repeated and missing keys."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from panelwise.operators.joins import (
     assert_unique_key,
     duplicate_keys,
     first_by_key,
-    frequent_keys,
+    known_unique,
+    mark_unique,
     star_left_join,
 )
 
@@ -44,7 +45,7 @@ def test_required_table_drops_unmatched_rows(star):
 
 def test_table_without_columns_is_not_joined(star):
     base, tables = star
-    pruned = star_left_join(base, {"left": tables["left"].select("id")}, "id")
+    pruned = star_left_join(base, {"left": mark_unique(tables["left"].select("id"), "id")}, "id")
     assert rows(pruned) == rows(base)
     assert "Join" not in pruned._jdf.queryExecution().analyzed().toString()
 
@@ -64,49 +65,32 @@ def test_duplicate_keys_are_named(frame):
     assert assert_unique_key(unique, "id") is unique
 
 
-def test_hot_and_missing_keys_change_no_row(spark):
-    # A third of the base rows share one key, a tenth have none.
+def test_unchecked_tables_join_as_plain_left_joins(spark):
+    # A third of the base rows share one key, a tenth have none; keys repeat in a table.
     base = spark.range(0, 6000, numPartitions=6).select(
         F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 10 = 1 THEN NULL ELSE id END").alias("k"),
         F.col("id").alias("v"),
     )
     lookup = spark.range(0, 5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    other = spark.range(0, 6000, 7).select(F.col("id").alias("k"), (F.col("id") + 1).alias("u"))
-    tables = {"lookup": lookup, "other": other}
-    plain = rows(star_left_join(base, tables, "k"))
-    assert sum(plain.values()) == 6000
-    for hot in ([], [7], [7, 11, 999999]):
-        assert rows(star_left_join(base, tables, "k", hot_keys=hot)) == plain
-    needed = rows(star_left_join(base, tables, "k", required=["other"]))
-    assert rows(star_left_join(base, tables, "k", required=["other"], hot_keys=[7])) == needed
-
-
-def test_salting_spreads_the_hot_key(spark):
-    base = spark.range(0, 9000, numPartitions=3).select(
-        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")
+    twice = spark.range(0, 6000, 7).select(
+        F.expr("CASE WHEN id % 5 = 0 THEN NULL ELSE id div 14 END").alias("k"), F.col("id").alias("u")
     )
-    lookup = spark.range(0, 9000).select(F.col("id").alias("k"), F.lit(1).alias("w"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        def most(hot):
-            joined = star_left_join(base, {"lookup": lookup}, "k", hot_keys=hot)
-            sizes = joined.groupBy(F.spark_partition_id()).count().collect()
-            return max(s["count"] for s in sizes)
-
-        assert most(None) > 3000
-        assert most([7]) < 2000
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
-def test_frequent_keys_are_found(spark):
-    df = spark.range(0, 30000).select(
-        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k")
-    )
-    assert frequent_keys(df, "k", share=0.2, sample=0.1) == [-1]
-    assert frequent_keys(spark.range(5000).select(F.col("id").alias("k")), "k") == []
+    tables = {"lookup": lookup, "twice": twice, "keys": twice.select("k")}
+    plain = base.join(lookup, "k", "left").join(twice, "k", "left").join(twice.select("k"), "k", "left")
+    want = rows(plain)
+    assert sum(want.values()) > 6000
+    assert rows(star_left_join(base, tables, "k")) == want
+    assert rows(star_left_join(base, {**tables, "lookup": mark_unique(lookup, "k")}, "k")) == want
+    inner = base.join(twice, "k").join(lookup, "k", "left").select("k", "v", "u", "w")
+    pair = {"lookup": lookup, "twice": twice}
+    assert rows(star_left_join(base, pair, "k", required=["twice"])) == rows(inner)
+
+
+def test_the_mark_of_a_checked_key_is_stored(spark, tmp_path):
+    df = mark_unique(spark.range(3).toDF("k"), "k")
+    df.write.parquet(str(tmp_path / "t"))
+    assert known_unique(spark.read.parquet(str(tmp_path / "t")), "k")
+    assert not known_unique(spark.range(3).toDF("k"), "k")
 
 
 def test_first_by_key_equals_cutting_the_whole_join(spark):

@@ -7,6 +7,8 @@ import sys
 import pytest
 
 from panelwise.__main__ import main
+from panelwise.plans.studies import SOURCES, STUDIES
+from panelwise.sources.load import open_bucketed
 from panelwise.sources.registry import SURVEY
 from tests import survey as plain
 from tests.test_ingest import land
@@ -35,6 +37,15 @@ def test_load_then_report(run, spark, tmp_path):
     shown = run("load", tmp_path, tmp_path / "tables")
     assert shown.count("|loaded") == 9 and shown.count("|failed") == 18
     assert "- No conditions" in run("report", "q4_comorbidity", tmp_path / "tables")
+    run("load", tmp_path, "from_main", "--buckets", 3)
+    assert "- No conditions" in run("report", "q4_comorbidity", "from_main", "--database")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = STUDIES["q4_comorbidity"](open_bucketed(spark, "from_main", SOURCES))
+        report.collect()
+        assert "Exchange hashpartitioning(seqn" not in report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     run("report", "q7_rx_by_comorbidity", tmp_path / "tables", "--out", tmp_path / "q7")
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "q7")).collect()))
     assert got == plain.prescriptions(plain.adults(survey))

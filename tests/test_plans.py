@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogue.queries import QUERIES
-from panelwise.operators.joins import assert_unique_key, duplicate_keys, star_left_join
+from panelwise.operators.joins import assert_unique_key, duplicate_keys, mark_unique, star_left_join
 from panelwise.plans.studies import STUDIES
 from panelwise.sources.load import open_tables, replace_bucketed, replace_table
 from tests import survey as plain
@@ -38,7 +38,7 @@ def stored(spark, tmp_path_factory):
     survey = plain.random_survey(21, 200)
     spark.sql("CREATE DATABASE IF NOT EXISTS survey")
     for name, rows in survey.items():
-        df = spark.createDataFrame(rows, plain.schema(name))
+        df = mark_unique(spark.createDataFrame(rows, plain.schema(name)), "seqn")
         replace_table(df, f"{home}/{name}")
         replace_bucketed(df, f"survey.{name}", "seqn", 4)
     bucketed = {name: spark.table(f"survey.{name}") for name in survey}
@@ -133,7 +133,8 @@ def test_key_check_of_a_bucketed_table_needs_no_shuffle(stored):
     assert "Exchange" not in executed(duplicate_keys(stored[1]["demographics"], "seqn"))
 
 
-def test_skewed_partition_is_split_at_run_time(spark, no_broadcast):
+@pytest.mark.parametrize("hot_side", ["base", "table"])
+def test_skewed_partition_is_split_at_run_time(hot_side, spark, no_broadcast):
     knobs = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -143,17 +144,18 @@ def test_skewed_partition_is_split_at_run_time(spark, no_broadcast):
     for k, v in knobs.items():
         spark.conf.set(k, v)
     try:
-        base = spark.range(0, 60000, numPartitions=16).select(
+        hot = spark.range(0, 60000, numPartitions=16).select(
             F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"),
             F.rand(1).alias("v"),
         )
-        tables = {
-            n: spark.range(60000).select(F.col("id").alias("k"), F.rand(2).alias(n))
-            for n in ("a", "b")
-        }
-        joined = star_left_join(base, tables, "k")
+        flat = [spark.range(60000).select(F.col("id").alias("k"), F.rand(2).alias(n)) for n in ("a", "b")]
+        if hot_side == "base":
+            joined = star_left_join(hot, {n: mark_unique(df, "k") for n, df in enumerate(flat)}, "k")
+        else:
+            joined = star_left_join(flat[0], {"v": hot, "b": mark_unique(flat[1], "k")}, "k")
         assert "skew=true" in executed(joined)
-        assert joined.count() == 60000
+        # Of the hot table all 60,000 rows meet a base key, and 20,000 base keys meet nothing.
+        assert joined.count() == (60000 if hot_side == "base" else 80000)
     finally:
         for k in knobs:
             spark.conf.unset(k)

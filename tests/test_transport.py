@@ -27,7 +27,7 @@ from panelwise.sources.transport import (
     TransportReader,
     decode_numbers,
     decode_text,
-    list_transport_files,
+    list_files,
     read_layout,
 )
 
@@ -88,7 +88,7 @@ def test_small_files_share_a_task_and_large_ones_are_cut(tmp_path):
     (tmp_path / "_attempt-9-part-0.xpt").write_bytes(b"left over")
     (tmp_path / "notes.txt").write_text("no data")
     size = (tmp_path / "part-0.xpt").stat().st_size
-    files = list_transport_files([str(tmp_path)])
+    files = list_files([str(tmp_path)], "xpt")
     assert [s for _, s in files] == [size] * 6
     packed = TransportReader([str(tmp_path)], None, 2 * size).partitions()
     assert [len(p.ranges) for p in packed] == [2, 2, 2]
