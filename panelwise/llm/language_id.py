@@ -26,6 +26,7 @@ from panelwise.llm.common import per_worker, share, slices, stored, trim
 UNKNOWN = "und"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PREFIX_BITS = 16
+LEAST_HELD_OUT = 10  # texts that make a limit of a language's own
 
 
 def letter_table() -> np.ndarray:
@@ -270,13 +271,18 @@ def train(
 ) -> LanguageModels:
     """Models from (doc_id, text, lang), of all languages that have texts with letters.
 
-    Fitted on a bounded sample: per language the `fit_rows` documents with the
-    lowest hashes of id and text for the counts, the next `calibrate_rows` for
-    the limit, which is their highest cross-entropy plus `margin` nats. Of a
+    Fitted on a bounded sample: per language the `fit_rows` + `calibrate_rows`
+    documents with the lowest hashes of id and text, or all if there are fewer.
+    The last of them, in the proportion of `calibrate_rows`, are held out from
+    the counts, one at least wherever a language has two documents. The limit of
+    a language is their highest cross-entropy plus `margin` nats. A language with
+    fewer than LEAST_HELD_OUT of them has at least the highest of all languages,
+    and if nothing could be held out anywhere, the limit is an even guess. Of a
     language's n-grams the `max_ngrams` most frequent are kept. Rows whose text
-    or language is null are left out; no rows give a model without languages.
+    or language is null, or without letters, are left out; no rows give a model
+    without languages.
     """
-    rows = labelled.where("text is not null and lang is not null").select(
+    rows = labelled.where(r"text is not null and lang is not null and text rlike r'\p{L}'").select(
         "lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")
     )
     # The lowest hashes are found without the texts; groups are split before they are ordered.
@@ -285,7 +291,11 @@ def train(
     some = spread.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h")))
     some = some.where(F.col("n") <= fit_rows + calibrate_rows)
     some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    some = some.where(F.col("n") <= fit_rows + calibrate_rows).select("lang", "h", "n").distinct()
+    some = some.where(F.col("n") <= fit_rows + calibrate_rows)
+    some = some.withColumn("held", F.max("n").over(Window.partitionBy("lang")))
+    part = F.floor(F.col("held") * calibrate_rows / (fit_rows + calibrate_rows))
+    held = F.when(F.col("held") > 1, F.greatest(part, F.lit(1))).otherwise(0)
+    some = some.select("lang", "h", "n", (F.col("n") > F.col("held") - held).alias("spare")).distinct()
     sample = stored(rows.join(F.broadcast(some), ["lang", "h"]).dropDuplicates(["lang", "n"]), "language-sample")
 
     def count(table: pa.Table) -> pa.Table:
@@ -293,7 +303,7 @@ def train(
         langs = pa.array([table.column("lang")[0].as_py()] * len(counts), pa.string())
         return pa.table({"lang": langs, "gram": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    fit = sample.where(F.col("n") <= fit_rows).withColumn("part", F.col("n") % 8)
+    fit = sample.where("not spare").withColumn("part", F.col("n") % 8)
     grams = fit.groupBy("lang", "part").applyInArrow(count, "lang string, gram string, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -314,15 +324,22 @@ def train(
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(found, pa.float64())], ["lang", "entropy"])
 
     if models.languages:
-        spare = sample.where(F.col("n") > fit_rows).select("lang", "text")
-        high = spare.mapInArrow(measure, "lang string, entropy double").groupBy("lang").agg(F.max("entropy").alias("e"))
-        limits = {r["lang"]: r["e"] for r in high.collect()}
-        models.limit = np.array(
-            [limits[x] + margin if limits.get(x) is not None else np.inf for x in models.languages]
-        )
+        spare = sample.where("spare").select("lang", "text")
+        high = spare.mapInArrow(measure, "lang string, entropy double").where("entropy is not null")
+        high = high.groupBy("lang").agg(F.max("entropy").alias("e"), F.count("*").alias("n"))
+        models.limit = limits(models, {r["lang"]: (r["e"], r["n"]) for r in high.collect()}, margin)
     return models
 
 
+def limits(models: LanguageModels, held_out: dict[str, tuple[float, int]], margin: float) -> np.ndarray:
+    """The limit per language, from the highest cross-entropy and the number of its held-out texts."""
+    if not held_out:
+        return np.full(len(models.languages), np.log(0.5) - models.unseen)  # log of the vocabulary
+    pooled = max(e for e, _ in held_out.values())
+    own = [held_out.get(x, (pooled, 0)) for x in models.languages]
+    return np.array([(e if n >= LEAST_HELD_OUT else max(e, pooled)) + margin for e, n in own])
+
+
 PREDICTED = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 

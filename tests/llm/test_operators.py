@@ -350,6 +350,21 @@ def test_language_id(frame, sample):
     assert language_id.predict(odd, none).where("lang_pred = 'und'").count() == 5
 
 
+def test_language_id_rejects_after_few_rows(frame, sample):
+    english = sample.where("lang = 'en'").select("doc_id", "text", "lang").limit(120)
+    rare = sample.where("lang = 'fr'").select("doc_id", "text", "lang").limit(6)
+    single = sample.where("lang = 'de'").select("doc_id", "text", "lang").limit(1)
+    models = language_id.train(english.union(rare).union(single))
+    assert models.languages == ["de", "en", "fr"] and np.isfinite(models.limit).all()
+    assert min(models.limit) == models.limit[1]  # the others have too few rows for a lower limit
+    odd = frame("doc_id long, text string", [(1, "中文" * 30), (2, "zxqj kvwq xzzk qjvx wqkz"), (3, "the thing that was")])
+    got = {r["doc_id"]: r["rejected"] for r in language_id.predict(odd, models).collect()}
+    assert got == {1: True, 2: True, 3: False}
+    models = language_id.train(single)
+    assert np.isfinite(models.limit).all()
+    assert language_id.predict(odd.where("doc_id = 1"), models).first()["rejected"]
+
+
 def test_kneser_ney_sums_to_one():
     counts = language_id.count_ngrams(["abracadabra arbre bar", "a"], 3)
     probabilities, _ = language_id.kneser_ney(counts, 3, 8)
