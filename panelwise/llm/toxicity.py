@@ -8,6 +8,9 @@ composition runs once over each clause:
     reported speech after a verb of saying they are quoted
     target          a target near an insult or threat makes the clause direct
 
+What stands before its target is found by a transducer that reads the rewritten
+clause from its end.
+
 A document's features are the weights of its matched clauses by outcome, and a
 logistic model, fitted on labelled documents, turns them into a score. The
 insults are learned from the labels too: words, and stems of words, that occur
@@ -107,6 +110,11 @@ def grammar():
     return compose(negation, reported, target)
 
 
+def grammar_from_end():
+    """For the output of `grammar`, last symbol first: direction at a target that follows."""
+    return compose(countdown("G", {"I": ("D", 0.5), "T": ("D", 0.5)}, REACH))
+
+
 @dataclass
 class ToxicModel:
     """Learned words and stems with their weights, and the logistic model."""
@@ -139,6 +147,7 @@ class Scanner:
         self.model = model
         self.symbols = classes()
         self.step, self.start = grammar()
+        self.step_back, self.end = grammar_from_end()
         self.words, self.clauses = re.compile(WORD).findall, re.compile(CLAUSE).split
         self.any = ahocorasick.Automaton()
         for w in [*model.words, *model.stems, *THREATS.split()]:
@@ -157,7 +166,7 @@ class Scanner:
         return [float(np.log1p(max(0.0, out[o]))) for o in OUTCOMES]
 
     def _clause(self, words: list[str], out: dict[str, float]) -> None:
-        states, found = self.start, False
+        states, read = self.start, []
         for w in words:
             symbol, own = self.symbols.get(w, "O"), 1.0
             if symbol == "O":
@@ -165,9 +174,13 @@ class Scanner:
                 if learned > 0:
                     symbol, own = "I", learned
             result, weight, states = self.step(states, symbol)
+            read.append((result, own, weight))
+        states, found = self.end, False
+        for symbol, own, weight in reversed(read):
+            result, more, states = self.step_back(states, symbol)
             if result in "ItTiDQ":
                 kind = {"I": "plain", "i": "denied", "t": "denied", "Q": "quoted", "D": "direct", "T": "threat"}[result]
-                out[kind] += own * (1 + weight)
+                out[kind] += own * (1 + weight + more)
                 found = True
         out["clauses"] += found
 

@@ -316,6 +316,21 @@ def test_toxicity_grammar():
     assert read("ROI") == "ROQ" and read("GOI") == "GOD" and read("GNI") == "GNi"
 
 
+def test_toxicity_target_on_either_side():
+    scanner = toxicity.Scanner(toxicity.ToxicModel({"moron": 1.0}, {}, np.zeros(len(toxicity.OUTCOMES) + 1)))
+
+    def outcome(text):
+        found = dict(zip(toxicity.OUTCOMES, np.expm1(scanner.features(text)).round(6).tolist(), strict=True))
+        return {k: v for k, v in found.items() if v and k != "clauses"}
+
+    assert outcome("you will hurt") == outcome("I will kill you") == {"direct": 1.5}
+    assert outcome("you moron") == outcome("moron, you") == outcome("you moron you") == {"direct": 1.5}
+    assert outcome("I will kill one or two") == {"threat": 1.0} and outcome("a moron") == {"plain": 1.0}
+    assert outcome("kill a b you") == {"direct": 1.5} and outcome("kill a b c you") == {"threat": 1.0}
+    assert outcome("I will kill. you") == {"threat": 1.0}
+    assert outcome("I will not kill you") == {"denied": 0.5} and outcome("I said kill you") == {"quoted": 0.7}
+
+
 def test_toxicity_learns(frame):
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(200)]
