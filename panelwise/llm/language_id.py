@@ -213,6 +213,81 @@ def kneser_ney(top: dict[str, int], order: int, vocabulary: int) -> tuple[list[d
     return probabilities, weights
 
 
+def kneser_ney_tables(grams: DataFrame, order: int) -> tuple[list[DataFrame], dict[tuple[str, int], int], int]:
+    """What `kneser_ney` computes, for (lang, gram, n) of any number of n-grams of length `order`.
+
+    Returns by order (lang, gram, n, p, weight), where n is the count, p the
+    probability and weight the back-off weight of the n-gram's context; the
+    number of n-grams by language and order; and the size of the vocabulary.
+    """
+    levels = [grams.select("lang", "gram", "n")]
+    for length in range(order - 1, 0, -1):
+        levels.insert(0, levels[0].groupBy("lang", F.substring("gram", 2, length).alias("gram")).agg(F.count("*").alias("n")))
+    vocabulary = max(2, levels[0].select("gram").distinct().count() + 1)
+    tables, numbers = [], {}
+    for length, level in enumerate(levels, 1):
+        of_lang = level.groupBy("lang").agg(
+            F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")
+        )
+        found = of_lang.collect()  # one row per language
+        numbers.update({(r["lang"], length): r["all"] for r in found})
+        discounts = [(r["lang"], r["ones"] / (r["ones"] + 2 * r["twos"]) if r["ones"] and r["twos"] else 0.5) for r in found]
+        discount = grams.sparkSession.createDataFrame(discounts, "lang string, discount double")
+        own = level.withColumn("head", F.substring("gram", 1, length - 1))
+        heads = own.groupBy("lang", "head").agg(F.sum("n").alias("sum"), F.count("*").alias("kinds"))
+        heads = heads.join(F.broadcast(discount), "lang")
+        heads = heads.withColumn("weight", F.col("discount") * F.col("kinds") / F.col("sum"))
+        own = own.join(heads, ["lang", "head"])
+        if tables:
+            lower = tables[-1].select("lang", F.col("gram").alias("tail"), F.col("p").alias("lower"))
+            own = own.withColumn("tail", F.substring("gram", 2, length - 1)).join(lower, ["lang", "tail"])
+        else:
+            own = own.withColumn("lower", F.lit(1 / vocabulary))
+        p = (F.col("n") - F.col("discount")) / F.col("sum") + F.col("weight") * F.col("lower")
+        # Written, since the next order is computed from it and it is read for the pruning.
+        tables.append(stored(own.select("lang", "gram", "n", p.alias("p"), "weight"), f"kneser-ney-{length}"))
+    return tables, numbers, vocabulary
+
+
+def pruned(tables: list[DataFrame], numbers: dict[tuple[str, int], int], max_ngrams: int) -> dict[str, tuple[list[dict], list[dict]]]:
+    """Per language probabilities and back-off weights, by order, of its `max_ngrams` most frequent n-grams of each order.
+
+    Single symbols are all kept; Unicode bounds them. Where n-grams are missing
+    the back-off weights are set anew so that each context's probabilities
+    still sum to one.
+    """
+    models: dict[str, tuple[list[dict], list[dict]]] = {}
+    for length, table in enumerate(tables, 1):
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+        kept = table if length == 1 else table.withColumn("r", rank).where(F.col("r") <= max_ngrams)
+        for lang, gram, p, weight in kept.select("lang", "gram", "p", "weight").toArrow().to_pandas().itertuples(index=False):
+            probabilities, weights = models.setdefault(lang, ([{} for _ in tables], [{} for _ in tables]))
+            probabilities[length - 1][gram] = p
+            weights[length - 1][gram[:-1]] = weight
+    for lang, (probabilities, weights) in models.items():
+        if any(numbers[lang, n] > len(own) for n, own in enumerate(probabilities, 1)):
+            for n in range(2, len(tables) + 1):
+                weights[n - 1] = renormalised(probabilities, weights, n)
+    return models
+
+
+def renormalised(probabilities: list[dict[str, float]], weights: list[dict[str, float]], n: int) -> dict[str, float]:
+    """Back-off weights of the contexts of order n: what its n-grams leave, over what the lower orders leave for it."""
+
+    def lower(gram: str) -> float:
+        factor = 1.0
+        while gram not in probabilities[len(gram) - 1]:
+            factor *= weights[len(gram) - 1].get(gram[:-1], 1.0)
+            gram = gram[1:]  # ends at a single symbol, and those are all there
+        return factor * probabilities[len(gram) - 1][gram]
+
+    taken: dict[str, tuple[float, float]] = {}
+    for gram, p in probabilities[n - 1].items():
+        mine, below = taken.get(gram[:-1], (0.0, 0.0))
+        taken[gram[:-1]] = (mine + p, below + lower(gram[1:]))
+    return {c: max(1 - mine, 1e-6) / max(1 - below, 1e-6) for c, (mine, below) in taken.items()}
+
+
 def gram_hash(grams: list[str]) -> np.ndarray:
     """The hash of each n-gram, all of one length, as `hashes` gives it at the last symbol."""
     codes = np.array([[0 if c == " " else ord(c) for c in g] for g in grams], np.uint32)
@@ -227,7 +302,11 @@ def build(counts: dict[str, dict[str, int]], order: int) -> LanguageModels:
     """The models of all languages from their counts of n-grams of length `order`."""
     languages = sorted(counts)
     vocabulary = max(2, len({g[-1] for c in counts.values() for g in c}) + 1)
-    fitted = [kneser_ney(counts[name], order, vocabulary) for name in languages]
+    return assemble(languages, [kneser_ney(counts[name], order, vocabulary) for name in languages], order, vocabulary)
+
+
+def assemble(languages: list[str], fitted: list[tuple[list[dict], list[dict]]], order: int, vocabulary: int) -> LanguageModels:
+    """One table per order from the probabilities and back-off weights of each language."""
     lowest = np.log(1e-7)
     tables, backoff = [], []
     for n in range(1, order + 1):
@@ -277,10 +356,11 @@ def train(
     the counts, one at least wherever a language has two documents. The limit of
     a language is their highest cross-entropy plus `margin` nats. A language with
     fewer than LEAST_HELD_OUT of them has at least the highest of all languages,
-    and if nothing could be held out anywhere, the limit is an even guess. Of a
-    language's n-grams the `max_ngrams` most frequent are kept. Rows whose text
-    or language is null, or without letters, are left out; no rows give a model
-    without languages.
+    and if nothing could be held out anywhere, the limit is an even guess. The
+    statistics are those of all n-grams of the sample; of the finished model the
+    `max_ngrams` most frequent of each language and order are kept. Rows whose
+    text or language is null, or without letters, are left out; no rows give a
+    model without languages.
     """
     rows = labelled.where(r"text is not null and lang is not null and text rlike r'\p{L}'").select(
         "lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")
@@ -305,13 +385,11 @@ def train(
 
     fit = sample.where("not spare").withColumn("part", F.col("n") % 8)
     grams = fit.groupBy("lang", "part").applyInArrow(count, "lang string, gram string, n long")
-    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = grams.withColumn("r", rank).where(F.col("r") <= max_ngrams)
-    counts: dict[str, dict[str, int]] = {}
-    for lang, gram, n in kept.select("lang", "gram", "n").toArrow().to_pandas().itertuples(index=False):
-        counts.setdefault(lang, {})[gram] = int(n)
-    models = build(counts, order)
+    grams = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-ngrams")
+    tables, numbers, vocabulary = kneser_ney_tables(grams, order)
+    fitted = pruned(tables, numbers, max_ngrams)
+    languages = sorted(fitted)
+    models = assemble(languages, [fitted[x] for x in languages], order, vocabulary)
     models_of = share(labelled.sparkSession, models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -389,6 +389,39 @@ def test_kneser_ney_sums_to_one():
     assert n.tolist() == [5, 0] and 0 < entropy[0, 0] < np.log(8)
 
 
+def test_kneser_ney_is_pruned_only_when_finished(frame):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh  "), 400)) for _ in range(6)]
+    counts = language_id.count_ngrams(texts, 3)
+    rows = [("x", g, n) for g, n in counts.items()] + [("y", g, n) for g, n in language_id.count_ngrams(["aha"], 3).items()]
+    tables, numbers, vocabulary = language_id.kneser_ney_tables(frame("lang string, gram string, n long", rows), 3)
+    exact, weights = language_id.kneser_ney(counts, 3, vocabulary)
+    whole = language_id.pruned(tables, numbers, len(counts))["x"]
+    few = language_id.pruned(tables, numbers, 40)["x"]
+    for n in range(3):
+        assert whole[0][n] == pytest.approx(exact[n]) and whole[1][n] == pytest.approx(weights[n])
+        assert few[0][n] == pytest.approx({g: exact[n][g] for g in few[0][n]})
+    assert len(few[0][1]) == len(few[0][2]) == 40
+
+    def p(gram):
+        if gram in few[0][len(gram) - 1]:
+            return few[0][len(gram) - 1][gram]
+        return few[1][len(gram) - 1].get(gram[:-1], 1.0) * p(gram[1:])
+
+    left = 1 - sum(exact[0].values())  # for symbols that occur nowhere
+    for context in {g[:-1] for g in counts}:
+        backed = few[1][2].get(context, 1.0) * few[1][1].get(context[1:], 1.0)
+        assert sum(p(context + w) for w in exact[0]) + backed * left == pytest.approx(1)
+
+
+def test_language_id_statistics_ignore_pruning(frame, sample):
+    english = sample.where("lang = 'en'").select("doc_id", "text", "lang")
+    whole, few = (language_id.train(english, max_ngrams=m) for m in (10**6, 200))
+    assert len(few.tables[3].keys) == 200 < len(whole.tables[3].keys)
+    at = whole.tables[3].find(few.tables[3].keys)
+    assert (at >= 0).all() and np.allclose(whole.tables[3].rows[at], few.tables[3].rows, atol=1e-4)
+
+
 def test_empty_tables(nothing):
     ranks = vocabulary(RANKS)
     assert token_files.token_files(nothing, vocabulary(TOKENIZER)).count() == 0
