@@ -124,8 +124,15 @@ def filters_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def short_features(text: bytes) -> np.ndarray:
+    """Hashes of a text too short for popular windows: of all its windows of 1 to 8 bytes, a quarter of it at most, and of the whole."""
+    raw = np.frombuffer(text, np.uint8)
+    window = next((w for w in (8, 4, 2) if 4 * w <= len(raw)), 1)
+    return np.concatenate([gram_hashes(raw, window), gram_hashes(raw, len(raw))])
+
+
 def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
-    """The filters of each text. A text shorter than a window is one feature, an empty one has none."""
+    """The filters of each text. An empty one has none; a short one has those of its short windows too."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
@@ -136,8 +143,8 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     out = []
     for i, text in enumerate(texts):
         own = hashes[cuts[i] : cuts[i + 1]]
-        if not len(own) and text:
-            own = gram_hashes(np.frombuffer(text, np.uint8), len(text))
+        if 0 < len(text) < WINDOW + SPAN - 1:
+            own = np.concatenate([own, short_features(text)])
         out.append(filters_of(own))
     return out
 

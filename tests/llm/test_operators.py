@@ -269,6 +269,23 @@ def test_fingerprints(awkward):
     assert all(0 <= r["near_edited"] <= 1 for r in found)
 
 
+def test_fingerprints_of_short_near_copies():
+    rng = np.random.default_rng(8)
+    ranks = fingerprints.rank_levels(np.ones(fingerprints.LEVELS + 1, np.int64))
+    for n in (20, 40, 63, 64, 90, 126):
+        text = rng.integers(97, 123, n).astype(np.uint8)
+        other = rng.integers(97, 123, n).astype(np.uint8)
+        copies = []
+        for at in range(0, n, 5):  # one changed character each
+            copies.append(text.copy())
+            copies[-1][at] = 65
+        made = fingerprints.digests([x.tobytes() for x in (text, other, *copies)], ranks)
+        assert all(m.shape[0] == 1 for m in made) and fingerprints.likeness(made[0], made[1]) < 0.1
+        assert all(0.3 < fingerprints.likeness(made[0], m) < 1 for m in made[2:])
+    one, turned, empty = fingerprints.digests([b"ab", b"ba", b""], ranks)
+    assert fingerprints.likeness(one, one) == 1 and fingerprints.likeness(one, turned) < 1 and not len(empty)
+
+
 def test_entropy_levels_match_counting():
     raw = np.random.default_rng(6).integers(97, 105, 3_000).astype(np.uint8)
     levels = fingerprints.entropy_levels(raw)
