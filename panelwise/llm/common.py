@@ -8,6 +8,7 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,40 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
-    """The rows as a table in the shared folder, bucketed by a key: joins on it do not move them again."""
+@dataclass(frozen=True)
+class BucketedTable:
+    """Rows stored in the shared folder, bucketed by a key: joins on it do not move them again."""
+
+    rows: DataFrame
+    name: str
+    path: str
+
+    def drop(self) -> None:
+        """Remove the table and its files, through whatever file system holds them."""
+        spark = self.rows.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(spark, self.path)
+
+
+def bucketed_table(df: DataFrame, key: str, purpose: str) -> BucketedTable:
     spark = df.sparkSession
     name = f"{purpose}_{uuid.uuid4().hex}".replace("-", "_")
+    path = scratch_dir(spark, purpose)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(spark, purpose))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
     writer.bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    return BucketedTable(spark.table(name), name, path)
+
+
+def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed by a key."""
+    return bucketed_table(df, key, purpose).rows
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, where Spark can reach it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,4 +20,42 @@ ORACLE = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op11_decontamination": """
+        WITH cut_docs AS (
+            SELECT doc_id, list_filter(
+                regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words
+            FROM documents
+        ),
+        cut_items AS (
+            SELECT item_id, list_filter(
+                regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words
+            FROM benchmark
+        ),
+        windows AS (
+            SELECT DISTINCT item_id, size, array_to_string(list_slice(words, spot, spot + size - 1), ' ') AS phrase
+            FROM (SELECT item_id, words, size, unnest(range(1, len(words) - size + 2)) AS spot
+                  FROM (SELECT *, least(10, len(words)) AS size FROM cut_items WHERE len(words) > 0))
+        ),
+        places AS (
+            SELECT doc_id, size, spot, array_to_string(list_slice(words, spot, spot + size - 1), ' ') AS phrase
+            FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS spot
+                  FROM cut_docs CROSS JOIN (SELECT DISTINCT size FROM windows))
+        ),
+        found AS (SELECT doc_id, item_id, size, spot FROM places JOIN windows USING (size, phrase)),
+        hits AS (
+            SELECT doc_id, count(DISTINCT word) AS n_hit
+            FROM (SELECT doc_id, unnest(range(spot, spot + size)) AS word FROM found) GROUP BY doc_id
+        ),
+        of_items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM cut_docs LEFT JOIN hits USING (doc_id) LEFT JOIN of_items USING (doc_id)
+    """,
 }

@@ -13,6 +13,7 @@ from panelwise.llm import (
     language_id,
     license_scan,
     mixing,
+    phrase_index,
     simhash,
     suffix_dedup,
     token_files,
@@ -20,6 +21,7 @@ from panelwise.llm import (
     toxicity,
 )
 from panelwise.llm.common import documents
+from panelwise.session import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -112,10 +114,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_fold(1, 3).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = phrase_index.contaminated(documents(spark, sf_dir), items, words=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_license_scan, op3_suffix_dedup, op4_mixing, op5_topk_search,
         op6_fingerprints, op7_simhash, op8_toxicity, op9_bpe, op10_language_id,
+        op11_decontamination,
     )
 }
