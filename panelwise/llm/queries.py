@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from panelwise.llm import (
     bpe,
+    centroids,
     fingerprints,
     language_id,
     license_scan,
     mixing,
     phrase_index,
     simhash,
+    spelling,
     suffix_dedup,
     token_files,
     topk_search,
@@ -123,11 +125,25 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = centroids.cluster(vectors, size=64, scale=64.0, k=16, rounds=3, prefix="1:")
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        centroids.centroid_digest(F.col("centroid")).alias("centroid_sha256"),
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.count_words(documents(spark, sf_dir), least_letters=5, least_count=3, slip_every=97)
+    return spelling.group_variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_license_scan, op3_suffix_dedup, op4_mixing, op5_topk_search,
         op6_fingerprints, op7_simhash, op8_toxicity, op9_bpe, op10_language_id,
-        op11_decontamination,
+        op11_decontamination, op12_centroids, op13_spelling,
     )
 }
