@@ -187,6 +187,10 @@ SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS price,
     'order' AS kind FROM orders"""
 ORACLE["op_lowercase_columns"] = ORACLE["op_replace_sink"] = """
 SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, o_totalprice, o_orderpriority FROM orders"""
+ORACLE["op_versioned_replace"] = """
+SELECT o_orderkey, o_totalprice, coalesce(n_lines, 0) AS n_lines FROM orders LEFT JOIN (
+    SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
+ORACLE["op_snapshot_scan"] = "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
 ORACLE["op_xport_roundtrip"] = """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"""
 
@@ -198,6 +202,8 @@ def _counts(extra: str = "") -> str:
 
 
 ORACLE["op_load_counts"] = _counts()
+ORACLE["op_load_resume"] = f"""
+SELECT "table", "rows", "table" IN ('region', 'nation', 'customer', 'supplier', 'part') AS resumed FROM ({_counts()})"""
 ORACLE["op_load_status"] = f"""
 SELECT "table" || '.parquet' AS file, "table", 'loaded' AS status,
     NULL::VARCHAR AS reason, "rows" FROM ({_counts()})
@@ -272,6 +278,8 @@ ORACLE["op_left_join"] = """
 SELECT o_orderkey, o_custkey, n_lines, sum_qty FROM orders LEFT JOIN (
     SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS sum_qty
     FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
+ORACLE["op_sketched_left_join"] = """
+SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"""
 ORACLE["op_left_join_star"] = cohort(*CONDITIONS_FROM, "insurance", "healthcare_util") + """
 SELECT seqn, ridageyr, bmxbmi, diq010, bpq020, bpq080, hiq011,
     huq010, huq030, huq042, huq055, huq090 FROM cohort"""
@@ -279,7 +287,7 @@ ORACLE["op_filtered_outer_join"] = cohort("medications") + """
 SELECT seqn, rxq033, rxq050 FROM cohort WHERE rxq033 IN (1, 2)"""
 ORACLE["op_unused_join_prune"] = cohort("insurance", "weight_history") + """
 SELECT seqn, whq070 FROM cohort"""
-ORACLE["op_unique_key_check"] = """
+ORACLE["op_unique_key_check"] = ORACLE["op_key_ranges"] = """
 SELECT l_orderkey, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1"""
 
 # Aggregations

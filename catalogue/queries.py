@@ -35,7 +35,8 @@ from panelwise.functions.measures import (
     total,
     total_where,
 )
-from panelwise.operators.joins import duplicate_keys, mark_unique, star_left_join
+from panelwise.operators.joins import duplicate_keys, mark_unique, sketch_hottest, star_left_join
+from panelwise.operators.key_ranges import duplicate_stored_keys
 from panelwise.operators.membership import aggregate_membership, expand_membership
 from panelwise.operators.ordering import label_rank, order_by_hidden, pinned_first
 from panelwise.operators.totals import stack_measures, with_overall
@@ -63,6 +64,7 @@ from panelwise.sources.guard import is_error_page, text_head
 from panelwise.sources.files import discard
 from panelwise.sources.load import load_registry, lowercase_columns, replace_table
 from panelwise.sources.registry import Entry, registry
+from panelwise.sources.store import FileStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,6 +136,46 @@ def op_replace_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@over_tables
+def op_versioned_replace(spark, sf_dir):
+    """Two tables replaced in one step, twice; the set in force is read back."""
+    store = FileStore(prepare(spark), scratch_dir(spark, "versions"))
+    store.replace({"orders": table(spark, sf_dir, "region"), "lineitem": table(spark, sf_dir, "nation")})
+    store.replace({t: table(spark, sf_dir, t) for t in ("orders", "lineitem")})
+    now = store.open_all(["orders", "lineitem"])
+    lines = now["lineitem"].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
+    joined = now["orders"].join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select("o_orderkey", "o_totalprice", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+@over_tables
+def op_snapshot_scan(spark, sf_dir):
+    """What a reader sees that opened its tables before they were replaced."""
+    store = FileStore(prepare(spark), scratch_dir(spark, "snapshot"))
+    store.replace({t: table(spark, sf_dir, t) for t in ("nation", "region")})
+    held = store.open_all(["nation", "region"])
+    store.replace({t: table(spark, sf_dir, t).limit(0) for t in ("nation", "region")})
+    return held["nation"].join(held["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@over_tables
+def op_load_resume(spark, sf_dir):
+    """A load that takes up one that never ended: what that had completed is not read again."""
+    target = scratch_dir(prepare(spark), "resume")
+    started, rest = SAMPLE_REGISTRY[:5], SAMPLE_REGISTRY
+    load_registry(spark, sf_dir, target, started, source="parquet", key=None)
+    store = FileStore(spark, target)
+    done = store.versions.current().tables
+    unfinished = store.versions.begin()
+    for name, record in done.items():
+        unfinished.completed(name, record)
+    status = load_registry(spark, sf_dir, target, rest, source="parquet", key=None)
+    now = store.versions.current().tables
+    kept = [(t, t in done and now[t]["version"] == done[t]["version"]) for t in now]
+    discard(target)
+    return status.join(spark.createDataFrame(kept, "table string, resumed boolean"), "table").select("table", "rows", "resumed")
+
+
 @over_tables
 def op_load_counts(spark, sf_dir):
     target = scratch_dir(prepare(spark), "load")
@@ -359,6 +401,20 @@ def op_unique_key_check(spark, sf_dir):
     return duplicate_keys(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
+@over_tables
+def op_key_ranges(spark, sf_dir):
+    """The same keys by the ranges in the footers: only those of common parts are shuffled."""
+    return duplicate_stored_keys(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@over_tables
+def op_sketched_left_join(spark, sf_dir):
+    """A table of repeated keys, none of them hot as a sketch of its keys shows: one left join."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return star_left_join(orders, {"lines": sketch_hottest(lines, "o_orderkey")}, "o_orderkey")
+
+
 # Aggregations
 
 

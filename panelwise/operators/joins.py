@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 UNIQUE = "unique_key"
+HOTTEST = "hottest_rows"
 MATCH = "__match"
+#: Keys that a sketch of frequent keys keeps count of, and its error as a share of all rows.
+SKETCHED = 100_000
+SKETCH_ERROR = 4 / SKETCHED
+#: So many rows of one key may meet in one task of a join.
+HOT_ROWS = 1_000_000
 
 
 class DuplicateKeyError(ValueError):
@@ -28,11 +35,16 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
     """Return `df` if `key` is unique in it, else raise naming a few culprits."""
-    culprits = duplicate_keys(df, key).limit(5).collect()
+    raise_repeated(duplicate_keys(df, key), key)
+    return df
+
+
+def raise_repeated(repeated: DataFrame, key: str) -> None:
+    """Raise if there are any keys with their counts, naming a few."""
+    culprits = repeated.limit(5).collect()
     if culprits:
         shown = ", ".join(f"{row[0]} ({row[1]} rows)" for row in culprits)
         raise DuplicateKeyError(f"{key} is not unique: {shown}")
-    return df
 
 
 def mark_unique(df: DataFrame, key: str) -> DataFrame:
@@ -48,8 +60,43 @@ def known_unique(df: DataFrame, key: str) -> bool:
     return bool(df.schema[key].metadata.get(UNIQUE))
 
 
+def hottest_sketch(key: str) -> Column:
+    """The two commonest keys, one of which may be null, by a sketch of frequent items: one pass, bounded memory."""
+    return F.expr(f"approx_top_k(`{key}`, 2, {SKETCHED})")
+
+
+def hottest_rows(top: Sequence[Row] | None, rows: int) -> int:
+    """The most rows any key can have, from the sketch of a table of `rows` rows. Never too low."""
+    seen = max((item["count"] for item in top or () if item["item"] is not None), default=0)
+    return min(rows, seen + math.ceil(SKETCH_ERROR * rows))
+
+
+def note_hottest(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """`df` with a note in its key column of how many rows its commonest key has at most.
+
+    The load sets it on tables whose key it does not check.
+    """
+    return df.withMetadata(key, {**df.schema[key].metadata, HOTTEST: rows})
+
+
+def sketch_hottest(df: DataFrame, key: str) -> DataFrame:
+    """`note_hottest` for a table that no load has looked at: reads its key once."""
+    found = df.agg(F.count(F.lit(1)).alias("rows"), hottest_sketch(key).alias("top")).first()
+    return note_hottest(df, key, hottest_rows(found.top, found.rows))
+
+
+def may_be_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> bool:
+    """Whether some key may have more rows than one task should join."""
+    notes = df.schema[key].metadata
+    return not notes.get(UNIQUE) and notes.get(HOTTEST, math.inf) > hot_rows
+
+
 def star_left_join(
-    base: DataFrame, tables: Mapping[str, DataFrame], key: str, required: Sequence[str] = ()
+    base: DataFrame,
+    tables: Mapping[str, DataFrame],
+    key: str,
+    required: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join every table onto `base`, keeping base rows without a match.
 
@@ -60,9 +107,11 @@ def star_left_join(
     at most once and the running result is never shuffled again; inputs
     bucketed by the key are not shuffled at all.
 
-    A table not known to be unique may hold a hot key, and Spark cannot split
-    the right side of a left join. Such a table is completed by the base keys
-    it lacks and joined inner, where either side of a hot partition is split.
+    A key with more than `hot_rows` rows is hot, and Spark cannot split the
+    right side of a left join. A table that may hold one, because its load or
+    `sketch_hottest` found one or because nobody looked, is completed by the
+    base keys it lacks and joined inner, where either side of a hot partition
+    is split. Only such tables pay for that.
     """
     names = [n for n in tables if n in required]
     names += [n for n in tables if n not in required and not _adds_nothing(tables[n], key)]
@@ -70,7 +119,7 @@ def star_left_join(
     def attach(left: DataFrame, name: str) -> DataFrame:
         if name in required:
             return left.join(tables[name], key)
-        if known_unique(tables[name], key):
+        if not may_be_hot(tables[name], key, hot_rows):
             return left.join(tables[name], key, "left")
         right = _completed(tables[name], base, key).withColumnRenamed(key, MATCH)
         return left.join(right, F.col(key).eqNullSafe(F.col(MATCH))).drop(MATCH)

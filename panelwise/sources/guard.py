@@ -46,10 +46,11 @@ def file_head(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def landed_files(spark: SparkSession, *uris: str) -> DataFrame:
-    """Path, size and error-page mark of landed files.
+    """Path, size, time and error-page mark of landed files.
 
     Only the listing, subfolders included, and the head of each file are read, never its content.
     Files without a single byte are not listed.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(uris)).select("path", "length")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(uris))
+    listed = listed.select("path", "length", "modificationTime")
     return listed.withColumn("is_error_page", is_error_page(file_head("path")))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from threading import Lock
 
 from pyarrow import fs
 from pyspark import inheritable_thread_target
@@ -12,10 +17,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.operators.joins import DuplicateKeyError, assert_unique_key, mark_unique
+from panelwise.operators.key_ranges import assert_unique_stored
 from panelwise.sources.files import resolve
 from panelwise.sources.guard import landed_files
 from panelwise.sources.registry import SURVEY, Entry
-from panelwise.sources.transport import list_files
+from panelwise.sources.store import DatabaseStore, FileStore
 
 STATUS = "file string, table string, status string, reason string, rows bigint"
 LOADED, FAILED = "loaded", "failed"
@@ -59,61 +65,90 @@ def count_rows(df: DataFrame, check: Callable[[DataFrame], object] | None = None
 
 
 def replace_table(df: DataFrame, path: str, check: Callable[[DataFrame], object] | None = None) -> int:
-    """Write `df` in place of whatever is at `path`; returns the rows written.
-
-    The rows are written beside the old table and, if asked, checked there. The
-    old table goes only once the new one is complete; a failure leaves it as it was.
+    """Write `df` in place of whatever is at `path`, a plain folder; returns the rows written.
+
+    The rows are written beside the old table and, if asked, checked there.
+    Then the old folder steps aside, the new one takes its place, and only then
+    the old one is deleted; a step that fails is undone, and one left undone by
+    a driver that was killed is undone by the next replacement. Where folders
+    cannot be moved the old table stays and the call fails: use a store there
+    (`store.FileStore`), which moves nothing.
     """
-    spark, staging = df.sparkSession, f"{path.rstrip('/')}.loading-{uuid.uuid4().hex}"
+    spark, plain = df.sparkSession, path.rstrip("/")
+    mark = uuid.uuid4().hex
     system, place = resolve(path)
-    _, staged = resolve(staging)
+    staged, aside = (resolve(f"{plain}.{kind}-{mark}")[1] for kind in ("loading", "replaced"))
+    _restore(system, place)
     df, seen = counted(df)
     try:
-        df.write.parquet(staging)
+        df.write.parquet(f"{plain}.loading-{mark}")
         if check is not None:
-            check(spark.read.parquet(staging))
-        if system.get_file_info(place).type == fs.FileType.Directory:
-            system.delete_dir(place)
-        system.move(staged, place)
+            check(spark.read.parquet(f"{plain}.loading-{mark}"))
+        had = _is_folder(system, place)
+        if had:
+            system.move(place, aside)
+        try:
+            system.move(staged, place)
+        except BaseException:
+            if had:
+                system.move(aside, place)  # if this fails, too, both tables are kept where they are
+            raise
     except BaseException:
-        if system.get_file_info(staged).type == fs.FileType.Directory:
+        if _is_folder(system, staged) and not _is_folder(system, aside):
             system.delete_dir(staged)
         raise
+    if had:
+        system.delete_dir(aside)
     spark.catalog.refreshByPath(path)
     return seen.get["rows"]
 
 
+def _is_folder(system: fs.FileSystem, path: str) -> bool:
+    return system.get_file_info(path).type == fs.FileType.Directory
+
+
+def _restore(system: fs.FileSystem, place: str) -> None:
+    """Put back a table that a killed replacement left aside, and remove what it left beside a whole one."""
+    parent, _, name = place.rstrip("/").rpartition("/")
+    if not _is_folder(system, parent):
+        return
+    beside = [i.path for i in system.get_file_info(fs.FileSelector(parent))]
+    aside = sorted(p for p in beside if p.rpartition("/")[2].startswith(f"{name}.replaced-"))
+    for path in aside:
+        if _is_folder(system, place):
+            system.delete_dir(path)
+        else:
+            system.move(path, place)
+
+
 def replace_bucketed(
     df: DataFrame, table: str, key: str, buckets: int, check: Callable[[DataFrame], object] | None = None
 ) -> int:
     """Write `df` over a catalog table bucketed by its unique key; returns the rows written.
 
     Tables with the same number of buckets join on the key without a shuffle.
-    Rows are brought together per bucket first, so each bucket is one file. As
-    in `replace_table` a failure leaves the old table as it was.
+    Rows are brought together per bucket first, so each bucket is one file. The
+    new version has a folder of its own, and the table's name is pointed there
+    once it is complete and checked; a failure leaves the old table as it was.
     """
-    spark, staging = df.sparkSession, f"{table}_loading_{uuid.uuid4().hex}"
-    df, seen = counted(df.repartition(buckets, key))
-    try:
-        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(staging)
-        if check is not None:
-            check(spark.table(staging))
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
-    except BaseException:
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
-        raise
-    return seen.get["rows"]
+    database, _, name = table.rpartition(".")
+    store = DatabaseStore(df.sparkSession, database or None, key, buckets)
+    return store.replace({name: df.repartition(buckets, key)}, key, check)[name]
 
 
 def open_tables(spark: SparkSession, target: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Tables loaded as files, by name."""
-    return {name: spark.read.parquet(f"{target}/{name}") for name in names}
+    """Tables loaded as files, by name, all as one load left them.
+
+    One pointer names the versions of all tables, and a load keeps the versions
+    of the load before, so what is opened here can be read to its end while the
+    tables are replaced once.
+    """
+    return FileStore(spark, target).open_all(names)
 
 
 def open_bucketed(spark: SparkSession, database: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Tables loaded into buckets, by name."""
-    return {name: spark.table(f"{database}.{name}") for name in names}
+    """Tables loaded into buckets, by name, all as one load left them."""
+    return DatabaseStore(spark, database).open_all(names)
 
 
 def register_tables(tables: Mapping[str, DataFrame]) -> None:
@@ -132,6 +167,7 @@ def load_registry(
     check_key: bool = True,
     buckets: int | None = None,
     at_once: int = 4,
+    fresh: bool = False,
 ) -> DataFrame:
     """Load every entry's file into its table; returns one status row per entry.
 
@@ -146,45 +182,76 @@ def load_registry(
     entries are done, and so is a key that is not unique unless `check_key` is
     off; the error's `statuses` holds the status rows. The driver only submits
     jobs, a few tables at a time.
+
+    All tables that loaded become current in one step at the end; whoever opens
+    tables sees the whole old set or the whole new one. If the driver is killed
+    before, the next call goes on: entries that were complete, from files that
+    have not changed since and with the same options, are not decoded again,
+    unless `fresh` is set. What an abandoned load left behind is removed.
     """
     if buckets is not None and key is None:
         raise ValueError("bucketed tables need a key")
     uris = {e: f"{landing.rstrip('/')}/{e.file}" for e in entries}
-    kinds = {e: _kind(uri) for e, uri in uris.items()}
-    pages = _error_pages(spark, [uris[e] for e, kind in kinds.items() if kind != fs.FileType.NotFound])
+    landed = list_landed(spark, [u for u in uris.values() if _kind(u) != fs.FileType.NotFound])
     checked = key is not None and check_key
-    check = (lambda df: assert_unique_key(df, key)) if checked else None
-
-    def store(df: DataFrame, table: str) -> int:
-        if target is None:
-            return count_rows(df, check)
-        if buckets is None:
-            return replace_table(df, f"{target}/{table}", check)
-        return replace_bucketed(df, f"{target}.{table}", key, buckets, check)
+    store = None
+    if target is not None:
+        store = FileStore(spark, target) if buckets is None else DatabaseStore(spark, target, key, buckets)
+    journal = store.begin([e.table for e in entries], fresh) if store else None
+    earlier: dict[str, dict] = {}
+    if journal is not None:
+        earlier, journal.done = journal.done, {}
+    noting = Lock()
+
+    def keep(df: DataFrame, table: str, origin: str) -> int:
+        if store is None:
+            return count_rows(df, (lambda d: assert_unique_key(d, key)) if checked else None)
+        check = None
+        if checked:
+            check = (lambda d: assert_unique_stored(d, key)) if buckets is None else (lambda d: assert_unique_key(d, key))
+        dealt = df if buckets is None else df.repartition(buckets, key)
+        record = {**store.write(dealt, table, journal.load, key, check).record(), "origin": origin}
+        with noting:
+            journal.completed(table, record)
+        return record["rows"]
 
     def load(entry: Entry) -> tuple[tuple, Exception | None]:
         def status(outcome: str, reason: str | None, rows: int | None = None) -> tuple:
             return (entry.file, entry.table, outcome, reason, rows)
 
-        if kinds[entry] == fs.FileType.NotFound:
+        mine = landed.get(uris[entry])
+        if mine is None:
             return status(FAILED, DOWNLOAD_FAILED), None
         df = None
         try:
-            good, bad = _usable(uris[entry], pages, None if source != "xport" else "xpt")
+            good, bad = mine.usable(None if source != "xport" else "xpt")
             if not good:
                 return status(FAILED, DOWNLOAD_FAILED), None
-            read = normalised(spark.read.format(source).load(good if len(good) > 1 else good[0]), key)
+            reason = f"{DOWNLOAD_FAILED}: {', '.join(bad)}" if bad else None
+            origin = mine.origin(source, key, checked, buckets)
+            before = earlier.get(entry.table)
+            if before is not None and before["origin"] == origin and store.holds(before["version"]):
+                with noting:
+                    journal.completed(entry.table, before)
+                return status(LOADED, reason, before["rows"]), None
+            reader = spark.read.format(source)
+            if source == "xport":
+                reader = reader.option("listing", json.dumps([[f.path, f.size] for f in good]))
+            paths = [f.path for f in good] if bad else [uris[entry]]
+            read = normalised(reader.load(paths if len(paths) > 1 else paths[0]), key)
             df = mark_unique(read, key) if checked else read
-            rows = store(df, entry.table)
+            rows = keep(df, entry.table, origin)
         except Exception as e:  # noqa: BLE001 - one entry must not hide the status of the others
             unread = _read_error(df, e)
             if unread is not None:
                 return status(FAILED, f"{PARSE_FAILED}: {_summary(unread)}"), None
             return status(FAILED, f"{LOAD_FAILED}: {_summary(e)}"), e
-        return status(LOADED, f"{DOWNLOAD_FAILED}: {', '.join(bad)}" if bad else None, rows), None
+        return status(LOADED, reason, rows), None
 
     with ThreadPoolExecutor(at_once) as pool:
         results = list(pool.map(inheritable_thread_target(spark)(load), entries))
+    if store is not None:
+        store.finish(journal, [e.table for e in entries])
     statuses = [row for row, _ in results]
     for _, error in results:
         if error is not None:
@@ -198,22 +265,61 @@ def _kind(uri: str) -> fs.FileType:
     return system.get_file_info(path).type
 
 
-def _error_pages(spark: SparkSession, uris: Sequence[str]) -> set[str]:
-    """Paths of the error pages among the files named and those in folders named."""
+@dataclass(frozen=True)
+class LandedFile:
+    path: str
+    size: int
+    modified: str
+    is_error_page: bool
+
+
+@dataclass(frozen=True)
+class Landed:
+    """What landed for one entry: a file, or the files in and below a folder."""
+
+    place: str
+    files: tuple[LandedFile, ...]
+
+    def usable(self, extension: str | None) -> tuple[list[LandedFile], list[str]]:
+        """The files to read, and the paths, in the entry, of the error pages among them."""
+        bad = [_below(f.path, self.place) for f in self.files if f.is_error_page]
+        alone = [f for f in self.files if resolve(f.path)[1] == self.place]
+        good = [f for f in self.files if f in alone or extension is None or f.path.lower().endswith(f".{extension}")]
+        return [f for f in good if not f.is_error_page], bad
+
+    def origin(self, *options: object) -> str:
+        """A digest that changes when any file or option does."""
+        told = [[f.path, f.size, f.modified, f.is_error_page] for f in self.files]
+        return hashlib.sha256(json.dumps([told, [str(o) for o in options]]).encode()).hexdigest()
+
+
+def _below(path: str, place: str) -> str:
+    return resolve(path)[1].removeprefix(place).lstrip("/")
+
+
+def list_landed(spark: SparkSession, uris: Sequence[str]) -> dict[str, Landed]:
+    """Per URI what landed there, from one listing of them all, which Spark makes in tasks where it is long.
+
+    The listing is what the driver needs to plan reads: path, size and time of
+    each file, and whether its head is that of an error page.
+    """
     if not uris:
-        return set()
-    bad = landed_files(spark, *uris).filter("is_error_page").select("path").collect()
-    return {resolve(row.path)[1] for row in bad}
-
-
-def _usable(uri: str, pages: set[str], extension: str | None) -> tuple[list[str], list[str]]:
-    """What to read of an entry, the entry itself if it holds no error page; and the pages' paths in it."""
-    place = resolve(uri)[1].rstrip("/")
-    bad = sorted(p for p in pages if p == place or p.startswith(f"{place}/"))
-    if not bad:
-        return [uri], []
-    good = [f for f, _ in list_files([uri], extension) if resolve(f)[1] not in pages]
-    return good, [p.removeprefix(f"{place}/") for p in bad]
+        return {}
+    files = [
+        LandedFile(r.path, r.length, str(r.modificationTime), r.is_error_page)
+        for r in landed_files(spark, *uris).collect()
+    ]
+    files.sort(key=lambda f: f.path)
+    paths = [resolve(f.path)[1] for f in files]
+    found = {}
+    for uri in uris:
+        place = resolve(uri)[1].rstrip("/")
+        first, last = bisect_left(paths, place), bisect_left(paths, place + chr(0x10FFFF))
+        own = [f for f, p in zip(files[first:last], paths[first:last], strict=True) if p == place or p.startswith(f"{place}/")]
+        if not own and _kind(uri) == fs.FileType.File:  # files without a byte are not listed
+            own = [LandedFile(uri, 0, "", False)]
+        found[uri] = Landed(place, tuple(own))
+    return found
 
 
 def _read_error(df: DataFrame | None, error: Exception) -> Exception | None:

@@ -198,7 +198,11 @@ def list_files(uris: list[str], extension: str | None) -> list[tuple[str, int]]:
 
 
 class TransportSource(DataSource):
-    """Options: the load path or paths, and `rangeBytes` for the size of a task's share."""
+    """Options: the load path or paths, and `rangeBytes` for the size of a task's share.
+
+    `listing` may name the files instead, as JSON pairs of URI and size, by
+    whoever has listed them already; nothing is listed again then.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -211,9 +215,14 @@ class TransportSource(DataSource):
             return [self.options["path"]]
         raise ValueError("xport needs a path")
 
+    def _files(self) -> list[tuple[str, int]]:
+        if "listing" in self.options:
+            return sorted((uri, size) for uri, size in json.loads(self.options["listing"]))
+        return list_files(self._uris(), "xpt")
+
     def schema(self) -> StructType:
         # Only the header of the first file is read here, on the driver.
-        files = list_files(self._uris(), "xpt")
+        files = self._files()
         if not files:
             raise FileNotFoundError(f"no transport files in {self._uris()}")
         uri = files[0][0]
@@ -223,12 +232,14 @@ class TransportSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         share = int(self.options.get("rangeBytes", DEFAULT_RANGE))
-        return TransportReader(self._uris(), schema, share)
+        return TransportReader(self._uris(), schema, share, self._files())
 
 
 class TransportReader(DataSourceReader):
-    def __init__(self, uris: list[str], schema: StructType, share: int) -> None:
-        self.uris = uris
+    def __init__(
+        self, uris: list[str], schema: StructType, share: int, files: list[tuple[str, int]] | None = None
+    ) -> None:
+        self.files = list_files(uris, "xpt") if files is None else files
         self.schema = schema
         self.share = share
 
@@ -238,11 +249,10 @@ class TransportReader(DataSourceReader):
         Tasks read batch by batch, so a share may exceed memory. It is always
         `rangeBytes`; raise it where the driver would have too many to track.
         """
-        files = list_files(self.uris, "xpt")
         share = self.share
         packed: list[ByteRanges] = []
         room = 0
-        for uri, size in files:
+        for uri, size in self.files:
             for start in range(0, size, share):
                 end = min(size, start + share)
                 if end - start > room:
