@@ -1,14 +1,16 @@
 """Byte-level BPE over all documents: every distinct word is encoded once.
 
-1. Blocks of documents are cut into pre-tokens. A block keeps, in order of
-   position, a code for each pre-token and sends each of its distinct
-   pre-tokens, once, to the bucket of its hash.
-2. A bucket encodes each distinct pre-token once and returns the ids to every
-   block that asked.
-3. Blocks join the ids to their codes and reassemble documents by position.
-
-So what is shuffled are distinct words per block and packed codes, never a row
-per word, and a word that fills a third of all texts is one entry per block.
+1. Blocks of documents are cut into pre-tokens, once. A block is stored as, in
+   order of position, a code for each pre-token, and as the lists of its
+   distinct pre-tokens by the bucket of their hash.
+2. The lists go to their buckets. A bucket encodes each distinct pre-token once
+   and returns the ids to every block that asked.
+3. Blocks, where they are stored, join the ids to their codes and reassemble
+   documents by position.
+
+So what is shuffled are the distinct words of blocks and their ids, never a row
+per word nor the texts, and a word that fills a third of all texts is one entry
+per block.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from panelwise.llm.chunks import PieceCache
 from panelwise.llm.common import (
+    bucketed,
     buckets_of,
     pack_arrays,
     pack_batch,
@@ -39,6 +42,7 @@ from panelwise.llm.common import (
 )
 
 PACKED = "block string, bucket int, packed binary"
+TEXTS = -1  # in place of a bucket: the codes of the block's texts
 
 
 def parse_ranks(tiktoken_file: bytes) -> dict[bytes, int]:
@@ -90,7 +94,7 @@ class Block:
         self.size += sum(map(len, texts))
 
     def key(self, number: int) -> str:
-        """Names the block by its place and its words, so that other words never answer for it."""
+        """Names the block by its place and its words."""
         digest = xxhash.xxh3_64_hexdigest("\0".join(self.code).encode())
         return f"{TaskContext.get().partitionId()}-{number}-{digest}"
 
@@ -159,8 +163,8 @@ def encode(
     null or empty text has no ids. The pattern must keep a run of letters, with
     the blank before it, together and have white space only at a token's start. Equal rows give equal rows; no row, no row.
     Columns not kept are not read; a kept column called `ids` gives way. The
-    rows must come in the same order when read again (as from files): a block
-    whose words changed finds no answer and the job fails.
+    blocks are cut and stored when this is called, the ids joined when the
+    result is read. A text longer than `block_chars` is a block of its own.
     """
     spark = docs.sparkSession
     keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() != "ids"]
@@ -170,15 +174,6 @@ def encode(
     text_at = len(keep)
     vocabulary = spark.sparkContext.broadcast(tiktoken_file)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in cut(batches, pattern, text_at, block_chars):
-            words = list(block.code)
-            order, starts = by_bucket(words, buckets)
-            for b in range(buckets):
-                own = [words[c] for c in order[starts[b] : starts[b + 1]]]
-                if own:
-                    yield out_batch([(key, b, pack_words(own))], ARROW_PACKED)
-
     def answer(table: pa.Table) -> pa.Table:
         encoder = per_worker(
             f"ranks-{hash(vocabulary.value)}-{pattern}", lambda: rank_encoder(vocabulary.value, pattern)
@@ -196,10 +191,15 @@ def encode(
             out.append((row["block"], row["bucket"], pack_arrays(lengths, flat)))
         return pa.Table.from_batches([out_batch(out, ARROW_PACKED)])
 
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block in cut(batches, pattern, text_at, block_chars):
+            words = list(block.code)
+            order, starts = by_bucket(words, buckets)
+            for b in range(buckets):
+                own = [words[c] for c in order[starts[b] : starts[b + 1]]]
+                if own:
+                    yield out_batch([(key, b, pack_words(own))], ARROW_PACKED)
             # Lists of the codes in bucket order, the positions, and the rows' other columns.
-            order, starts = by_bucket(list(block.code), buckets)
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             lengths = np.array([len(s) // 4 for s in block.sequences], np.int64)
@@ -211,7 +211,7 @@ def encode(
             packed = pack_arrays(
                 np.frombuffer(rest, np.uint8), starts.astype(np.int64), lengths, planes
             )
-            yield out_batch([(key, -1, packed)], ARROW_PACKED)
+            yield out_batch([(key, TEXTS, packed)], ARROW_PACKED)
 
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     schema = ", ".join([*fields, "ids array<int>"])
@@ -251,9 +251,10 @@ def encode(
                 yield pa.RecordBatch.from_arrays([*columns, lists], [*(f"c{i}" for i in range(text_at)), "ids"])
                 at = to
 
-    answers = rows.mapInArrow(ask, PACKED).groupBy("bucket").applyInArrow(answer, PACKED)
+    blocks = bucketed(rows.mapInArrow(pack, PACKED), "block", "word-blocks")
+    answers = blocks.where(F.col("bucket") != TEXTS).groupBy("bucket").applyInArrow(answer, PACKED)
     out = (
-        rows.mapInArrow(ship, PACKED)
+        blocks.where(F.col("bucket") == TEXTS)
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInArrow(reassemble_tables(reassemble), schema)
