@@ -68,6 +68,12 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def by_position(df: DataFrame, prefix: str = "given") -> tuple[DataFrame, list]:
+    """The rows with columns named by their place, which clash with none of an operator's own, and the way back."""
+    named = [f"{prefix}_{i}" for i in range(len(df.columns))]
+    return df.toDF(*named), [F.col(n).alias(c) for n, c in zip(named, df.columns, strict=True)]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -14,15 +14,15 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import stored
+from panelwise.llm.common import by_position, stored
 
 STEPS = 6  # bisections settled by one pass over the sources
 PASSES = 6
 
 
 def count_tokens(text: Column) -> Column:
-    """Runs of other than white space."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+    """The tokens of a byte-level vocabulary without merges: UTF-8 bytes, which scripts without blanks have, too."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
 def source_tokens(docs: DataFrame, source: str, tokens: str) -> DataFrame:
@@ -103,12 +103,16 @@ def mix(
     text_col: str = "text",
     entropy: float | None = None,
     repetition: float | None = 2.0,
-    block_tokens: int = 1_000_000,
+    tokens_col: str | None = None,
+    block_tokens: int = 4_000_000,
     bucket_documents: int = 2_000,
     seed: int = 0,
 ) -> DataFrame:
     """The mixture, one row per use of a document, without its text.
 
+    A document's tokens are the number in `tokens_col` (null or below zero: 0)
+    or else its UTF-8 bytes; put the counts of a tokenizer there to weigh by it.
+
     doc_id, text_hash, source, tokens, epoch (from 0), block, and place, by
     which the rows of a block are permuted. Every epoch is its own permutation
     of the source. The last, partial epoch takes documents in its order until
@@ -120,9 +124,11 @@ def mix(
     A source of any size is ordered in buckets of about `bucket_documents`.
     """
     text = docs[text_col].cast("string")
+    given = None if tokens_col is None else F.greatest(F.coalesce(docs[tokens_col].cast("long"), F.lit(0)), F.lit(0))
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-        docs[source_col].cast("string").alias("source"), count_tokens(text).alias("tokens"),
+        docs[source_col].cast("string").alias("source"),
+        (count_tokens(text) if given is None else given).alias("tokens"),
     )
     rows = stored(rows, "mixing-rows")
     sources = stored(source_tokens(rows, "source", "tokens"), "mixing-sources")
@@ -176,7 +182,9 @@ def apply_mixture(docs: DataFrame, **options) -> DataFrame:
     # Equal rows are used together.
     uses = uses.groupBy("doc_id", "text_hash", "epoch").agg(F.min("block").alias("block"), F.min("place").alias("place"))
     uses = uses.select(*[F.col(c).alias(f"use_{c}") for c in uses.columns])
-    given = docs.withColumn("use_of", F.xxhash64(docs[text_col].cast("string")))
-    same = given[id_col].cast("long").eqNullSafe(uses["use_doc_id"]) & (given["use_of"] == uses["use_text_hash"])
+    given, back = by_position(docs)
+    own_id, own_text = (F.col(given.columns[docs.columns.index(c)]) for c in (id_col, text_col))
+    given = given.withColumn("use_of", F.xxhash64(own_text.cast("string")))
+    same = own_id.cast("long").eqNullSafe(F.col("use_doc_id")) & (F.col("use_of") == F.col("use_text_hash"))
     mixed = given.join(uses, same).repartitionByRange("use_block", "use_place")
-    return mixed.sortWithinPartitions("use_block", "use_place").select(*[given[c] for c in docs.columns])
+    return mixed.sortWithinPartitions("use_block", "use_place").select(*back)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import slices, stored, text_bytes
+from panelwise.llm.common import by_position, slices, stored, text_bytes
 
 BITS = 64
 
@@ -290,6 +290,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     chosen = linked.groupBy("root").agg(first).select(
         F.col("first.doc_id").alias("chosen_id"), F.col("first.text_hash").alias("chosen_hash")
     )
-    text_hash = F.xxhash64(docs[text_col].cast("string"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("chosen_id")) & (text_hash == F.col("chosen_hash"))
-    return docs.join(chosen.distinct(), same, "left_semi").dropDuplicates([id_col, text_col])
+    given, back = by_position(docs)
+    named = [given.columns[docs.columns.index(c)] for c in (id_col, text_col)]
+    text_hash = F.xxhash64(F.col(named[1]).cast("string"))
+    same = F.col(named[0]).cast("long").eqNullSafe(F.col("chosen_id")) & (text_hash == F.col("chosen_hash"))
+    return given.join(chosen.distinct(), same, "left_semi").dropDuplicates(named).select(*back)

@@ -11,8 +11,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from panelwise.llm import centroids, phrase_index, spelling
-from panelwise.llm.queries import QUERIES
+from panelwise.llm import bpe, centroids, mixing, phrase_index, simhash, spelling, suffix_dedup, topk_search
+from panelwise.llm.queries import QUERIES, RANKS, pattern, vocabulary
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -331,3 +331,130 @@ def test_one_very_long_text_of_words(frame):
     text = "letter letters ladder " * 60_000  # 1.3 MB
     got = {r.word: r.n for r in spelling.count_words(frame("doc_id long, text string", [(1, text)])).collect()}
     assert got == {"letter": 60_000, "letters": 60_000, "ladder": 60_000}
+
+
+# Mended operators
+
+CLASHING = [
+    "use_of", "use_block", "use_place", "use_doc_id", "use_epoch", "chosen_id", "chosen_hash", "root", "c0", "c1",
+    "block", "bucket", "packed", "given_0", "text_hash", "fingerprint", "place", "epoch", "of", "tokens", "rank",
+]
+TEXTS = [
+    (1, "one text about a thing that is long enough to count here", "a"),
+    (2, "one text about a thing that is long enough to count here", "a"),
+    (3, "another text of another source with other words in it", "b"),
+    (3, "another text of another source with other words in it", "b"),
+    (4, None, None), (5, "", "b"), (None, "no id but a text of some words", "c"),
+]
+
+
+def with_clashes(frame):
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    rows = [(*r, *[f"{c} of {i}" for c in CLASHING]) for i, r in enumerate(TEXTS)]
+    return frame(schema, rows), rows
+
+
+def test_given_columns_keep_their_values(frame):
+    """Columns named like an operator's own come back as they were."""
+    df, rows = with_clashes(frame)
+    mixed = mixing.apply_mixture(df, repetition=1.5)
+    assert mixed.columns == df.columns
+    got = {tuple(r) for r in mixed.collect()}
+    assert got == set(rows)
+    kept = simhash.keep_one(df, words=3, distance=2)
+    assert kept.columns == df.columns
+    found = [tuple(r) for r in kept.collect()]
+    assert set(found) <= set(rows) and sorted(str(r[0]) for r in found) == ["1", "3", "4", "None"]
+    cut = suffix_dedup.remove_repeats(df)
+    assert cut.columns == df.columns
+    assert {r[3:] for r in map(tuple, cut.collect())} == {r[3:] for r in rows}
+    coded = bpe.encode(df, vocabulary(RANKS), pattern(), keep=[c for c in df.columns if c != "text"])
+    assert {tuple(r)[2:-1] for r in coded.collect()} == {r[3:] for r in rows}
+
+
+def test_the_mixture_equals_brute_force(frame):
+    """Epochs, blocks and places from the weights, the order within an epoch being that of the hash."""
+    import random
+
+    pick = random.Random(4)
+    docs = [(i, "x" * pick.randint(0, 60), f"s{min(4, int(pick.expovariate(0.7)))}") for i in range(900)]
+    docs += [(i, "x" * 40, None) for i in range(900, 905)]
+    df = frame("doc_id long, text string, source string", docs)
+    rows = mixing.mix(df, repetition=2.5, block_tokens=500, bucket_documents=20, seed=9).collect()
+    held, tokens_of = Counter(), {}
+    for d, text, source in docs:
+        held[source] += len(text)
+        tokens_of[d] = (len(text), source)
+    epochs = {r.source: r.epochs for r in rows}
+    weight = {r.source: r.weight for r in rows}
+    assert max(epochs.values()) == pytest.approx(2.5, rel=1e-3) and min(epochs.values()) >= 1
+    assert sum(weight.values()) == pytest.approx(1)
+    a, b, c = sorted(held, key=held.get)[-3:]
+    slope = math.log(weight[a] / weight[b]) / math.log(held[a] / held[b])
+    assert slope == pytest.approx(math.log(weight[b] / weight[c]) / math.log(held[b] / held[c]), rel=1e-6)
+    n_blocks = max(1, math.ceil(sum(epochs[s] * held[s] for s in held) / 500))
+    keyed = df.withColumn("epoch", F.explode(F.lit([0, 1, 2]))).select(
+        "doc_id", "epoch", F.xxhash64(F.lit(9), "epoch", "doc_id", F.xxhash64("text")).alias("k")
+    )
+    keyed = keyed.withColumn("place", F.xxhash64(F.lit(9), "k"))
+    order = defaultdict(list)
+    for r in keyed.collect():
+        order[tokens_of[r.doc_id][1], r.epoch].append((r.k % 2**64 // 2, r.k, r.doc_id, r.place))
+    want = set()
+    for (source, epoch), uses in order.items():
+        count = max(1, math.ceil(len(uses) / 20))
+        spent = epoch * held[source]
+        if epoch >= math.ceil(epochs[source]):
+            continue
+        # Buckets go by the leading bits of the hash, places within one by its signed value.
+        for half, k, d, place in sorted(uses, key=lambda u: (min(count - 1, int(u[0] / 2**63 * count)), u[1], u[2])):
+            if epoch == 0 or epoch < math.floor(epochs[source]) or spent < epochs[source] * held[source]:
+                block = min(n_blocks - 1, math.floor(spent / (epochs[source] * held[source]) * n_blocks))
+                want.add((d, source, epoch, block, place))
+            spent += tokens_of[d][0]
+    assert {(r.doc_id, r.source, r.epoch, r.block, r.place) for r in rows} == want
+
+
+def test_sources_are_weighed_by_bytes_or_by_given_tokens(frame):
+    chinese, english = "这是一个没有空格的句子。" * 10, "a sentence with blanks " * 10
+    df = frame("doc_id long, text string, source string, mine int", [(1, chinese, "zh", 5), (2, english, "en", None), (3, None, "en", -4)])
+    tokens = {r.doc_id: r.tokens for r in mixing.mix(df).collect()}
+    assert tokens == {1: len(chinese.encode()), 2: len(english), 3: 0}
+    assert {r.doc_id: r.tokens for r in mixing.mix(df, tokens_col="mine").collect()} == {1: 5, 2: 0, 3: 0}
+
+
+def brute_top(vectors, k, scale):
+    whole = [(i, n, [math.floor(scale * x) for x in v]) for n, (i, v) in enumerate(vectors)]
+    out = []
+    for q, n, v in whole:
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, m, w in whole if m != n)
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+def test_scores_beyond_the_range_of_doubles(frame):
+    schema = "vec_id long, embedding array<double>"
+    near = [(0, [2.0**28, 1.0]), *[(i, [2.0**27, float(d)]) for i, d in enumerate((5, 0, -3, 4, 1), 1)]]
+    for k in (1, 2, 10):
+        for vectors in (near, [(i, [-x for x in v]) for i, v in near], [(i, [x / 2**4 for x in v]) for i, v in near]):
+            found = topk_search.exact_top_k(frame(schema, vectors), "vec_id % 20 = 0", k=k, scale=1.0)
+            assert sorted(tuple(r) for r in found.collect()) == brute_top(vectors, k, 1.0)
+    above = [(0, [2.0**26, 3.0]), (1, [2.0**27 - 1, 5.0]), (2, [2.0**27, 0.0]), (3, [2.0**27 + 1, -7.0]), (4, [2.0**27, 1.0])]
+    found = topk_search.exact_top_k(frame(schema, above), "vec_id % 20 = 0", k=2, scale=1.0, lists=3)
+    assert sorted(tuple(r) for r in found.collect()) == brute_top(above, 2, 1.0)
+
+
+def test_top_rows_with_repeated_ids_and_ties(frame):
+    vectors = [(i % 30, [float(i % 4), float(-(i % 3)), 0.5]) for i in range(120)]
+    df = frame("vec_id long, embedding array<float>, score int, rank int", [(*r, 1, 2) for r in vectors])
+    found = topk_search.exact_top_k(df, "vec_id % 20 = 0", k=7, scale=2.0, block_rows=16, query_rows=2)
+    assert sorted(tuple(r) for r in found.collect()) == brute_top(vectors, 7, 2.0)
+
+
+def test_blocks_out_of_reach_are_passed_over():
+    import numpy as np
+
+    rows = np.array([[3.0, 4.0], [1.0, 0.0], [0.0, 0.0]])
+    assert topk_search.in_reach(rows, 2.0, [10, 3, None]).tolist() == [True, False, True]
+    assert topk_search.in_reach(rows, 2.0, [11, 2, 1]).tolist() == [False, True, False]
