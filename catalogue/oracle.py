@@ -191,6 +191,7 @@ ORACLE["op_versioned_replace"] = """
 SELECT o_orderkey, o_totalprice, coalesce(n_lines, 0) AS n_lines FROM orders LEFT JOIN (
     SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
 ORACLE["op_snapshot_scan"] = "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
+ORACLE["op_xport_columns"] = "SELECT o_orderkey, o_orderpriority FROM orders"
 ORACLE["op_xport_roundtrip"] = """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"""
 

@@ -233,6 +233,21 @@ def op_xport_roundtrip(spark, sf_dir):
     )
 
 
+@over_tables
+def op_xport_columns(spark, sf_dir):
+    """Two of the columns of transport files, the others not decoded."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("double").alias("okey"),
+        F.col("o_totalprice").alias("price"),
+        F.col("o_custkey").cast("double").alias("ckey"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    path = f"{scratch_dir(spark, 'xport')}/orders"
+    write_transport(orders, path)
+    some = lowercase_columns(spark.read.format("xport").option("columns", "priority,okey").load(path))
+    return some.select(F.col("okey").cast("bigint").alias("o_orderkey"), F.col("priority").alias("o_orderpriority"))
+
+
 # Projections and scalar expressions
 
 

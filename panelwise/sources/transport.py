@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,6 +63,16 @@ class Layout:
         kinds = {NUMERIC: DoubleType(), TEXT: StringType()}
         return StructType([StructField(f.name, kinds[f.kind], True) for f in self.fields])
 
+    def only(self, columns: Sequence[str] | None, name: str) -> Layout:
+        """The layout with these columns alone, in this order, by names of any case; the records stay as wide."""
+        if columns is None:
+            return self
+        known = {f.name.lower(): f for f in self.fields}
+        absent = [c for c in columns if c.lower() not in known]
+        if absent or not columns:
+            raise TransportFormatError(f"{name}: no column {', '.join(absent) or 'is asked for'}")
+        return Layout(tuple(known[c.lower()] for c in columns), self.data_start, self.width)
+
 
 def read_layout(handle, name: str) -> Layout:
     """Parse the header cards and column descriptors of an open file."""
@@ -160,7 +170,7 @@ def decode_text(raw: np.ndarray) -> pa.Array:
 
 
 def decode_records(chunk: bytes, layout: Layout) -> pa.RecordBatch:
-    """Whole records to an Arrow batch."""
+    """Whole records to an Arrow batch; bytes of columns that the layout does not name are not looked at."""
     matrix = np.frombuffer(chunk, dtype=np.uint8).reshape(-1, layout.width)
     columns = [
         (decode_numbers if f.kind == NUMERIC else decode_text)(
@@ -201,7 +211,9 @@ class TransportSource(DataSource):
     """Options: the load path or paths, and `rangeBytes` for the size of a task's share.
 
     `listing` may name the files instead, as JSON pairs of URI and size, by
-    whoever has listed them already; nothing is listed again then.
+    whoever has listed them already; nothing is listed again then. `columns`
+    names the columns to decode, in that order and separated by commas; those
+    left out cost nothing but the reading of the records.
     """
 
     @classmethod
@@ -228,18 +240,28 @@ class TransportSource(DataSource):
         uri = files[0][0]
         system, path = resolve(uri)
         with system.open_input_file(path) as handle:
-            return read_layout(handle, uri).schema()
+            return read_layout(handle, uri).only(self._columns(), uri).schema()
 
     def reader(self, schema: StructType) -> DataSourceReader:
         share = int(self.options.get("rangeBytes", DEFAULT_RANGE))
-        return TransportReader(self._uris(), schema, share, self._files())
+        return TransportReader(self._uris(), schema, share, self._files(), self._columns())
+
+    def _columns(self) -> list[str] | None:
+        asked = self.options.get("columns")
+        return None if asked is None else [c.strip() for c in asked.split(",") if c.strip()]
 
 
 class TransportReader(DataSourceReader):
     def __init__(
-        self, uris: list[str], schema: StructType, share: int, files: list[tuple[str, int]] | None = None
+        self,
+        uris: list[str],
+        schema: StructType,
+        share: int,
+        files: list[tuple[str, int]] | None = None,
+        columns: list[str] | None = None,
     ) -> None:
         self.files = list_files(uris, "xpt") if files is None else files
+        self.columns = columns
         self.schema = schema
         self.share = share
 
@@ -269,7 +291,7 @@ class TransportReader(DataSourceReader):
                 yield from self._read_range(handle, uri, start, end)
 
     def _read_range(self, handle, uri: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
-        layout = read_layout(handle, uri)
+        layout = read_layout(handle, uri).only(self.columns, uri)
         if layout.schema() != self.schema:
             raise TransportFormatError(f"{uri}: columns differ from those of the first file")
         count = record_count(handle, layout, handle.size())

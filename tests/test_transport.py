@@ -226,3 +226,38 @@ def test_written_fixture_reads_back(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("*.xpt"))) == 4
     back = spark.read.format("xport").option("rangeBytes", 9000).load(str(tmp_path / "out"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_only_the_columns_asked_for_are_decoded(spark, tmp_path, monkeypatch):
+    from panelwise.sources import transport
+
+    path = write_file(tmp_path / "t.xpt", batch(101))
+    reader = spark.read.format("xport").option("rangeBytes", 700)
+    whole = reader.load(path)
+    some = reader.option("columns", "word, SEQN").load(path)
+    assert some.dtypes == [("WORD", "string"), ("SEQN", "double")]
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select("WORD", "SEQN").collect()))
+    with pytest.raises(Exception, match="no column nothing"):
+        reader.option("columns", "seqn,nothing").load(path)
+    with pytest.raises(Exception, match="no column is asked for"):
+        reader.option("columns", " ").load(path)
+    # Of forty columns two are decoded: the others' bytes are never cut out.
+    fields = [OutField(f"c{i}", NUMERIC, 8) for i in range(40)]
+    wide = pa.record_batch({f.name: pa.array([float(i)] * 30) for i, f in enumerate(fields)})
+    path = write_file(tmp_path / "wide.xpt", wide, fields)
+    seen = []
+    monkeypatch.setattr(transport, "decode_numbers", lambda raw: seen.append(raw.shape) or decode_numbers(raw))
+    with open(path, "rb") as f:
+        layout = read_layout(pa.PythonFile(f), path).only(["c7", "C30"], path)
+    part = TransportReader([path], layout.schema(), 10**9, columns=["c7", "C30"])
+    (piece,) = part.read(part.partitions()[0])
+    assert seen == [(30, 8)] * 2 and piece.to_pylist() == [{"C7": 7.0, "C30": 30.0}] * 30
+
+
+def test_files_without_the_column_asked_for_are_refused(spark, tmp_path):
+    write_file(tmp_path / "a.xpt", batch(5))
+    write_file(tmp_path / "b.xpt", batch(5).select(["seqn"]), FIELDS[:1])
+    some = spark.read.format("xport").option("columns", "seqn").load(str(tmp_path))
+    assert some.count() == 10  # the column asked for is the same in both
+    with pytest.raises(Exception, match="no column word"):
+        spark.read.format("xport").option("columns", "word").load(str(tmp_path)).collect()
