@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 import panelwise
 from panelwise.sources.transport import TransportSource
+from panelwise.sources.versions import Files
 
 # Runtime re-planning merges small shuffle partitions, and splits a join
 # partition that holds a hot key, also where that costs one more shuffle
@@ -24,6 +25,9 @@ SETTINGS = {
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 PREPARED = "panelwise.prepared"
+PARTITIONS_A_CORE = 4
+#: Folders for written tables that this process has handed out and not removed.
+SCRATCH: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -41,13 +45,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
-    """How many partitions a shuffle starts with; unneeded ones are merged at run time.
+    """How many partitions a shuffle starts with, by one rule for local sessions and clusters.
 
-    The number must be high from the start on a cluster: it can shrink but not
-    grow, and the cores known now may be a fraction of those used later.
+    Four for each core there is or that dynamic allocation may bring. Unneeded
+    ones are merged at run time; the number cannot grow there, so for a shuffle
+    that would put more than about 200 MB into each, set it higher.
     """
     cores = spark.sparkContext.defaultParallelism
-    return cores if is_local(spark) else max(4000, 4 * cores)
+    most = spark.conf.get("spark.dynamicAllocation.maxExecutors", None)
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true" and most and most.isdigit():
+        cores = max(cores, int(most) * int(spark.conf.get("spark.executor.cores", "1")))
+    return PARTITIONS_A_CORE * cores
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -62,7 +70,31 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if not is_local(spark):
+        path = f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    elif is_local(spark):
+        path = tempfile.mkdtemp(prefix=f"{purpose}-")
+    else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix=f"{purpose}-")
+    SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove all scratch folders of this process and the catalog tables on them; returns how many folders went.
+
+    For when every result that was built on them has been written: operators
+    store intermediate tables there and their results are read from these.
+    """
+    for row in spark.sql("SHOW TABLES").collect():
+        if not row.isTemporary and any(place in _location(spark, row.tableName) for place in SCRATCH):
+            spark.sql(f"DROP TABLE IF EXISTS `{row.tableName}`")
+    files, gone = Files(spark), 0
+    while SCRATCH:
+        files.remove(SCRATCH.pop())
+        gone += 1
+    return gone
+
+
+def _location(spark: SparkSession, table: str) -> str:
+    told = spark.sql(f"DESCRIBE EXTENDED `{table}`").where("col_name = 'Location'").collect()
+    return told[0].data_type if told else ""
