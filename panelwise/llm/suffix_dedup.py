@@ -8,8 +8,9 @@ with the bytes before them that their windows reach:
 
 1. Documents are packed into blocks, stored once and bucketed, so that joining
    them with what they are told moves no text.
-2. Blocks send the hashes of their anchors, four bytes each, to the hash's
-   bucket and learn which occur in another block, and which in very many.
+2. Blocks send the hashes of their anchors to the hash's bucket, with how many
+   different surroundings each has there, and learn which occur in another
+   block, and which have very many surroundings in all.
 3. The bytes around every other anchor, its context, are digested; blocks send
    96 bits and the smallest document id per distinct context. Of the blocks
    that hold a context one is elected, so copies are sent once.
@@ -22,9 +23,12 @@ with the bytes before them that their windows reach:
    found, and told to all blocks that hold the context.
 6. Blocks mark and cut the windows.
 
-An anchor found in very many blocks would make a large group. Its windows are
-sent one by one instead, dealt by the hash of all their bytes, and each is its
-own group.
+An anchor with very many different contexts, such as one at the edge of a
+passage that a third of the documents hold, would make a large group. Its
+windows are sent one by one instead, dealt by the hash of all their bytes, and
+each is its own group. What counts are contexts, not blocks, so this is the
+same for inputs of any size; anchors inside copies have few contexts however
+often they occur.
 """
 
 from __future__ import annotations
@@ -158,6 +162,29 @@ def in_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return distinct, np.searchsorted(distinct >> np.uint64(32), np.arange(buckets + 1)), place
 
 
+def surroundings(anchors: Anchors, place: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per distinct anchor how many contexts it has in a block, and 32 bits of one of them."""
+    reach = ((anchors.at - anchors.low) * 256 + (anchors.at - anchors.high)).astype(np.uint64)
+    digest = mixed(mixed(anchors.first + reach) + anchors.last * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+    distinct = np.unique((place.astype(np.uint64) << np.uint64(32)) | digest)
+    of = (distinct >> np.uint64(32)).astype(np.int64)
+    one = np.zeros(count, np.uint32)
+    one[of] = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return np.bincount(of, minlength=count).astype(np.uint32), one
+
+
+def all_surroundings(number: np.ndarray, counts: np.ndarray, one: np.ndarray, values: int) -> np.ndarray:
+    """Per anchor the contexts of all blocks that hold it, given each block's count and, of a single one, its digest.
+
+    Where blocks have one context each, equal ones count once, so that copies
+    do not add up; where a block has several, they do.
+    """
+    single = counts == 1
+    distinct = np.unique((number[single].astype(np.uint64) << np.uint64(32)) | one[single].astype(np.uint64))
+    alike = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=values)
+    return alike + np.bincount(number[~single], counts[~single].astype(np.int64), minlength=values).astype(np.int64)
+
+
 def make_key(alone: bool, suffix: bytes, left: bytes, nearest: int) -> bytes:
     """A context as bytes that sort by suffix, then by what precedes it, read backwards.
 
@@ -196,14 +223,14 @@ class Contexts:
         self.high = np.concatenate([high[~hot], alone])
         self.id = ids[np.concatenate([doc[~hot], np.repeat(doc[hot], n)])]
         self.alone = np.arange(len(self.at)) >= len(at) - int(hot.sum())
-        # The first and the last window overlap and together are all the bytes.
-        own = np.array([xxhash.xxh3_64_intdigest(self.raw[a : a + length]) for a in alone.tolist()], np.uint64)
-        first, last = np.concatenate([anchors.first[~hot], own]), np.concatenate([anchors.last[~hot], own])
+        # 128 bits of all the bytes, of which 96 are kept.
+        ends = (self.high + length).tolist()
+        wide = b"".join(xxhash.xxh3_128_digest(self.raw[a:z]) for a, z in zip(self.low.tolist(), ends, strict=True))
+        halves = np.frombuffer(wide, "<u8").reshape(-1, 2)
         reach = ((self.at - self.low) * 256 + (self.at - self.high)).astype(np.uint64) * np.uint64(2)
         reach += self.alone.astype(np.uint64)
-        digest = mixed(mixed(first + reach) + last * np.uint64(0x94D049BB133111EB))
-        check = mixed(first * np.uint64(0xD6E8FEB86659FD93) + mixed(last + reach)) >> np.uint64(32)
-        deal = np.concatenate([anchors.hash[~hot], own])
+        digest, check = mixed(halves[:, 0] + reach), mixed(halves[:, 1] + reach) >> np.uint64(32)
+        deal = np.concatenate([anchors.hash[~hot], halves[len(self.at) - len(alone) :, 0]])
         bucket = ((deal >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((check, digest, bucket))
         new = np.ones(len(order), bool)
@@ -384,7 +411,7 @@ def repeated_passages(
     gram: int = GRAM,
     buckets: int | None = None,
     block_bytes: int = 4_000_000,
-    hot_blocks: int = 1024,
+    hot_contexts: int = 4096,
 ) -> DataFrame:
     """Per row the columns `keep`, n_bytes, the removed byte spans and the kept bytes.
 
@@ -393,7 +420,8 @@ def repeated_passages(
     input. Rows with the same id never remove each other's bytes; a row without
     id loses what any row with an id holds and takes nothing from others. Texts
     shorter than `length` stay as they are. A kept column whose name is one of
-    the results' gives way.
+    the results' gives way. `hot_contexts` bounds what is compared in one group
+    and changes no result.
     """
     spark = docs.sparkSession
     results = {"n_bytes", "spans", "kept"}
@@ -429,22 +457,26 @@ def repeated_passages(
         for batch in batches:
             for row in batch.to_pylist():
                 anchors = Anchors(load(row["packed"])[1], length, gram)
-                distinct, starts, _ = in_buckets(anchors.hash, buckets)
+                distinct, starts, place = in_buckets(anchors.hash, buckets)
                 low = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                counts, one = surroundings(anchors, place, len(distinct))
                 for b in np.flatnonzero(np.diff(starts)).tolist():
-                    yield keyed([(row["block"], b, low[starts[b] : starts[b + 1]].tobytes())])
-                del anchors, distinct, low
+                    own = slice(starts[b], starts[b + 1])
+                    yield keyed([(row["block"], b, pack_arrays(low[own], counts[own], one[own]))])
+                del anchors, distinct, low, place, counts, one
                 trim()
 
     def answer(table: pa.Table) -> pa.Table:
         rows_ = table.to_pylist()
-        asked = [np.frombuffer(r["packed"], np.uint32) for r in rows_]
-        values, n = np.unique(np.concatenate(asked), return_counts=True)
-        out = []
+        asked = [unpack_arrays(r["packed"], "u4", "u4", "u4") for r in rows_]
+        low, counts, one = (np.concatenate(c) for c in zip(*asked, strict=True))
+        values, number, n = np.unique(low, return_inverse=True, return_counts=True)
+        elsewhere, hot = n > 1, all_surroundings(number, counts, one, len(values)) > hot_contexts
+        out, at = [], 0
         for row, own in zip(rows_, asked, strict=True):
-            times = n[np.searchsorted(values, own)]
-            bits = [np.packbits(times > 1), np.packbits(times >= hot_blocks)]
-            out.append((row["block"], row["bucket"], pack_arrays(*bits)))
+            mine = number[at : at + len(own[0])]
+            at += len(mine)
+            out.append((row["block"], row["bucket"], pack_arrays(np.packbits(elsewhere[mine]), np.packbits(hot[mine]))))
         return pa.Table.from_batches([keyed(out)])
 
     def contexts(block: dict, told: list[dict]) -> tuple[pa.Table, Anchors, Contexts]:

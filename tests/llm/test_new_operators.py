@@ -458,3 +458,44 @@ def test_blocks_out_of_reach_are_passed_over():
     rows = np.array([[3.0, 4.0], [1.0, 0.0], [0.0, 0.0]])
     assert topk_search.in_reach(rows, 2.0, [10, 3, None]).tolist() == [True, False, True]
     assert topk_search.in_reach(rows, 2.0, [11, 2, 1]).tolist() == [False, True, False]
+
+
+@pytest.mark.parametrize("hot_contexts", [20, 4096])
+def test_a_passage_at_the_edge_of_which_a_third_of_the_rows_differ(frame, hot_contexts):
+    import random
+
+    from tests.llm.test_operators import removed
+
+    pick = random.Random(2)
+    passage = "a passage of more than fifty bytes that very many of the documents hold in their middle"
+    docs = []
+    for i in range(600):
+        before, after = ("".join(pick.choices("abcdefgh ", k=70)) for _ in range(2))
+        docs.append((i, before + passage + after if i % 3 == 0 else before + after))
+    docs += [(700 + i, docs[0][1]) for i in range(30)]
+    df = frame("doc_id long, text string", docs)
+    found = suffix_dedup.repeated_passages(df, hot_contexts=hot_contexts, block_bytes=5_000, buckets=4).collect()
+    assert sorted((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in found) == removed(docs)
+
+
+def test_contexts_are_counted_across_blocks():
+    import numpy as np
+
+    # Anchor 0: one context, the same in three blocks; 1: one each, all different; 2: several in each of two blocks.
+    number = np.array([0, 0, 0, 1, 1, 1, 2, 2])
+    counts = np.array([1, 1, 1, 1, 1, 1, 40, 2], np.uint32)
+    one = np.array([7, 7, 7, 7, 8, 9, 5, 5], np.uint32)
+    assert suffix_dedup.all_surroundings(number, counts, one, 4).tolist() == [1, 3, 42, 0]
+
+
+def test_surroundings_of_a_block():
+    import numpy as np
+
+    shared = b"the same fifty or more bytes of text are in each of these"
+    texts = [b"left%d " % i + shared + b" right%d" % i for i in range(9)]
+    anchors = suffix_dedup.Anchors(texts, 50, suffix_dedup.GRAM)
+    distinct, _, place = suffix_dedup.in_buckets(anchors.hash, 4)
+    counts, _ = suffix_dedup.surroundings(anchors, place, len(distinct))
+    held = [{(anchors.raw[a : z + 50].tobytes(), p - a, p - z) for a, z, p, n in zip(anchors.low, anchors.high, anchors.at, place, strict=True) if n == i} for i in range(len(distinct))]
+    assert counts.tolist() == [len(h) for h in held] and max(counts) > 1
+    assert np.sum(counts) <= len(place)

@@ -135,7 +135,7 @@ def removed(rows, length=50):
 
 
 @pytest.mark.parametrize("which", ["awkward", "sample"])
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 3_000, "hot_blocks": 2, "buckets": 3}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 3_000, "hot_contexts": 1, "buckets": 3}])
 def test_suffix_dedup(which, options, request):
     docs = request.getfixturevalue(which)
     found = suffix_dedup.repeated_passages(docs, **options).collect()
