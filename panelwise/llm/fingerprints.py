@@ -1,11 +1,17 @@
 """Document fingerprints of improbable features, in chains of Bloom filters.
 
-Every window of `WINDOW` bytes has an entropy; how rare that entropy is in the
+Every window of so many bytes has an entropy; how rare that entropy is in the
 whole corpus ranks the window. A window that is the first rarest of enough of
-the `SPAN`-window stretches around it becomes a feature. Features are hashed
-into Bloom filters, `PER_FILTER` to each, and the filters of a document are its
-fingerprint. Two fingerprints are compared by the bits their filters share,
-beyond what chance explains and relative to what was possible.
+the stretches of as many windows around it becomes a feature. Features are
+hashed into Bloom filters, `PER_FILTER` to each, and the filters of a document
+are its fingerprint. Two fingerprints are compared by the bits their filters
+share, beyond what chance explains and relative to what was possible.
+
+One rule holds for texts of any length: the features of windows of 64 bytes,
+and while there are fewer than `LEAST` of them in all, those of 16 bytes, then
+all windows of 8, 4, 2 bytes and 1. What a text gets from a larger scale it
+keeps, so texts on either side of a step have the features of that scale in
+common.
 """
 
 from __future__ import annotations
@@ -22,9 +28,9 @@ from pyspark.sql import functions as F
 from panelwise.llm.common import slices
 from panelwise.llm.suffix_dedup import gram_hashes
 
-WINDOW = 64
-SPAN = 64
-POPULAR = 16
+WINDOW, SMALL = 64, 16  # scales whose windows are ranked by entropy
+SHORT = (8, 4, 2, 1)  # scales of which all windows are taken
+LEAST = 32
 LEVELS = 1000
 DULL = 100  # levels below are never features
 BITS = 2048
@@ -34,40 +40,40 @@ LANES = 4096
 PLACE = np.uint64((1 << 32) - 1)
 
 
-def entropy_levels(raw: np.ndarray) -> np.ndarray:
+def entropy_levels(raw: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The entropy of each window of a buffer, from 0 to LEVELS.
 
     The buffer is cut into stretches whose windows slide side by side. Sums are
     whole numbers, so a window's level depends on its bytes alone.
     """
-    n = len(raw) - WINDOW + 1
+    n = len(raw) - window + 1
     if n <= 0:
         return np.zeros(0, np.int32)
     lanes = min(LANES, max(1, n // 128))
     length = -(-n // lanes)
-    padded = np.zeros(lanes * length + WINDOW, np.uint8)
+    padded = np.zeros(lanes * length + window, np.uint8)
     padded[: len(raw)] = raw
-    stretches = np.lib.stride_tricks.as_strided(padded, (lanes, length + WINDOW), (length, 1)).T.copy()
-    c = np.arange(WINDOW + 2)
+    stretches = np.lib.stride_tricks.as_strided(padded, (lanes, length + window), (length, 1)).T.copy()
+    c = np.arange(window + 2)
     terms = np.round(c * np.log2(np.maximum(c, 1)) * (1 << 16)).astype(np.int64)
     gain = np.diff(terms)
     base = np.arange(lanes) * 256
     counts = np.zeros(lanes * 256, np.int16)
     total = np.zeros(lanes, np.int64)
     out = np.empty((length, lanes), np.int64)
-    for step in range(WINDOW + length - 1):
+    for step in range(window + length - 1):
         cell = base + stretches[step]
         seen = counts[cell]
         total += gain[seen]
         counts[cell] = seen + 1
-        if step >= WINDOW - 1:
-            at = step - WINDOW + 1
+        if step >= window - 1:
+            at = step - window + 1
             out[at] = total
             cell = base + stretches[at]
             seen = counts[cell] - 1
             total -= gain[seen]
             counts[cell] = seen
-    full = int(terms[WINDOW])
+    full = int(terms[window])
     return ((full - out) * LEVELS // full).T.reshape(-1)[:n].astype(np.int32)
 
 
@@ -80,36 +86,31 @@ def rank_levels(counts: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def features(levels: np.ndarray, ranks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def features(
+    levels: np.ndarray, ranks: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = WINDOW
+) -> np.ndarray:
     """Places of features in a buffer of documents, by the ranks of their windows.
 
-    A document too short for a popular window gives its rarest; levels are of
-    the windows that start at each byte.
+    A feature is the first rarest window of a quarter of the stretches that hold
+    it; a stretch has as many windows as a window has bytes. Levels are of the
+    windows that start at each byte.
     """
     own = ranks[levels]
     ranked = np.where(own < 0, np.uint64(1 << 30), own.astype(np.uint64)) << np.uint64(32)
     ranked |= np.arange(len(levels), dtype=np.uint64)
     low = ranked
     span = 1
-    while span < SPAN and len(low) > span:
+    while span < window and len(low) > span:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    windows = np.maximum(0, ends - starts - WINDOW + 1)
-    out = []
-    if span == SPAN and len(low):
-        doc = np.searchsorted(ends, np.arange(len(low)), "right")
-        inside = np.arange(len(low)) + SPAN <= (starts + windows)[np.minimum(doc, len(ends) - 1)]
-        winners = low[inside]
-        winners = (winners[winners >> np.uint64(32) < np.uint64(1 << 30)] & PLACE).astype(np.int64)
-        times = np.bincount(winners, minlength=len(levels))
-        out.append(np.flatnonzero(times >= POPULAR))
-    found = np.concatenate([np.zeros(0, np.int64), *out])
-    has = np.zeros(len(ends), bool)
-    has[np.searchsorted(ends, found, "right")] = True
-    for d in np.flatnonzero(~has & (windows > 0)).tolist():
-        a = int(starts[d])
-        found = np.append(found, int(ranked[a : a + int(windows[d])].min() & PLACE))
-    return np.sort(found)
+    if span != window or not len(low):
+        return np.zeros(0, np.int64)
+    windows = np.maximum(0, ends - starts - window + 1)
+    doc = np.searchsorted(ends, np.arange(len(low)), "right")
+    inside = np.arange(len(low)) + window <= (starts + windows)[np.minimum(doc, len(ends) - 1)]
+    winners = low[inside]
+    winners = (winners[winners >> np.uint64(32) < np.uint64(1 << 30)] & PLACE).astype(np.int64)
+    return np.flatnonzero(np.bincount(winners, minlength=len(levels)) >= window // 4)
 
 
 def filters_of(hashes: np.ndarray) -> np.ndarray:
@@ -124,29 +125,31 @@ def filters_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def short_features(text: bytes) -> np.ndarray:
-    """Hashes of a text too short for popular windows: of all its windows of 1 to 8 bytes, a quarter of it at most, and of the whole."""
-    raw = np.frombuffer(text, np.uint8)
-    window = next((w for w in (8, 4, 2) if 4 * w <= len(raw)), 1)
-    return np.concatenate([gram_hashes(raw, window), gram_hashes(raw, len(raw))])
-
-
-def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
-    """The filters of each text. An empty one has none; a short one has those of its short windows too."""
+def ranked_features(texts: list[bytes], ranks: np.ndarray, window: int) -> list[np.ndarray]:
+    """Hashes of each text's features of one scale."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(lengths)
-    levels = entropy_levels(raw)
-    found = features(levels, ranks, ends - lengths, ends) if len(levels) else np.zeros(0, np.int64)
-    hashes = gram_hashes(raw, WINDOW)[found] if len(found) else np.zeros(0, np.uint64)
+    ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
+    starts = np.concatenate([[0], ends[:-1]]) if len(texts) else ends
+    levels = entropy_levels(raw, window)
+    found = features(levels, ranks, starts, ends, window) if len(levels) else np.zeros(0, np.int64)
+    hashes = gram_hashes(raw, window)[found] if len(found) else np.zeros(0, np.uint64)
     cuts = np.searchsorted(found, np.concatenate([[0], ends]))
-    out = []
-    for i, text in enumerate(texts):
-        own = hashes[cuts[i] : cuts[i + 1]]
-        if 0 < len(text) < WINDOW + SPAN - 1:
-            own = np.concatenate([own, short_features(text)])
-        out.append(filters_of(own))
-    return out
+    return [hashes[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
+def digests(texts: list[bytes], ranks: np.ndarray, small_ranks: np.ndarray | None = None) -> list[np.ndarray]:
+    """The filters of each text, by the ranks of levels of large and of small windows. An empty one has none."""
+    own = ranked_features(texts, ranks, WINDOW)
+    few = [i for i, h in enumerate(own) if len(h) < LEAST and texts[i]]
+    small = ranked_features([texts[i] for i in few], ranks if small_ranks is None else small_ranks, SMALL)
+    for i, more in zip(few, small, strict=True):
+        own[i] = np.concatenate([own[i], more])
+        raw = np.frombuffer(texts[i], np.uint8)
+        for window in SHORT:
+            if len(own[i]) >= LEAST:
+                break
+            own[i] = np.concatenate([own[i], gram_hashes(raw, window)])
+    return [filters_of(h) for h in own]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -166,29 +169,32 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return total / len(a)
 
 
-def level_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How often each entropy level occurs in the windows of all texts."""
+def level_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """How often each entropy level occurs in the large and in the small windows of all texts."""
+    scales = (WINDOW, SMALL)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(LEVELS + 1, np.int64)
+        counts = np.zeros((len(scales), LEVELS + 1), np.int64)
         for batch in batches:
             for own in slices(batch, 0, 4_000_000):
                 texts = [t.encode() for t in own.column(0).to_pylist() if t]
                 raw = np.frombuffer(b"".join(texts), np.uint8)
-                levels = entropy_levels(raw)
                 ends = np.cumsum([len(t) for t in texts])
-                if len(levels):
-                    at = np.arange(len(levels))
-                    inside = at + WINDOW <= ends[np.searchsorted(ends, at, "right")]
-                    counts += np.bincount(levels[inside], minlength=LEVELS + 1)
-        yield pa.RecordBatch.from_pydict({"level": np.arange(LEVELS + 1), "n": counts})
+                for row, window in zip(counts, scales, strict=True):
+                    levels = entropy_levels(raw, window)
+                    if len(levels):
+                        at = np.arange(len(levels))
+                        inside = at + window <= ends[np.searchsorted(ends, at, "right")]
+                        row += np.bincount(levels[inside], minlength=LEVELS + 1)
+        for window, row in zip(scales, counts, strict=True):
+            yield pa.RecordBatch.from_pydict({"scale": [window] * len(row), "level": np.arange(len(row)), "n": row})
 
     texts = docs.select(docs[text_col].cast("string").alias("text"))
-    counted = texts.mapInArrow(count, "level long, n long").groupBy("level").agg(F.sum("n").alias("n"))
-    out = np.zeros(LEVELS + 1, np.int64)  # always this many levels
-    for level, n in counted.collect():
-        out[level] = n
-    return out
+    counted = texts.mapInArrow(count, "scale long, level long, n long").groupBy("scale", "level").agg(F.sum("n").alias("n"))
+    out = np.zeros((len(scales), LEVELS + 1), np.int64)  # always this many levels
+    for scale, level, n in counted.collect():
+        out[scales.index(scale), level] = n
+    return out[0], out[1]
 
 
 def followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -247,7 +253,7 @@ def fingerprint_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     fingerprint is like another empty one (1) and unlike all others (0). A
     single row follows itself. Other columns are not read.
     """
-    ranks = rank_levels(level_counts(docs, text_col))
+    ranks, small_ranks = (rank_levels(counts) for counts in level_counts(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows whose next row has not come yet, and the rows before them
@@ -260,7 +266,7 @@ def fingerprint_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             if not pairs:
                 return None
             edited = [edit(texts[i], texts[i + 1]) for i in pairs]
-            made = digests([t.encode() for t in texts] + [e.encode() for e in edited], ranks)
+            made = digests([t.encode() for t in texts] + [e.encode() for e in edited], ranks, small_ranks)
             own, changed = made[: len(rows)], made[len(rows) :]
             columns = zip(
                 *[

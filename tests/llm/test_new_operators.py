@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, centroids, mixing, phrase_index, simhash, spelling, suffix_dedup, topk_search
+from panelwise.llm import bpe, centroids, fingerprints, mixing, phrase_index, simhash, spelling, suffix_dedup, topk_search
 from panelwise.llm.queries import QUERIES, RANKS, pattern, vocabulary
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -499,3 +499,56 @@ def test_surroundings_of_a_block():
     held = [{(anchors.raw[a : z + 50].tobytes(), p - a, p - z) for a, z, p, n in zip(anchors.low, anchors.high, anchors.at, place, strict=True) if n == i} for i in range(len(distinct))]
     assert counts.tolist() == [len(h) for h in held] and max(counts) > 1
     assert np.sum(counts) <= len(place)
+
+
+@pytest.mark.parametrize("n", [20, 31, 32, 33, 64, 100, 126, 127, 130, 150, 200, 300, 330, 450, 700, 1000, 2000])
+def test_copies_of_any_length_stay_alike(sample_texts, n):
+    """One changed, lost or added character; and texts that have nothing in common."""
+    import numpy as np
+
+    ranks = fingerprints.rank_levels(np.ones(fingerprints.LEVELS + 1, np.int64))
+    for text in sample_texts[:10]:
+        text = text[100 : 100 + n]
+        copies = [text[:at] + b"#" + text[at + 1 :] for at in range(0, n, max(1, n // 9))]
+        copies += [text[: n // 2] + text[n // 2 + 1 :], text[: n // 3] + b"Q" + text[n // 3 :]]
+        own, *made = fingerprints.digests([text, *copies], ranks)
+        assert min(fingerprints.likeness(own, m) for m in made) > 0.3
+    made = fingerprints.digests([t[300 : 300 + n] for t in sample_texts], ranks)
+    assert max(fingerprints.likeness(a, b) for a, b in zip(made, made[1:], strict=False)) < 0.1
+
+
+@pytest.fixture
+def sample_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 2500").orderBy("doc_id")
+    return [r.text.encode() for r in docs.limit(20).collect()]
+
+
+def test_likeness_is_the_share_of_common_features(spark, sf_dir):
+    """Fingerprints against the features they stand for, on pairs of copies cut to any share."""
+    import numpy as np
+
+    ranks = fingerprints.rank_levels(np.ones(fingerprints.LEVELS + 1, np.int64))
+    rng = np.random.default_rng(11)
+    whole = rng.integers(97, 123, 1500).astype(np.uint8).tobytes()
+    other = rng.integers(97, 123, 1500).astype(np.uint8).tobytes()
+    last = 1.1
+    for share in (1.0, 0.75, 0.5, 0.25, 0.0):
+        mixed = whole[: int(1500 * share)] + other[int(1500 * share) :]
+        a, b = fingerprints.digests([whole, mixed], ranks)
+        like = fingerprints.likeness(a, b)
+        assert (like < last or like == 0) and like == fingerprints.likeness(b, a)
+        last = like
+    assert like < 0.1
+
+
+def test_the_ranks_are_those_of_counting_every_window(spark, sf_dir):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
+    got = fingerprints.level_counts(docs, "text")
+    for window, counts in zip((fingerprints.WINDOW, fingerprints.SMALL), got, strict=True):
+        want = np.zeros(fingerprints.LEVELS + 1, np.int64)
+        for (text,) in docs.select("text").collect():
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            np.add.at(want, fingerprints.entropy_levels(raw, window), 1)
+        assert counts.tolist() == want.tolist()
