@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, centroids, fingerprints, mixing, phrase_index, simhash, spelling, suffix_dedup, topk_search
+from panelwise.llm import bpe, centroids, fingerprints, license_scan, mixing, phrase_index, simhash, spelling, suffix_dedup, topk_search
 from panelwise.llm.queries import QUERIES, RANKS, pattern, vocabulary
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -552,3 +552,101 @@ def test_the_ranks_are_those_of_counting_every_window(spark, sf_dir):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             np.add.at(want, fingerprints.entropy_levels(raw, window), 1)
         assert counts.tolist() == want.tolist()
+
+
+LICENSE_LINES = {
+    "This software is released under the Apache License.": "apache",
+    "a film released under the rules of the license board": "",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+    "Licensed under CC BY 4.0": "cc-by-4.0",
+    "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0",
+    "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+    "This work is licensed under the Creative Commons Attribution 4.0 International License.": "cc-by-4.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "lgpl",
+    "Released under the MIT License": "mit",
+    "Licensed under the Apache License, Version 2.0 (the License)": "apache,apache-2.0",
+    "the terms of the lease were published by the foundation of the free city": "",
+    "permission is hereby granted to enter the grounds free of charge": "",
+    "this work is licensed for use under the international agreement of 4.0 hectares": "",
+    "you may not use this door except in compliance with the house rules": "",
+}
+
+
+def test_license_lines_and_lines_that_mislead(frame):
+    """Planted notices get their own label, and no other; so they do in the middle of other words."""
+    filler = "some words of a text that is about nothing of the kind and goes on for a while "
+    rows = [(i, text) for i, text in enumerate(LICENSE_LINES)]
+    rows += [(100 + i, filler * 9 + text + " " + filler * 5) for i, text in enumerate(LICENSE_LINES)]
+    found = license_scan.label_documents(frame("doc_id long, text string", rows + [(300, filler * 40)])).collect()
+    got = {r.doc_id: r.labels for r in found}
+    want = dict(enumerate(LICENSE_LINES.values())) | {100 + i: v for i, v in enumerate(LICENSE_LINES.values())}
+    # In a sentence of its own the LGPL names the phrase of the GPL's base label only with a word between.
+    for i, labels in want.items():
+        assert set(filter(None, got[i].split(","))) - {"gpl"} == set(filter(None, labels.split(","))) - {"gpl"}, (i, got[i])
+    assert got[300] == "" and got[2] == "gpl"
+
+
+def test_weighted_containment_against_all_pairs(frame):
+    import random
+
+    pick = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    weights_of = [1 / (i + 1) for i in range(40)]
+    templates = [(f"t{i}", " ".join(pick.sample(words, pick.randint(3, 30))), "") for i in range(12)]
+    templates = [(a, t, t.split()[0] if i % 3 == 0 else "") for i, (a, t, _) in enumerate(templates)]
+    docs = [(i, " ".join(pick.choices(words, weights_of, k=pick.randint(0, 120)))) for i in range(60)]
+    docs += [(100 + i, t) for i, (_, t, _) in enumerate(templates)]
+    df = frame("doc_id long, text string", docs)
+    count = Counter(w for _, t in docs for w in t.split())
+    vocabulary = {w for _, t, _ in templates for w in t.split()}
+    for rarity in (False, True):
+        weights = license_scan.word_weights({w: count[w] for w in vocabulary}, rarity)
+        known = [license_scan.Template(i, *t) for i, t in enumerate(templates)]
+        raw, within = set(), {}
+        for d, text in docs:
+            own = text.split()
+            for t in known:
+                t.weigh(weights, 0.7)
+                for start in range(0, len(own), t.size):
+                    block = set(own[start : start + 2 * t.size])
+                    shared = sum(weights[w] for w in t.words if w in block)
+                    if shared >= t.need and set(t.required) <= block:
+                        raw.add((d, start, t.size, t.number))
+                        within[d, start, t.size, t.number] = shared / t.total
+        larger = license_scan.nested(known)
+        def overlap(x, y):
+            return x[0] == y[0] and x[1] // 8 <= (y[1] + 2 * y[2] - 1) // 8 and y[1] // 8 <= (x[1] + 2 * x[2] - 1) // 8
+        want = {m for m in raw if not any((m[3], o[3]) in larger and overlap(m, o) for o in raw)}
+        _, matches = license_scan.scan(df, templates=templates, threshold=0.7, rarity=rarity)
+        got = {(r.doc_id, r.start, r.size, int(r.label[1:])): r.containment for r in matches.collect()}
+        assert set(got) == want and want
+        assert all(got[m] == pytest.approx(within[m]) for m in want)
+
+
+def test_the_most_specific_of_nested_templates_stands(frame):
+    templates = [("small", "a b c"), ("large", "a b c d e"), ("small", "x y")]
+    rows = [(1, "a b c"), (2, "a b c d e"), (3, "a b c d e " + "z " * 200 + "a b c"), (None, "a b c d e"), (4, "x y a b c d e")]
+    df = frame("doc_id long, text string", rows)
+    _, matches = license_scan.scan(df, templates=templates, threshold=1.0)
+    got = defaultdict(set)
+    for r in matches.collect():
+        got[r.doc_id].add(r.label)
+    assert got == {1: {"small"}, 2: {"large"}, 3: {"small", "large"}, None: {"large"}, 4: {"small", "large"}}
+
+
+def test_base_columns_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = {}
+    for d, text in docs.collect():
+        words, places, labels = words_of(text), [], set()
+        for phrase, label in license_scan.PHRASES.items():
+            size = len(phrase.split())
+            found = [i for i in range(len(words)) if words[i : i + size] == phrase.split()]
+            places += found
+            labels |= {label} if found else set()
+        ends = (min(places), max(places)) if places else (None, None)
+        want[d] = (len(words), len(places), *ends, ",".join(sorted(labels)))
+    got = QUERIES["op2_license_scan"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == want
+    assert any(w[1] for w in want.values()) and all(0 <= r.score <= 1 for r in got)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
