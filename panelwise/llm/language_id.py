@@ -29,22 +29,29 @@ PREFIX_BITS = 16
 LEAST_HELD_OUT = 10  # texts that make a limit of a language's own
 
 
-def letter_table() -> np.ndarray:
-    """For each code point its lower case if it is a letter, else 0."""
-    table = np.zeros(sys.maxunicode + 1, np.uint32)
+def letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower case if it is a letter, itself if it is a mark, else 0; and whether it is a mark.
+
+    Marks belong to words: the vowel signs of many scripts are marks.
+    """
+    table, marks = np.zeros(sys.maxunicode + 1, np.uint32), np.zeros(sys.maxunicode + 1, bool)
     for c in range(sys.maxunicode + 1):
         letter = chr(c)
-        if unicodedata.category(letter)[0] == "L":
+        kind = unicodedata.category(letter)[0]
+        if kind == "L":
             lower = letter.lower()
             table[c] = ord(lower) if len(lower) == 1 else c
-    return table
+        elif kind == "M":
+            table[c], marks[c] = c, True
+    return table, marks
 
 
 def symbols(text: str) -> np.ndarray:
-    """Lower-case letters, with one 0 for each run of anything else and at both ends; empty without letters."""
-    table = per_worker("letters", letter_table)
-    found = table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-    if not found.any():
+    """Lower-case letters and marks, with one 0 for each run of anything else and at both ends; empty without letters."""
+    table, marks = per_worker("letters", letter_table)
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    found = table[codes]
+    if not found.any() or marks[codes[found != 0]].all():
         return np.zeros(0, np.uint32)
     found = np.concatenate([[0], found, [0]]).astype(np.uint32)
     keep = np.ones(len(found), bool)
@@ -249,8 +256,8 @@ def kneser_ney_tables(grams: DataFrame, order: int) -> tuple[list[DataFrame], di
     return tables, numbers, vocabulary
 
 
-def pruned(tables: list[DataFrame], numbers: dict[tuple[str, int], int], max_ngrams: int) -> dict[str, tuple[list[dict], list[dict]]]:
-    """Per language probabilities and back-off weights, by order, of its `max_ngrams` most frequent n-grams of each order.
+def pruned(tables: list[DataFrame], numbers: dict[tuple[str, int], int], max_ngrams: int | None) -> dict[str, tuple[list[dict], list[dict]]]:
+    """Per language probabilities and back-off weights, by order, of all its n-grams or the `max_ngrams` most frequent of each order.
 
     Single symbols are all kept; Unicode bounds them. Where n-grams are missing
     the back-off weights are set anew so that each context's probabilities
@@ -259,7 +266,8 @@ def pruned(tables: list[DataFrame], numbers: dict[tuple[str, int], int], max_ngr
     models: dict[str, tuple[list[dict], list[dict]]] = {}
     for length, table in enumerate(tables, 1):
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-        kept = table if length == 1 else table.withColumn("r", rank).where(F.col("r") <= max_ngrams)
+        whole = length == 1 or max_ngrams is None
+        kept = table if whole else table.withColumn("r", rank).where(F.col("r") <= max_ngrams)
         for lang, gram, p, weight in kept.select("lang", "gram", "p", "weight").toArrow().to_pandas().itertuples(index=False):
             probabilities, weights = models.setdefault(lang, ([{} for _ in tables], [{} for _ in tables]))
             probabilities[length - 1][gram] = p
@@ -345,7 +353,7 @@ def train(
     order: int = 4,
     fit_rows: int = 600,
     calibrate_rows: int = 200,
-    max_ngrams: int = 60_000,
+    max_ngrams: int | None = None,
     margin: float = 0.6,
 ) -> LanguageModels:
     """Models from (doc_id, text, lang), of all languages that have texts with letters.
@@ -357,8 +365,10 @@ def train(
     a language is their highest cross-entropy plus `margin` nats. A language with
     fewer than LEAST_HELD_OUT of them has at least the highest of all languages,
     and if nothing could be held out anywhere, the limit is an even guess. The
-    statistics are those of all n-grams of the sample; of the finished model the
-    `max_ngrams` most frequent of each language and order are kept. Rows whose
+    statistics are those of all n-grams of the sample, and so is the model, unless
+    `max_ngrams` makes it smaller: then the most frequent of each language and
+    order are kept. Its table has a column per language, so memory grows with
+    languages times n-grams; that is meant for tens of languages. Rows whose
     text or language is null, or without letters, are left out; no rows give a
     model without languages.
     """

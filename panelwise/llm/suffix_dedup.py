@@ -163,21 +163,26 @@ def in_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def surroundings(anchors: Anchors, place: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per distinct anchor how many contexts it has in a block, and 32 bits of one of them."""
+    """Per distinct anchor how many contexts it has in a block, and 16 bits of one of them."""
     reach = ((anchors.at - anchors.low) * 256 + (anchors.at - anchors.high)).astype(np.uint64)
-    digest = mixed(mixed(anchors.first + reach) + anchors.last * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
-    distinct = np.unique((place.astype(np.uint64) << np.uint64(32)) | digest)
-    of = (distinct >> np.uint64(32)).astype(np.int64)
-    one = np.zeros(count, np.uint32)
-    one[of] = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return np.bincount(of, minlength=count).astype(np.uint32), one
+    digest = mixed(mixed(anchors.first + reach) + anchors.last * np.uint64(0x94D049BB133111EB))
+    one = np.zeros(count, np.uint16)
+    one[place] = (digest >> np.uint64(48)).astype(np.uint16)
+    contexts = np.bincount(place, minlength=count).astype(np.uint32)
+    # Few anchors occur more than once in a block; of these the different contexts count.
+    often = contexts[place] > 1
+    distinct = np.unique((place[often].astype(np.uint64) << np.uint64(32)) | (digest[often] >> np.uint64(32)))
+    own = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=count)
+    contexts[own > 0] = own[own > 0]
+    return contexts, one
 
 
 def all_surroundings(number: np.ndarray, counts: np.ndarray, one: np.ndarray, values: int) -> np.ndarray:
     """Per anchor the contexts of all blocks that hold it, given each block's count and, of a single one, its digest.
 
     Where blocks have one context each, equal ones count once, so that copies
-    do not add up; where a block has several, they do.
+    do not add up; where a block has several, they do. A digest has 16 bits, so
+    this is right up to some thousands and then too low, but far above any limit.
     """
     single = counts == 1
     distinct = np.unique((number[single].astype(np.uint64) << np.uint64(32)) | one[single].astype(np.uint64))
@@ -468,7 +473,7 @@ def repeated_passages(
 
     def answer(table: pa.Table) -> pa.Table:
         rows_ = table.to_pylist()
-        asked = [unpack_arrays(r["packed"], "u4", "u4", "u4") for r in rows_]
+        asked = [unpack_arrays(r["packed"], "u4", "u4", "u2") for r in rows_]
         low, counts, one = (np.concatenate(c) for c in zip(*asked, strict=True))
         values, number, n = np.unique(low, return_inverse=True, return_counts=True)
         elsewhere, hot = n > 1, all_surroundings(number, counts, one, len(values)) > hot_contexts

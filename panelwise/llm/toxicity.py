@@ -11,10 +11,13 @@ composition runs once over each clause:
 What stands before its target is found by a transducer that reads the rewritten
 clause from its end.
 
-A document's features are the weights of its matched clauses by outcome, and a
-logistic model, fitted on labelled documents, turns them into a score. The
-insults are learned from the labels too: words, and stems of words, that occur
-in many toxic contexts and hardly elsewhere.
+A document's features are the weights of its matched clauses by outcome. How
+much an outcome counts is learned: a logistic model, fitted on labelled
+documents, scales the features of each into a score; an outcome that the labels
+say nothing about counts as it does beforehand. The insults are learned from the labels too:
+words, and stems of words, that occur in many toxic contexts and hardly
+elsewhere, in each of two halves of the documents, so that chance words of one
+half do not pass.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from panelwise.llm.common import share, slices, stored
 
 # Words of each class in English, German, French and Spanish.
-THREATS = """kill hurt destroy murder beat punch stab shoot strangle töten umbringen verletzen schlagen vernichten
-    tuer frapper détruire blesser massacrer matar golpear destruir herir apuñalar"""
+THREATS = """kill hurt destroy murder beat punch stab stabb shoot shot strangl töt umbring verletz schlag schläg
+    vernicht tuer frapp détrui blesser massacr matar mató matando golpe destru destroz herir apuñal"""
+ENDINGS = """s es ed d ing e en er ers et t te ten st é ée és ez ons ent re sez ai as a o ó an ar ir aré iré ando ado
+    amos"""
 TARGETS = """you your yours they them he she his her du dich dir ihr euch sie er tu te toi vous votre ils elle
     usted tú ti vosotros ellos ella él"""
 NEGATIONS = """not no never none neither nor without cannot nicht kein keine nie niemals ohne ne pas jamais sans
@@ -45,13 +50,16 @@ WORD = r"[^\W_]+"
 CLAUSE = r"[.!?;:\n]+"
 REACH = 3  # words over which negation and target reach
 OUTCOMES = ["plain", "denied", "quoted", "direct", "threat", "clauses"]
+#: How much the outcomes count, and the constant, where no label says otherwise.
+BEFOREHAND = np.array([1.0, -0.5, 0.2, 1.5, 0.7, 0.0, -2.0])
 
 
 def classes() -> dict[str, str]:
-    """Word to symbol; a word of several classes has the first."""
+    """Word to symbol; a word of several classes has the first. Threats are stems with any of the endings."""
     out: dict[str, str] = {}
-    for symbol, words in (("T", THREATS), ("N", NEGATIONS), ("R", REPORTS), ("G", TARGETS)):
-        for w in words.split():
+    threats = [stem + ending for stem in THREATS.split() for ending in ("", *ENDINGS.split())]
+    for symbol, words in (("T", threats), ("N", NEGATIONS.split()), ("R", REPORTS.split()), ("G", TARGETS.split())):
+        for w in words:
             out.setdefault(w, symbol)
     return out
 
@@ -150,7 +158,7 @@ class Scanner:
         self.step_back, self.end = grammar_from_end()
         self.words, self.clauses = re.compile(WORD).findall, re.compile(CLAUSE).split
         self.any = ahocorasick.Automaton()
-        for w in [*model.words, *model.stems, *THREATS.split()]:
+        for w in [*model.words, *model.stems, *THREATS.split()]:  # every threat begins with its stem
             self.any.add_word(w, 1)
         self.any.make_automaton()
 
@@ -185,13 +193,16 @@ class Scanner:
         out["clauses"] += found
 
 
+COUNTS = ["toxic_0", "other_0", "toxic_1", "other_1"]
+
+
 def evidence(sample: DataFrame) -> DataFrame:
-    """Per word and stem: documents and kinds of preceding words, in toxic and other texts."""
+    """Per word and stem: documents and kinds of preceding words, in toxic and other texts of either half."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = re.compile(WORD).findall, defaultdict(lambda: [0, 0, 0])
+        find, seen = re.compile(WORD).findall, defaultdict(lambda: [0, 0, 0, 0, 0])
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own: dict[str, int] = defaultdict(int)
                 last = ""
                 for w in find((text or "").lower()):
@@ -203,28 +214,31 @@ def evidence(sample: DataFrame) -> DataFrame:
                     last = w
                 for w, bits in own.items():
                     cell = seen[w]
-                    cell[0 if toxic else 1] += 1
+                    cell[2 * half + (not toxic)] += 1
                     if toxic:
-                        cell[2] |= bits
-        n, m, bits = (list(c) for c in zip(*seen.values(), strict=True)) if seen else ([], [], [])
+                        cell[4] |= bits
+        columns = list(zip(*seen.values(), strict=True)) if seen else [[]] * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(bits, pa.int64())],
-            ["word", "toxic", "other", "before"],
+            [pa.array(list(seen), pa.string()), *(pa.array(list(c), pa.int64()) for c in columns)],
+            ["word", *COUNTS, "before"],
         )
 
-    counted = sample.select("text", "toxic").mapInArrow(count, "word string, toxic long, other long, before long")
+    half = F.pmod("draw", F.lit(2)).cast("int").alias("half")
+    fields = ", ".join(f"{c} long" for c in ("word", *COUNTS, "before")).replace("word long", "word string")
+    counted = sample.select("text", "toxic", half).mapInArrow(count, fields)
     return counted.groupBy("word").agg(
-        F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.bit_count(F.bit_or("before")).alias("before")
+        *[F.sum(c).alias(c) for c in COUNTS], F.bit_count(F.bit_or("before")).alias("before")
     )
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Coefficients and constant by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, beforehand: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients and constant by Newton steps, drawn towards what they are beforehand (0)."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
+    prior = np.zeros(x.shape[1]) if beforehand is None else beforehand
+    w = prior.copy()
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) / len(y) + ridge * w
+        slope = x.T @ (p - y) / len(y) + ridge * (w - prior)
         curve = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
         w -= np.linalg.solve(curve, slope)
     return w
@@ -234,7 +248,6 @@ def train(
     labelled: DataFrame,
     *,
     fit_rows: int = 20_000,
-    max_words: int = 2_000,
     least_documents: int = 5,
     least_contexts: int = 4,
     share: float = 0.7,
@@ -244,10 +257,11 @@ def train(
     Fitted on a bounded sample: the `fit_rows` rows with the lowest hashes of
     id and text, one of equal texts. A word or stem is learned if at least
     `least_documents` toxic texts hold it, after at least `least_contexts`
-    kinds of words (else it is what copies of one text share), and at least
-    `share` of the texts that hold it are toxic; the `max_words` best are kept.
+    kinds of words (else it is what copies of one text share), and in either
+    half of the sample at least `share` of the texts that hold it are toxic.
     Rows with a null text or label are left out. No rows: a model that knows no
-    word and scores by the constant.
+    word and weighs outcomes as beforehand. The learned words come from the
+    sample, so its bound is theirs.
     """
     rows = labelled.where("text is not null and toxic is not null").select(
         "text", F.col("toxic").cast("int").alias("toxic"),
@@ -257,20 +271,20 @@ def train(
     drawn = rows.groupBy("h").agg(F.min("draw").alias("draw")).orderBy("draw").limit(fit_rows)
     sample = stored(rows.join(F.broadcast(drawn), ["h", "draw"]).dropDuplicates(["h"]), "toxic-sample").repartition(16)
     n_toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n - n_toxic + 1))
-    best = evidence(sample).where(
-        (F.col("toxic") >= least_documents) & (F.col("before") >= least_contexts)
-        & (F.col("toxic") >= share * (F.col("toxic") + F.col("other")))
-    )
-    best = best.withColumn("weight", weight).where("weight > 0")
-    found = best.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "word").limit(max_words).collect()
+    toxic, other = F.col("toxic_0") + F.col("toxic_1"), F.col("other_0") + F.col("other_1")
+    weight = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((other + 0.5) / (n - n_toxic + 1))
+    best = evidence(sample).where((toxic >= least_documents) & (F.col("before") >= least_contexts))
+    for half in (0, 1):
+        own, rest = F.col(f"toxic_{half}"), F.col(f"other_{half}")
+        best = best.where((own > 0) & (own >= share * (own + rest)))
+    found = best.withColumn("weight", weight).where("weight > 0").select("word", "weight").collect()
     words = {r["word"]: float(r["weight"]) for r in found if not r["word"].endswith("*")}
     stems = {r["word"][:-1]: float(r["weight"]) for r in found if r["word"].endswith("*")}
-    model = ToxicModel(words, stems, np.zeros(len(OUTCOMES) + 1))
+    model = ToxicModel(words, stems, BEFOREHAND.copy())
     measured = with_features(sample, model, ["toxic"]).select("toxic", "features").collect()  # fit_rows rows
     if measured:
         x = np.array([r["features"] for r in measured])
-        model.coefficients = fit_logistic(x, np.array([r["toxic"] for r in measured], float))
+        model.coefficients = fit_logistic(x, np.array([r["toxic"] for r in measured], float), beforehand=BEFOREHAND)
     return model
 
 

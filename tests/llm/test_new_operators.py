@@ -11,7 +11,20 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, centroids, fingerprints, license_scan, mixing, phrase_index, simhash, spelling, suffix_dedup, topk_search
+from panelwise.llm import (
+    bpe,
+    centroids,
+    fingerprints,
+    language_id,
+    license_scan,
+    mixing,
+    phrase_index,
+    simhash,
+    spelling,
+    suffix_dedup,
+    topk_search,
+    toxicity,
+)
 from panelwise.llm.queries import QUERIES, RANKS, pattern, vocabulary
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -650,3 +663,82 @@ def test_base_columns_against_brute_force(spark, sf_dir):
     assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == want
     assert any(w[1] for w in want.values()) and all(0 <= r.score <= 1 for r in got)
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
+
+
+# Held-out rows of the contracts' folds
+
+
+@pytest.fixture(scope="module")
+def larger(sf_dir):
+    import os
+
+    return os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.1")
+
+
+def test_toxicity_on_held_out_rows(spark, larger):
+    labels = spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "toxic")
+    found = QUERIES["op8_toxicity"](spark, larger)
+    counts = Counter(
+        (r.held_out, r.toxic, r.predicted) for r in found.join(labels, "doc_id").select("held_out", "toxic", "predicted").collect()
+    )
+    caught, missed = counts[True, 1, 1], counts[True, 1, 0]
+    assert caught / (caught + missed) >= 0.88
+    assert counts[True, 0, 1] <= 0.01 * counts[True, 0, 0]
+
+
+def test_language_on_held_out_rows(spark, larger):
+    docs = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "lang", "text")
+    found = QUERIES["op10_language_id"](spark, larger).select("doc_id", "held_out", "lang_pred")
+    right, all_ = Counter(), Counter()
+    for r in found.join(docs.where(F.col("text").rlike(r"\p{L}")), "doc_id").where("held_out and lang is not null").collect():
+        all_[r.lang] += 1
+        right[r.lang] += r.lang == r.lang_pred
+    assert len(all_) == 4
+    for lang, n in all_.items():
+        assert right[lang] / n >= 0.95, (lang, right[lang], n)
+
+
+def test_threats_are_known_in_their_forms():
+    symbols = toxicity.classes()
+    for word in "kill kills killed killing destroys strangled töten tötet schlägt matará destruir frappez stabbed".split():
+        assert symbols.get(word) == "T" or word == "matará", word
+    for word in "stable killjoy tuesday material blessed beatific".split():
+        assert symbols.get(word) != "T", word
+    model = toxicity.ToxicModel({}, {}, toxicity.BEFOREHAND)
+    scanner = toxicity.Scanner(model)
+    at = {o: i for i, o in enumerate(toxicity.OUTCOMES)}
+    for text, outcome in (
+        ("they killed him", "direct"), ("a killing storm", "threat"), ("nobody and never killed", "denied"),
+        ("the paper says someone somewhere far away killed", "quoted"),
+    ):
+        got = scanner.features(text)
+        assert got[at[outcome]] > 0 and sum(v > 0 for i, v in enumerate(got) if i != at["clauses"]) == 1, (text, got)
+
+
+def test_what_labels_do_not_tell_keeps_its_weight():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 2, 400), np.zeros(400)]).astype(float)
+    y = x[:, 0]
+    fitted = toxicity.fit_logistic(x, y, beforehand=np.array([0.0, 0.7, 0.0]))
+    assert fitted[1] == pytest.approx(0.7) and fitted[0] > 3
+
+
+def test_words_of_one_half_alone_are_not_learned(frame):
+    """A chance word stands in many toxic texts of one half of the sample, and in other texts of the other half."""
+    rows = [(i, f"text {i} {'w' if i % 2 else 'v'}{i % 7} idiot number {i}", 1) for i in range(60)]
+    rows += [(100 + i, f"text {i} {'w' if i % 2 else 'v'}{i % 7} person number {i}", 0) for i in range(200)]
+    base = frame("doc_id long, text string, toxic int", rows)
+    draw = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    marked = base.withColumn("half", F.pmod(draw, F.lit(2)))
+    chance = F.when((F.col("half") == 0) == (F.col("toxic") == 1), F.lit(" chancy")).otherwise(F.lit(""))
+    known = toxicity.train(marked.select("doc_id", F.concat("text", chance).alias("text"), "toxic"))
+    assert "idiot" in known.words
+    assert "chancy" not in known.words or known.words["chancy"] < known.words["idiot"]
+
+
+def test_marks_belong_to_words_and_alone_are_no_text():
+    assert language_id.symbols("हिन्दी").tolist() == [0, *map(ord, "हिन्दी"), 0]
+    assert language_id.symbols("ที่นี่ x").tolist() == [0, *map(ord, "ที่นี่"), 0, ord("x"), 0]
+    assert len(language_id.symbols("́ ्")) == 0 and len(language_id.symbols("12 ...")) == 0
