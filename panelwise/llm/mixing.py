@@ -118,7 +118,8 @@ def mix(
     of the source. The last, partial epoch takes documents in its order until
     its tokens are spent; a document belongs to it if it starts before that.
     All documents occur in epoch 0. A null source is a source of its own; null
-    or empty texts have no tokens and occur once per full epoch. Equal rows are
+    or empty texts have no tokens and occur once per full epoch. A text longer
+    than a block is not cut; its block is larger. Ids become longs. Equal rows are
     separate documents with one place. No rows give no rows.
 
     A source of any size is ordered in buckets of about `bucket_documents`.

@@ -54,7 +54,8 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fingerprint (a long holding its 64 bits) and text_hash per row.
 
-    A null text is empty; a text without words has fingerprint 0.
+    A null text is empty; a text without words has fingerprint 0. Ids become
+    longs. A very long text is read alone, its shingles all at once by one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

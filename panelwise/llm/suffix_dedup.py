@@ -6,8 +6,9 @@ anchor; equal windows have equal anchors at equal offsets. So it is enough to
 sort the suffixes that start at anchors (about one position in 16), together
 with the bytes before them that their windows reach:
 
-1. Documents are packed into blocks, stored once and bucketed, so that joining
-   them with what they are told moves no text.
+1. Documents are packed into blocks, stored once with the places of their
+   anchors and bucketed, so that joining them with what they are told moves no
+   text.
 2. Blocks send the hashes of their anchors to the hash's bucket, with how many
    different surroundings each has there, and learn which occur in another
    block, and which have very many surroundings in all.
@@ -69,6 +70,8 @@ PLACE = np.uint64((1 << 17) - 1)
 
 KEYED = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("packed", pa.binary())])
 KEYED_SQL = "block string, bucket int, packed binary"
+BLOCK = pa.schema([("block", pa.string()), ("packed", pa.binary()), ("anchors", pa.binary())])
+BLOCK_SQL = "block string, packed binary, anchors binary"
 
 
 def keyed(rows: list[tuple]) -> pa.RecordBatch:
@@ -109,15 +112,50 @@ def gram_hashes(raw: np.ndarray, *lengths: int) -> list[np.ndarray] | np.ndarray
     return out[0] if len(lengths) == 1 else out
 
 
+def hashes_at(raw: np.ndarray, *asked: tuple[np.ndarray, int]) -> list[np.ndarray]:
+    """What `gram_hashes` gives for so many bytes from each of the places, which are in order."""
+    out = [np.empty(len(places), np.uint64) for places, _ in asked]
+    longest = max(size for _, size in asked)
+    inverse = powers(INVERSE, STEP)
+    for at in range(0, len(raw), STEP):
+        part = raw[at : at + STEP + longest]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(part)), out=sums[1:])
+        for found, (places, size) in zip(out, asked, strict=True):
+            a, z = np.searchsorted(places, [at, at + STEP])
+            own = places[a:z] - at
+            found[a:z] = mixed((sums[own + size] - sums[own]) * inverse[own])
+    return out
+
+
 class Anchors:
-    """The anchors of a block and the range of window starts that each stands for."""
+    """The anchors of a block and the range of window starts that each stands for.
 
-    def __init__(self, texts: list[bytes], length: int, gram: int):
+    Finding them is the costly part of a block, so it is done once: `packed`
+    holds them in few bytes, and with it only the hashes are computed again.
+    """
+
+    def __init__(self, texts: list[bytes], length: int, gram: int, packed: bytes | None = None):
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.length = length
+        if packed is None:
+            self._find(length, gram)
+        else:
+            steps, more, ahead = unpack_arrays(packed, "u4", "u1", "u1")
+            self.low = np.cumsum(steps, dtype=np.int64)
+            self.high, self.at = self.low + more, self.low + ahead
+            asked = [(self.at, gram), (self.low, length), (self.high, length)]
+            self.hash, self.first, self.last = hashes_at(self.raw, *asked)
+        self.doc = np.searchsorted(self.ends, self.low, "right")
+
+    def pack(self) -> bytes:
+        steps = np.diff(self.low, prepend=0).astype(np.uint32)
+        return pack_arrays(steps, (self.high - self.low).astype(np.uint8), (self.at - self.low).astype(np.uint8))
+
+    def _find(self, length: int, gram: int) -> None:
         reach = length - gram + 1  # k-grams in a window
         parts = []
         for at in range(0, max(0, len(self.raw) - length + 1), STEP):
@@ -147,7 +185,6 @@ class Anchors:
         kinds = [np.int64] * 3 + [np.uint64] * 3
         columns = list(zip(*parts, strict=True)) if parts else [[np.zeros(0, k)] for k in kinds]
         self.at, self.low, self.high, self.hash, self.first, self.last = (np.concatenate(c) for c in columns)
-        self.doc = np.searchsorted(self.ends, self.low, "right")
 
     def choose(self, which: np.ndarray) -> None:
         self.at, self.low, self.high = self.at[which], self.low[which], self.high[which]
@@ -440,18 +477,23 @@ def repeated_passages(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, 0
         task = TaskContext.get().partitionId()
+
+        def done() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            anchors = Anchors(text_bytes(whole.column(1)), length, gram).pack()
+            row = [[f"{task}-{number}"], [pack_batch(whole)], [anchors]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
+
         for batch in batches:
             for own in slices(batch, 1, block_bytes // 4):
                 held.append(own)
                 size += sum(map(len, text_bytes(own.column(1))))
                 if size >= block_bytes:
-                    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    yield keyed([(f"{task}-{number}", -1, pack_batch(whole))])
+                    yield done()
                     held, size, number = [], 0, number + 1
                     trim()
         if held:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            yield keyed([(f"{task}-{number}", -1, pack_batch(whole))])
+            yield done()
 
     def load(packed: bytes) -> tuple[pa.Table, list[bytes], np.ndarray]:
         table = unpack_batch(packed)
@@ -461,7 +503,7 @@ def repeated_passages(
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                anchors = Anchors(load(row["packed"])[1], length, gram)
+                anchors = Anchors(load(row["packed"])[1], length, gram, row["anchors"])
                 distinct, starts, place = in_buckets(anchors.hash, buckets)
                 low = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 counts, one = surroundings(anchors, place, len(distinct))
@@ -488,7 +530,7 @@ def repeated_passages(
         """The block's documents, anchors that may repeat, and their contexts."""
         trim()
         table, texts, ids = load(block["packed"])
-        anchors = Anchors(texts, length, gram)
+        anchors = Anchors(texts, length, gram, block["anchors"])
         distinct, starts, place = in_buckets(anchors.hash, buckets)
         elsewhere, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
         for row in told:
@@ -641,7 +683,7 @@ def repeated_passages(
         told = reduce(DataFrame.union, [t.withColumn("kind", F.lit(i)) for i, t in enumerate(tables) if t is not None])
         return blocks_.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema_)
 
-    blocks = bucketed(rows.mapInArrow(pack, KEYED_SQL), "block", "passage-blocks")
+    blocks = bucketed(rows.mapInArrow(pack, BLOCK_SQL), "block", "passage-blocks")
     flags = stored(blocks.mapInArrow(ask, KEYED_SQL).groupBy("bucket").applyInArrow(answer, KEYED_SQL), "passage-flags")
     digests = stored(told_to(blocks, digest, KEYED_SQL, flags), "passage-digests")
     elected = stored(digests.groupBy("bucket").applyInArrow(elect, KEYED_SQL), "passage-elected")

@@ -214,7 +214,8 @@ def write_token_files(
 
     A null text is empty and holds only the end id. Rows without id come first.
     Rows with one id follow each other by the hash of their text. No rows: no
-    files. Other columns are not read.
+    files. Other columns are not read. Ids become longs. A text of any length is
+    one document, encoded by one task in the pieces in which the tokenizer works.
     """
     from tokenizers import Tokenizer
 

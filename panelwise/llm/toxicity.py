@@ -312,6 +312,9 @@ def with_features(docs: DataFrame, model: ToxicModel, keep: list[str], text_col:
 def score(docs: DataFrame, model: ToxicModel, *, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns `keep` (all by default), score and predicted (1 from 0.5 on).
 
+    Whole texts are read, however long, clause by clause; null is empty. Equal
+    rows score alike; no rows give no rows.
+
     Kept columns called score or predicted give way.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"score", "predicted", "features"}]

@@ -742,3 +742,17 @@ def test_marks_belong_to_words_and_alone_are_no_text():
     assert language_id.symbols("हिन्दी").tolist() == [0, *map(ord, "हिन्दी"), 0]
     assert language_id.symbols("ที่นี่ x").tolist() == [0, *map(ord, "ที่นี่"), 0, ord("x"), 0]
     assert len(language_id.symbols("́ ्")) == 0 and len(language_id.symbols("12 ...")) == 0
+
+
+def test_anchors_are_the_same_when_unpacked():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes() for n in (0, 10, 49, 50, 51, 400, 200_000, 3, 70_000)]
+    found = suffix_dedup.Anchors(texts, 50, suffix_dedup.GRAM)
+    again = suffix_dedup.Anchors(texts, 50, suffix_dedup.GRAM, found.pack())
+    for name in ("at", "low", "high", "doc", "hash", "first", "last"):
+        assert (getattr(found, name) == getattr(again, name)).all(), name
+    assert len(found.pack()) < 0.4 * len(found.raw)
+    none = suffix_dedup.Anchors([b"short"], 50, suffix_dedup.GRAM)
+    assert len(suffix_dedup.Anchors([b"short"], 50, suffix_dedup.GRAM, none.pack()).at) == 0
