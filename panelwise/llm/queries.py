@@ -94,8 +94,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    learn = docs.select("doc_id", "text").join(labels, "doc_id").where(~in_fold(0, 5))
-    scored = toxicity.score(docs, toxicity.train(learn), keep=["doc_id"])
+    learn = docs.select("doc_id", "text").where(~in_fold(0, 5))
+    scored = toxicity.score(docs, toxicity.train(learn, labels), keep=["doc_id"])
     return scored.select("doc_id", in_fold(0, 5).alias("held_out"), "score", "predicted")
 
 

@@ -40,6 +40,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -112,6 +113,17 @@ def gram_hashes(raw: np.ndarray, *lengths: int) -> list[np.ndarray] | np.ndarray
     return out[0] if len(lengths) == 1 else out
 
 
+def joined(texts: list[bytes] | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after another, and the length of each; an Arrow array is not copied."""
+    if isinstance(texts, list):
+        return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+    _, offsets, data = texts.buffers()
+    if data is None or not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(len(texts), np.int64)
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], np.diff(ends).astype(np.int64)
+
+
 def hashes_at(raw: np.ndarray, *asked: tuple[np.ndarray, int]) -> list[np.ndarray]:
     """What `gram_hashes` gives for so many bytes from each of the places, which are in order."""
     out = [np.empty(len(places), np.uint64) for places, _ in asked]
@@ -128,6 +140,11 @@ def hashes_at(raw: np.ndarray, *asked: tuple[np.ndarray, int]) -> list[np.ndarra
     return out
 
 
+def binary_of(column: pa.Array) -> pa.BinaryArray:
+    """UTF-8 bytes of texts; null is empty."""
+    return pc.fill_null(column.cast(pa.binary()), b"")
+
+
 class Anchors:
     """The anchors of a block and the range of window starts that each stands for.
 
@@ -135,9 +152,8 @@ class Anchors:
     holds them in few bytes, and with it only the hashes are computed again.
     """
 
-    def __init__(self, texts: list[bytes], length: int, gram: int, packed: bytes | None = None):
-        self.raw = np.frombuffer(b"".join(texts), np.uint8)
-        self.lengths = np.array([len(t) for t in texts], np.int64)
+    def __init__(self, texts: list[bytes] | pa.BinaryArray, length: int, gram: int, packed: bytes | None = None):
+        self.raw, self.lengths = joined(texts)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.length = length
@@ -480,14 +496,14 @@ def repeated_passages(
 
         def done() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            anchors = Anchors(text_bytes(whole.column(1)), length, gram).pack()
+            anchors = Anchors(binary_of(whole.column(1)), length, gram).pack()
             row = [[f"{task}-{number}"], [pack_batch(whole)], [anchors]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
         for batch in batches:
             for own in slices(batch, 1, block_bytes // 4):
                 held.append(own)
-                size += sum(map(len, text_bytes(own.column(1))))
+                size += pc.sum(pc.binary_length(own.column(1))).as_py() or 0
                 if size >= block_bytes:
                     yield done()
                     held, size, number = [], 0, number + 1
@@ -495,10 +511,10 @@ def repeated_passages(
         if held:
             yield done()
 
-    def load(packed: bytes) -> tuple[pa.Table, list[bytes], np.ndarray]:
+    def load(packed: bytes) -> tuple[pa.Table, pa.BinaryArray, np.ndarray]:
         table = unpack_batch(packed)
         ids = np.asarray(table.column(0).fill_null(NO_ID).combine_chunks(), np.int64)
-        return table, text_bytes(table.column(1).combine_chunks()), ids
+        return table, binary_of(table.column(1).combine_chunks()), ids
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -662,7 +678,8 @@ def repeated_passages(
             mark(found.at[member] - np.repeat(to, n)[smaller], found.at[member] - np.repeat(from_, n)[smaller])
         mine = found.id > least[found.member]
         mark(found.low[mine], found.high[mine])
-        gone = np.cumsum(change[:-1]) > 0
+        np.cumsum(change, out=change)  # in place: these are the largest arrays of a block
+        gone = change[:-1] > 0
         spans, kept = [], []
         for a, z in zip(anchors.starts.tolist(), anchors.ends.tolist(), strict=True):
             mask = gone[a:z]

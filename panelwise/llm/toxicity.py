@@ -246,14 +246,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, beforehand:
 
 def train(
     labelled: DataFrame,
+    labels: DataFrame | None = None,
     *,
     fit_rows: int = 20_000,
     least_documents: int = 5,
     least_contexts: int = 4,
     share: float = 0.7,
 ) -> ToxicModel:
-    """A model from (doc_id, text, toxic).
+    """A model from (doc_id, text, toxic), or from (doc_id, text) and `labels` (doc_id, toxic).
 
+    Rows are drawn by ids and hashes, and only the texts drawn are fetched, so
+    the texts of documents that are joined with labels are never shuffled.
     Fitted on a bounded sample: the `fit_rows` rows with the lowest hashes of
     id and text, one of equal texts. A word or stem is learned if at least
     `least_documents` toxic texts hold it, after at least `least_contexts`
@@ -263,13 +266,19 @@ def train(
     word and weighs outcomes as beforehand. The learned words come from the
     sample, so its bound is theirs.
     """
-    rows = labelled.where("text is not null and toxic is not null").select(
-        "text", F.col("toxic").cast("int").alias("toxic"),
-        F.xxhash64("text").alias("h"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("draw"),
-    )
-    # At most fit_rows rows of two numbers are broadcast.
-    drawn = rows.groupBy("h").agg(F.min("draw").alias("draw")).orderBy("draw").limit(fit_rows)
-    sample = stored(rows.join(F.broadcast(drawn), ["h", "draw"]).dropDuplicates(["h"]), "toxic-sample").repartition(16)
+    h, draw = F.xxhash64("text").alias("h"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("draw")
+    toxic = F.col("toxic").cast("int").alias("toxic")
+    whole = labelled.where("text is not null")
+    if labels is None:
+        keys = whole.where("toxic is not null").select(h, draw, toxic)
+    else:
+        marks = labels.where("toxic is not null").select("doc_id", toxic)
+        keys = whole.select("doc_id", h, draw).join(marks, "doc_id").select("h", "draw", "toxic")
+    # At most fit_rows rows of three numbers are broadcast.
+    drawn = keys.groupBy("h").agg(F.min(F.struct("draw", "toxic")).alias("least")).select("h", "least.draw", "least.toxic")
+    drawn = drawn.orderBy("draw", "h").limit(fit_rows)
+    fetched = whole.select("text", h, draw).join(F.broadcast(drawn), ["h", "draw"]).dropDuplicates(["h"])
+    sample = stored(fetched, "toxic-sample").repartition(16)
     n_toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     toxic, other = F.col("toxic_0") + F.col("toxic_1"), F.col("other_0") + F.col("other_1")
     weight = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((other + 0.5) / (n - n_toxic + 1))

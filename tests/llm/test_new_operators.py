@@ -756,3 +756,13 @@ def test_anchors_are_the_same_when_unpacked():
     assert len(found.pack()) < 0.4 * len(found.raw)
     none = suffix_dedup.Anchors([b"short"], 50, suffix_dedup.GRAM)
     assert len(suffix_dedup.Anchors([b"short"], 50, suffix_dedup.GRAM, none.pack()).at) == 0
+
+
+def test_labels_may_come_in_a_table_of_their_own(frame):
+    rows = [(i, f"text {i} number {i % 9} {'idiot' if i % 3 == 0 else 'person'} here", int(i % 3 == 0)) for i in range(150)]
+    rows += [(None, "no id", 1), (400, None, 1), (401, "no label", None)]
+    both = frame("doc_id long, text string, toxic int", rows)
+    apart = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic"))
+    joined = toxicity.train(both.where("doc_id IS NOT NULL"))
+    assert apart.words == joined.words and apart.stems == joined.stems
+    assert apart.coefficients == pytest.approx(joined.coefficients)
