@@ -78,3 +78,14 @@ def test_views_are_the_same_rows_in_sql(tables):
         want = con.sql(view_sql(name))
         assert want.columns == df.columns
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_the_key_that_views_call_unique_is(spark, sf_dir):
+    """The views mark their key as checked; here it is, for the table they all derive from."""
+    from panelwise.operators.joins import assert_unique_key, known_unique
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert_unique_key(orders.where("o_orderkey IS NOT NULL"), "o_orderkey")
+    for view in respondent_views(spark, sf_dir).values():
+        assert known_unique(view, "seqn")
+        assert_unique_key(view, "seqn")
