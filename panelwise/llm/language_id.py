@@ -444,7 +444,7 @@ def predict(docs: DataFrame, models: LanguageModels, *, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in slices(batch, n, 400_000):
+            for own in slices(batch, n, 200_000):
                 texts = [t or "" for t in own.column(n).to_pylist()]
                 names, score, entropy, rejected = models_of().predict(texts)
                 yield pa.RecordBatch.from_arrays(
