@@ -10,7 +10,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from catalogue.queries import QUERIES
 
 TYPES = {
-    "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
+    "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
     "TIMESTAMP": "timestamp_ntz",  # SQL's has no zone
 }
 
