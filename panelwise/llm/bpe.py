@@ -93,6 +93,13 @@ class Block:
         self.batches.append(batch)
         self.size += sum(map(len, texts))
 
+    def close(self) -> None:
+        """No more texts come: what was kept to encode them goes."""
+        self.cache = None
+
+    def forget(self) -> None:
+        self.code, self.batches, self.sequences = Codes(), [], []
+
     def key(self, number: int) -> str:
         """Names the block by its place and its words."""
         digest = xxhash.xxh3_64_hexdigest("\0".join(self.code).encode())
@@ -109,10 +116,12 @@ def cut(batches, pattern: str, text_at: int, block_chars: int) -> Iterator[tuple
             )
             block.add(kept, own.column(text_at).to_pylist())
             if block.size >= block_chars:
+                block.close()
                 yield block.key(number), block
                 number, block = number + 1, Block(pattern)
                 trim()
     if block.batches:
+        block.close()
         yield block.key(number), block
     del block
     trim()
@@ -192,26 +201,33 @@ def encode(
         return pa.Table.from_batches([out_batch(out, ARROW_PACKED)])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in cut(batches, pattern, text_at, block_chars):
-            words = list(block.code)
-            order, starts = by_bucket(words, buckets)
-            for b in range(buckets):
-                own = [words[c] for c in order[starts[b] : starts[b + 1]]]
-                if own:
-                    yield out_batch([(key, b, pack_words(own))], ARROW_PACKED)
-            # Lists of the codes in bucket order, the positions, and the rows' other columns.
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            lengths = np.array([len(s) // 4 for s in block.sequences], np.int64)
-            codes = rank[np.frombuffer(b"".join(block.sequences), "<u4")]
-            # The bytes of a number apart: those that seldom change compress well.
-            planes = codes.view(np.uint8).reshape(-1, 4).T.reshape(-1)
-            table = pa.Table.from_batches(block.batches)
-            rest = pack_batch(table.combine_chunks().to_batches()[0]) if text_at else b""
-            packed = pack_arrays(
-                np.frombuffer(rest, np.uint8), starts.astype(np.int64), lengths, planes
-            )
-            yield out_batch([(key, TEXTS, packed)], ARROW_PACKED)
+        blocks = cut(batches, pattern, text_at, block_chars)
+        for key, block in blocks:
+            yield from packed(key, block)
+            # The next block is cut while this loop's names still hold the last one.
+            block.forget()
+            trim()
+
+    def packed(key: str, block: Block) -> Iterator[pa.RecordBatch]:
+        words = list(block.code)
+        order, starts = by_bucket(words, buckets)
+        for b in range(buckets):
+            own = [words[c] for c in order[starts[b] : starts[b + 1]]]
+            if own:
+                yield out_batch([(key, b, pack_words(own))], ARROW_PACKED)
+        # Lists of the codes in bucket order, the positions, and the rows' other columns.
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        del words, order
+        lengths = np.array([len(s) // 4 for s in block.sequences], np.int64)
+        codes = rank[np.frombuffer(b"".join(block.sequences), "<u4")]
+        # The bytes of a number apart: those that seldom change compress well.
+        planes = codes.view(np.uint8).reshape(-1, 4).T.reshape(-1)
+        del codes
+        table = pa.Table.from_batches(block.batches)
+        rest = pack_batch(table.combine_chunks().to_batches()[0]) if text_at else b""
+        whole = pack_arrays(np.frombuffer(rest, np.uint8), starts.astype(np.int64), lengths, planes)
+        yield out_batch([(key, TEXTS, whole)], ARROW_PACKED)
 
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     schema = ", ".join([*fields, "ids array<int>"])
