@@ -33,9 +33,11 @@ def whole_vectors(
     usable = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
     def whole(x: Column) -> Column:
+        # Spark may evaluate this before the filter above, so what is not finite must not fail here.
         number = F.lit(scale) * x
         wrong = F.raise_error(F.concat(F.lit("component out of range: "), x.cast("string"))).cast("long")
-        return F.when(F.abs(number) <= LARGEST, F.floor(number).cast("long")).otherwise(wrong)
+        small, finite = F.abs(number) <= LARGEST, F.abs(x) < float("inf")
+        return F.when(small, F.floor(number).cast("long")).when(finite, wrong)
 
     return rows.where(F.size("x") == size).where(usable).select("vec_id", F.transform("x", whole).alias("v"))
 

@@ -23,25 +23,10 @@ def pieces(text: str) -> list[str]:
     return [*out, held] if held else out
 
 
-def forget(held: dict[str, object], keep: int) -> None:
-    """Reduce a cache to its shortest keys, at most about `keep` of them."""
-    by_length: dict[int, list[str]] = {}
-    for key in held:
-        by_length.setdefault(len(key), []).append(key)
-    left = len(held)
-    for length in sorted(by_length, reverse=True):
-        if left <= keep:
-            break
-        for key in by_length[length]:
-            del held[key]
-        left -= len(by_length[length])
-
-
 class PieceCache:
     """Encoded pieces of texts as bytes; `encode` gets the pieces that are new.
 
-    Holds about `limit` pieces; when more are needed, the long ones, which are
-    the rare ones, go first.
+    Holds at most `limit` pieces and starts over when more are needed.
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000):
@@ -56,8 +41,8 @@ class PieceCache:
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """For each text the encoded pieces, joined."""
         if len(self.known) + len(self.after_blank) > self.limit:
-            for held in (self.known, self.after_blank):
-                forget(held, self.limit // 4)
+            self.known.clear()
+            self.after_blank.clear()
         out = []
         for text in texts:
             first, *parts = text.split(" ")

@@ -26,10 +26,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
     Cuts the lineage: what is read does not change when an executor is lost.
     """
+    return stored_at(df, purpose)[0]
+
+
+def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """`stored`, and the folder, for rows that are no longer needed at some time."""
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 @dataclass(frozen=True)

@@ -52,9 +52,11 @@ from panelwise.llm.common import (
     pack_arrays,
     pack_batch,
     per_worker,
+    remove,
     slices,
     spread,
     stored,
+    stored_at,
     text_bytes,
     text_column,
     trim,
@@ -702,12 +704,14 @@ def repeated_passages(
 
     blocks = bucketed(rows.mapInArrow(pack, BLOCK_SQL), "block", "passage-blocks")
     flags = stored(blocks.mapInArrow(ask, KEYED_SQL).groupBy("bucket").applyInArrow(answer, KEYED_SQL), "passage-flags")
-    digests = stored(told_to(blocks, digest, KEYED_SQL, flags), "passage-digests")
-    elected = stored(digests.groupBy("bucket").applyInArrow(elect, KEYED_SQL), "passage-elected")
+    digests, digests_at = stored_at(told_to(blocks, digest, KEYED_SQL, flags), "passage-digests")
+    elected, elected_at = stored_at(digests.groupBy("bucket").applyInArrow(elect, KEYED_SQL), "passage-elected")
     runs = told_to(blocks, send, KEYED_SQL, flags, elected)
-    verdicts = stored(runs.groupBy("bucket").applyInArrow(merge, KEYED_SQL), "passage-verdicts")
+    verdicts, verdicts_at = stored_at(runs.groupBy("bucket").applyInArrow(merge, KEYED_SQL), "passage-verdicts")
     answers = digests.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(tell, KEYED_SQL)
     out = told_to(blocks, cut, schema, flags, None, stored(answers, "passage-answers"))
+    for path in (digests_at, elected_at, verdicts_at):  # the answers hold what they told
+        remove(spark, path)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept")
 
 

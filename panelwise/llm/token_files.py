@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.llm.chunks import PieceCache, forget
+from panelwise.llm.chunks import PieceCache
 from panelwise.llm.common import per_worker, slices, text_column
 from panelwise.session import scratch_dir
 from panelwise.sources.files import read_range, resolve
@@ -183,7 +183,7 @@ def make_encoder(tokenizer_json: bytes) -> PieceCache:
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         if len(words) > 500_000:
-            forget(words, 250_000)
+            words.clear()
         for text in texts:
             if not by_word or holds_special(text):
                 ids = tokenizer.encode(text, add_special_tokens=False).ids
