@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -79,20 +80,22 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Remove all scratch folders of this process and the catalog tables on them; returns how many folders went.
+def clear_scratch(spark: SparkSession, paths: Sequence[str] | None = None) -> int:
+    """Remove scratch folders, all of this process or some, and the catalog tables on them; returns how many went.
 
     For when every result that was built on them has been written: operators
     store intermediate tables there and their results are read from these.
     """
-    for row in spark.sql("SHOW TABLES").collect():
-        if not row.isTemporary and any(place in _location(spark, row.tableName) for place in SCRATCH):
-            spark.sql(f"DROP TABLE IF EXISTS `{row.tableName}`")
-    files, gone = Files(spark), 0
-    while SCRATCH:
-        files.remove(SCRATCH.pop())
-        gone += 1
-    return gone
+    gone = [p for p in SCRATCH if paths is None or p in set(paths)]
+    if gone:
+        for row in spark.sql("SHOW TABLES").collect():
+            if not row.isTemporary and any(place in _location(spark, row.tableName) for place in gone):
+                spark.sql(f"DROP TABLE IF EXISTS `{row.tableName}`")
+    files = Files(spark)
+    for path in gone:
+        files.remove(path)
+        SCRATCH.remove(path)
+    return len(gone)
 
 
 def _location(spark: SparkSession, table: str) -> str:
