@@ -57,7 +57,6 @@ from panelwise.llm.common import (
     spread,
     stored,
     stored_at,
-    text_bytes,
     text_column,
     trim,
     unpack_arrays,
@@ -461,6 +460,12 @@ def resolve(runs: list[tuple[np.ndarray, list[np.ndarray]]], gram: int, length:
     return verdicts
 
 
+def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Of the bytes of a UTF-8 text those whose character is marked throughout."""
+    leads = np.flatnonzero((raw & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, leads), np.diff(np.append(leads, len(raw))))
+
+
 def repeated_passages(
     docs: DataFrame,
     *,
@@ -472,6 +477,7 @@ def repeated_passages(
     buckets: int | None = None,
     block_bytes: int = 4_000_000,
     hot_contexts: int = 4096,
+    characters: bool = False,
 ) -> DataFrame:
     """Per row the columns `keep`, n_bytes, the removed byte spans and the kept bytes.
 
@@ -481,7 +487,8 @@ def repeated_passages(
     id loses what any row with an id holds and takes nothing from others. Texts
     shorter than `length` stay as they are. A kept column whose name is one of
     the results' gives way. `hot_contexts` bounds what is compared in one group
-    and changes no result.
+    and changes no result. With `characters`, one goes only if all its bytes are
+    repeated, and `kept` is a valid text.
     """
     spark = docs.sparkSession
     results = {"n_bytes", "spans", "kept"}
@@ -650,7 +657,8 @@ def repeated_passages(
         return pa.Table.from_batches([keyed(out)])
 
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    schema = ", ".join([*fields, "n_bytes long, spans array<struct<start: long, end: long>>, kept binary"])
+    kept_type = "string" if characters else "binary"
+    schema = ", ".join([*fields, f"n_bytes long, spans array<struct<start: long, end: long>>, kept {kept_type}"])
 
     def cut(blocks: pa.Table, told: pa.Table) -> pa.Table:
         batches = []
@@ -685,6 +693,8 @@ def repeated_passages(
         spans, kept = [], []
         for a, z in zip(anchors.starts.tolist(), anchors.ends.tolist(), strict=True):
             mask = gone[a:z]
+            if characters and mask.any():
+                mask = whole_characters(anchors.raw[a:z], mask)
             if not mask.any():
                 spans.append([])
                 kept.append(anchors.raw[a:z].tobytes())
@@ -694,7 +704,7 @@ def repeated_passages(
             kept.append(anchors.raw[a:z][~mask].tobytes())
         own = [table.column(f"c{i}").combine_chunks() for i in range(len(keep))]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        columns = [*own, pa.array(anchors.lengths), pa.array(spans, kind), pa.array(kept, pa.binary())]
+        columns = [*own, pa.array(anchors.lengths), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(kept_type)]
         return pa.RecordBatch.from_arrays(columns, [*(f"c{i}" for i in range(len(keep))), "n_bytes", "spans", "kept"])
 
     def told_to(blocks_: DataFrame, run, schema_: str, *tables: DataFrame) -> DataFrame:
@@ -721,34 +731,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A character goes if all its bytes are repeated, so that texts stay valid.
     `n_chars`, where there is one, counts what is left. A null text stays null.
     """
-
-    def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if spans:
-                    raw = np.frombuffer(text, np.uint8)
-                    gone = np.zeros(len(raw), bool)
-                    for s in spans:
-                        gone[s["start"] : s["end"]] = True
-                    leads = np.flatnonzero((raw & 0xC0) != 0x80)
-                    gone = np.repeat(np.minimum.reduceat(gone, leads), np.diff(np.append(leads, len(raw))))
-                    text = raw[~gone].tobytes()
-                texts.append(text.decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], [*batch.schema.names[2:], "left"])
-
-    given = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(docs.columns)])
     where = {c: f"k{i}" for i, c in enumerate(docs.columns)}
-    found = repeated_passages(given, id_col=where[id_col], text_col=where[text_col], keep=given.columns, **options)
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in given.schema]
-    text = F.coalesce(F.col(where[text_col]).cast("string"), F.lit("")).alias("text")
-    cut = found.select(text, "spans", *given.columns).mapInArrow(whole_characters, ", ".join([*fields, "left string"]))
+    given = docs.select(*[docs[c].alias(k) for c, k in where.items()], docs[text_col].isNull().alias("no_text"))
+    # Of the text no second copy travels: what is left of it, and whether it was null, say all.
+    keep = [c for c in given.columns if c != where[text_col]]
+    found = repeated_passages(given, id_col=where[id_col], text_col=where[text_col], keep=keep, characters=True, **options)
     out = []
     for f in docs.schema:
-        column = F.col(where[f.name])
         if f.name == text_col:
-            column = F.when(column.isNotNull(), F.col("left"))
+            column = F.when(~F.col("no_text"), F.col("kept"))
         elif f.name == "n_chars":
-            column = F.length("left").cast(f.dataType)
+            column = F.length("kept").cast(f.dataType)
+        else:
+            column = F.col(where[f.name])
         out.append(column.alias(f.name))
-    return cut.select(*out)
+    return found.select(*out)

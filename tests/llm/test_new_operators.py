@@ -766,3 +766,32 @@ def test_labels_may_come_in_a_table_of_their_own(frame):
     joined = toxicity.train(both.where("doc_id IS NOT NULL"))
     assert apart.words == joined.words and apart.stems == joined.stems
     assert apart.coefficients == pytest.approx(joined.coefficients)
+
+
+def test_blocks_hold_no_second_copy_of_the_text(spark, frame):
+    """What is stored of texts that do not compress is about their size, and one Python step cuts them."""
+    import random
+    from pathlib import Path
+
+    from panelwise import session
+
+    pick = random.Random(8)
+    letters = [chr(c) for c in range(32, 127)]
+    rows = [(i, "".join(pick.choices(letters, k=10_000)), "a") for i in range(60)] + [(60, None, "b")]
+    before = len(session.SCRATCH)
+    cut = suffix_dedup.remove_repeats(frame("doc_id long, text string, source string", rows))
+    at = next(p for p in session.SCRATCH[before:] if "passage-blocks" in p)
+    held = sum(f.stat().st_size for f in Path(at.removeprefix("file://")).glob("*.parquet"))
+    assert held < 1.4 * 600_000
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
+    assert {tuple(r) for r in cut.collect()} == set(rows)
+
+
+def test_half_repeated_characters_stay(frame):
+    """A character goes if all its bytes are repeated; the text stays valid, and null stays null."""
+    passage = "".join(chr(97 + i * i % 26) for i in range(60))
+    rows = [(1, passage + "\u00e9", 61), (2, "\u00e4" + passage + "\u00e8!", 63), (3, None, None), (4, "", 0)]
+    cut = suffix_dedup.remove_repeats(frame("doc_id long, text string, n_chars int", rows))
+    # The first byte of the last letters is the same, and so repeated; the second is not.
+    assert {tuple(r) for r in cut.collect()} == {rows[0], (2, "\u00e4\u00e8!", 3), (3, None, 0), (4, "", 0)}
