@@ -171,29 +171,44 @@ def make_encoder(tokenizer_json: bytes) -> PieceCache:
     holds_special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
     as_bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
+    # Letters alone, after one blank or none, hold no special token, and are one word.
+    letters_alone = by_word and not any(t.removeprefix(" ").isalpha() or t == " " for t in special)
+
     class Words(dict):
         """Ids of words, worked out when first asked for."""
 
         def __missing__(self, word: str) -> bytes:
-            tokens = model.tokenize(word.encode().decode("latin-1").translate(letters))
-            found = self[word] = b"".join([as_bytes[t.id] for t in tokens])
+            if len(self) > 500_000:
+                self.clear()
+            if word.isascii() and word.isprintable():
+                spelled = word.replace(" ", letters[32])
+            else:
+                spelled = word.encode().decode("latin-1").translate(letters)
+            found = self[word] = b"".join([as_bytes[t.id] for t in model.tokenize(spelled)])
             return found
 
     words = Words()
+    of = words.__getitem__
+
+    def encode_one(text: str) -> bytes:
+        if letters_alone and (text.isalpha() or (text[0] == " " and text[1:].isalpha())):
+            return of(text)
+        if not by_word or holds_special(text):
+            return b"".join([as_bytes[i] for i in tokenizer.encode(text, add_special_tokens=False).ids])
+        return b"".join(map(of, find(text)))
+
+    class AfterBlank(dict):
+        """Ids of pieces after a blank, worked out where they first occur, so that a text is looked up once."""
+
+        def __missing__(self, piece: str) -> bytes:
+            if not piece or piece[-1].isspace():  # goes on after the next blank
+                raise KeyError(piece)
+            found = self[piece] = encode_one(" " + piece)
+            return found
 
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        if len(words) > 500_000:
-            words.clear()
-        for text in texts:
-            if not by_word or holds_special(text):
-                ids = tokenizer.encode(text, add_special_tokens=False).ids
-                yield b"".join([as_bytes[i] for i in ids])
-            elif text.isalpha() or (text[0] == " " and text[1:].isalpha()):
-                yield words[text]
-            else:
-                yield b"".join(map(words.__getitem__, find(text)))
-
-    return PieceCache(encode, 900_000)
+    cache = PieceCache(lambda texts: map(encode_one, texts), 900_000)
+    cache.after_blank = AfterBlank()
+    return cache
 
 
 def write_token_files(
